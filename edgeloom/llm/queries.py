@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from edgeloom.llm import mixing
+from edgeloom.llm import mixing, pieces
 
 
 def queries() -> dict:
-    return {"op5_source_mix": mixing.op5_source_mix}
+    return {"op2_pieces": pieces.op2_pieces, "op5_source_mix": mixing.op5_source_mix}
 
 
 def oracle_sql() -> dict[str, str]:
