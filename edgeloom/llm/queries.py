@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from edgeloom.llm import mixing, pieces
+from edgeloom.llm import mixing, pieces, shingle_join
 
 
 def queries() -> dict:
-    return {"op2_pieces": pieces.op2_pieces, "op5_source_mix": mixing.op5_source_mix}
+    return {
+        "op2_pieces": pieces.op2_pieces,
+        "op3_ngram_jaccard": shingle_join.op3_ngram_jaccard,
+        "op5_source_mix": mixing.op5_source_mix,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
