@@ -72,7 +72,7 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", finish: int = FINIS
         hook = stored(hook, "cc-hook")
         while True:
             up = hook.select(F.col("node").alias("root"), F.col("root").alias("top"))
-            jumped = stored(hook.join(up, "root").select("node", F.col("top").alias("root"), (F.col("top") <> F.col("root")).alias("moved")), "cc-jump")
+            jumped = stored(hook.join(up, "root").select("node", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")), "cc-jump")
             moved = jumped.where("moved").limit(1).count()
             dropped(hook)
             hook = jumped.drop("moved")
