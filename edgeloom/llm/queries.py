@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from edgeloom.llm import mixing, pieces, shingle_join
+from edgeloom.llm import language, mixing, pieces, shingle_join, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_pieces": pieces.op2_pieces,
         "op3_ngram_jaccard": shingle_join.op3_ngram_jaccard,
+        "op4_language": language.op4_language,
         "op5_source_mix": mixing.op5_source_mix,
+        "op7_toxicity": toxicity.op7_toxicity,
     }
 
 
