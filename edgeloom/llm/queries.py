@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from edgeloom.llm import language, mixing, pieces, shingle_join, toxicity
+from edgeloom.llm import language, mixing, pieces, quality, shingle_join, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_language": language.op4_language,
         "op5_source_mix": mixing.op5_source_mix,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op10_quality": quality.op10_quality,
     }
 
 

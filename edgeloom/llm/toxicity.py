@@ -51,7 +51,7 @@ def _gram_lists(column: pa.Array) -> pa.Array:
     return pa.array([np.unique(grams(t)) for t in texts(column)], pa.list_(pa.int32()))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, passes: int = 3) -> tuple:
+def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, passes: int = 4) -> tuple:
     """Coordinates, weights and bias, learned from at most ``sample`` labelled rows of each class.
 
     Rows of fold 0 and rows without a label teach nothing. Without rows of both classes the
