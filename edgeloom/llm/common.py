@@ -48,7 +48,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Word bytes to a 64-bit hash, remembered; emptied when it holds ``most`` words."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
@@ -61,3 +61,10 @@ class WordHashes(dict):
 def texts(column: pa.Array) -> list[str]:
     """Python strings of an Arrow column, null as empty."""
     return [x or "" for x in column.to_pylist()]
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20):
+    """Parts of a batch with about ``most`` bytes in one column, so that what is made of a part stays small."""
+    rows = max(1, int(len(batch) * most / max(1, batch.column(column).nbytes)))
+    for i in range(0, len(batch), rows):
+        yield batch.slice(i, rows)

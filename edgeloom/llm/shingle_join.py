@@ -30,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import DOCUMENT, WordHashes, mix, table, texts
+from edgeloom.llm.common import DOCUMENT, WordHashes, mix, slices, table, texts
 from edgeloom.operators.components import components
 from edgeloom.session import join_counted, stored
 
 #: Shingles per bucket of step 2 and per block of step 4, which bound a task's memory.
 BUCKET_SHINGLES = 1_000_000
-GROUP_SHINGLES = 4_000_000
+GROUP_SHINGLES = 1_500_000
 #: Weight of a merge step against a probe in the choice of L.
 MU = 0.0085
 
@@ -68,8 +68,9 @@ def _name(s: np.ndarray) -> int:
 def _sets(text_index: int, words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]]:
     def read(batches):
         shingles = shingler(words)
-        for batch in batches:
-            yield batch, [shingles(t) for t in texts(batch.column(text_index))]
+        for whole in batches:
+            for batch in slices(whole, text_index):
+                yield batch, [shingles(t) for t in texts(batch.column(text_index))]
 
     return read
 
@@ -113,21 +114,40 @@ def _buckets(words: int, buckets: int):
     return run
 
 
-def _shared(t: pa.Table) -> pa.Table:
-    """A bucket to (node, shared): shingles of each node there that another node has too."""
-    join = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
-    node = np.repeat(join("nodes", np.int64), join("counts", np.int32))
-    mark = join("marks", np.uint32)
-    names, node = np.unique(node, return_inverse=True)
-    pair = np.unique(mark.astype(np.uint64) << np.uint64(32) | node.astype(np.uint64))
-    mark, node = pair >> np.uint64(32), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    same = mark[1:] == mark[:-1]
-    shared = np.zeros(len(mark), bool)
-    shared[1:] |= same
-    shared[:-1] |= same
-    count = np.bincount(node[shared], minlength=len(names))
-    keep = count > 0
-    return pa.table([pa.array(names[keep]), pa.array(count[keep].astype(np.int32))], ["node", "shared"])
+def _shared(slots: int):
+    """A bucket to (slot, nodes, counts): how many shingles of each node there another node has too, packed by slots of nodes."""
+
+    def run(t: pa.Table) -> pa.Table:
+        node = np.repeat(_bytes(t, "nodes", np.int64), _bytes(t, "counts", np.int32))
+        mark = _bytes(t, "marks", np.uint32)
+        names, node = np.unique(node, return_inverse=True)
+        pair = np.unique(mark.astype(np.uint64) << np.uint64(32) | node.astype(np.uint64))
+        mark, node = pair >> np.uint64(32), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        same = mark[1:] == mark[:-1]
+        shared = np.zeros(len(mark), bool)
+        shared[1:] |= same
+        shared[:-1] |= same
+        count = np.bincount(node[shared], minlength=len(names)).astype(np.int32)
+        names, count = names[count > 0], count[count > 0]
+        slot = names % slots
+        order = np.argsort(slot, kind="stable")
+        edges = np.searchsorted(slot[order], np.arange(slots + 1))
+        full = np.flatnonzero(np.diff(edges))
+        part = lambda x: pa.array([x[order[edges[i] : edges[i + 1]]].tobytes() for i in full], pa.binary())
+        return pa.table([pa.array(full.astype(np.int32)), part(names), part(count)], ["slot", "nodes", "counts"])
+
+    return run
+
+
+def _summed(t: pa.Table) -> pa.Table:
+    """A slot to (node, shared)."""
+    names, node = np.unique(_bytes(t, "nodes", np.int64), return_inverse=True)
+    count = np.bincount(node, _bytes(t, "counts", np.int32), len(names)).astype(np.int64)
+    return pa.table([pa.array(names), pa.array(count)], ["node", "shared"])
+
+
+def _bytes(t: pa.Table, column: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column(column).to_pylist()), kind)
 
 
 def _rows(words: int):
@@ -248,7 +268,8 @@ def linked(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, key:
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_SHINGLES))
 
     dealt = base.select("text").mapInArrow(_buckets(words, buckets), "bucket int, nodes binary, counts binary, marks binary")
-    shared = dealt.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared, "node long, shared int").groupBy("node").agg(F.sum("shared").alias("shared"))
+    shared = dealt.groupBy("bucket").applyInArrow(_shared(buckets), "slot int, nodes binary, counts binary")
+    shared = shared.groupBy("slot").applyInArrow(_summed, "node long, shared long")
     alive = stored(reps.join(shared, "node").where(F.col("shared") * den >= F.col("n") * num).select("node", "doc_id"), "nj-alive")
     n_alive = alive.count()
 
