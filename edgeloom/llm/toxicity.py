@@ -20,8 +20,8 @@ from edgeloom.llm.ftrl import Ftrl, dense
 
 #: Hashed coordinates.
 DIMS = 1 << 20
-#: The bound of the sample that the model is fitted on: labelled documents of each class.
-SAMPLE = 8000
+#: The bound of the sample that the model is fitted on: labelled documents of class 0 and of class 1.
+SAMPLE = (3000, 6000)
 _words = re.compile(r"[^\W_]+").findall
 
 
@@ -51,8 +51,8 @@ def _gram_lists(column: pa.Array) -> pa.Array:
     return pa.array([np.unique(grams(t)) for t in texts(column)], pa.list_(pa.int32()))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, passes: int = 4) -> tuple:
-    """Coordinates, weights and bias, learned from at most ``sample`` labelled rows of each class.
+def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: tuple[int, int] = SAMPLE, passes: int = 4) -> tuple:
+    """Coordinates, weights and bias, learned from at most ``sample`` labelled rows of the classes.
 
     Rows of fold 0 and rows without a label teach nothing. Without rows of both classes the
     model has no weights and its bias is the class there is (or 0.5). The bias is moved from the
@@ -62,7 +62,7 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     all_ = {r["y"]: r["n"] for r in taught.groupBy("y").agg(F.count("*").alias("n")).collect()}
     pick = None
     for y in (0, 1):
-        part = taught.where(F.col("y") == y).orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(sample)
+        part = taught.where(F.col("y") == y).orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(sample[y])
         pick = part if pick is None else pick.unionByName(part)
     lists = F.arrow_udf(_gram_lists, "array<int>")
     rows = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id").select("doc_id", "y", F.xxhash64("text").alias("h"), lists("text").alias("x")).toArrow()
@@ -70,8 +70,12 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     y = rows.column("y").to_pylist()
     model = Ftrl(DIMS, alpha=1.0, l1=4.0, l2=0.01)
     if len(set(y)) == 2:
-        x = [i.astype(np.int64) for i in rows.column("x").combine_chunks().to_numpy(zero_copy_only=False)]
-        model.fit([(i, np.ones(len(i))) for i in x], y, passes)
+        x = rows.column("x").combine_chunks()
+        flat, ends = x.flatten().to_numpy(), x.offsets.to_numpy() - x.offsets[0].as_py()
+        keep = np.bincount(flat, minlength=DIMS)[flat] > 1  # what one document has can't pass L1 in these passes
+        ends = np.concatenate([[0], np.cumsum(keep)])[ends]
+        flat = flat[keep]
+        model.fit([(flat[a:b], np.ones(b - a)) for a, b in zip(ends, ends[1:])], y, passes)
         found, w, bias = model.weights()
         shift = np.log(all_[1] / all_[0]) - np.log(sum(y) / (len(y) - sum(y)))
         return found, w, float(bias[0] + min(0.0, shift))
