@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from edgeloom.llm import language, mixing, pieces, quality, shingle_join, toxicity
+from edgeloom.llm import embed_dups, language, mixing, pieces, quality, shingle_join, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_embed_dups": embed_dups.op1_embed_dups,
         "op2_pieces": pieces.op2_pieces,
         "op3_ngram_jaccard": shingle_join.op3_ngram_jaccard,
         "op4_language": language.op4_language,
