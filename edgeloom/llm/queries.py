@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from edgeloom.llm import embed_dups, language, mixing, pieces, quality, shingle_join, toxicity
+from edgeloom.llm import embed_dups, hamming_topk, language, mixing, pieces, quality, shingle_join, toxicity
 
 
 def queries() -> dict:
@@ -13,9 +13,10 @@ def queries() -> dict:
         "op4_language": language.op4_language,
         "op5_source_mix": mixing.op5_source_mix,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op9_hamming_topk": hamming_topk.op9_hamming_topk,
         "op10_quality": quality.op10_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_hamming_topk": hamming_topk.SQL}
