@@ -139,13 +139,14 @@ def sign_bits(vector: str = "embedding"):
 def top_k(index: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", bits: str = "bits") -> DataFrame:
     """``query_id``, ``rank``, ``key`` and ``distance``: the k rows of ``index`` nearest to each query by Hamming distance.
 
-    Equal distances are ranked by key, then repeated rows stand beside each other. A query that is also in the index
-    finds itself. Rows and queries whose bits are null, or of another length than the query's, are
+    Equal distances are ranked by key, and rows that repeat a key are found as often. A query that is also in the index
+    finds itself; of queries that repeat a key the one with the smallest bits is asked. Rows and queries whose bits are null, or of another length than the query's, are
     neither asked nor found; with fewer than k rows all are returned; empty tables give an
     empty one; other columns are not carried.
     """
     rows = stored(index.where(F.col(bits).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(bits).alias("bits")), "hk-index")
-    asked = stored(queries.where(F.col(bits).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(bits).alias("bits")), "hk-queries")
+    asked = queries.where(F.col(bits).isNotNull()).groupBy(F.col(key).cast("long").alias("id")).agg(F.min(bits).alias("bits"))
+    asked = stored(asked, "hk-queries")
     blocks = max(BLOCKS, -(-rows.count() // INDEX_ROWS))
     ways = max(1, -(-asked.count() // QUERY_ROWS))
     place = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(n)).cast("int")
