@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from edgeloom.llm import embed_dups, hamming_topk, language, mixing, pieces, quality, shingle_join, token_files, toxicity
+from edgeloom.llm import embed_dups, hamming_topk, html_text, language, mixing, pieces, quality, shingle_join, token_files, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_source_mix": mixing.op5_source_mix,
         "op6_token_files": token_files.op6_token_files,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op8_html_text": html_text.op8_html_text,
         "op9_hamming_topk": hamming_topk.op9_hamming_topk,
         "op10_quality": quality.op10_quality,
     }
