@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from edgeloom.operators.edges import key, uniform
 from edgeloom.operators.order import running, top
 
-TIES = [F.lit(0)]
-
 
 def top_k(edges: DataFrame, score: Column, k: int) -> DataFrame:
     """The k best by score, ties by (u, v)."""
