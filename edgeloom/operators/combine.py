@@ -1,10 +1,22 @@
-"""Views of one graph combined: identity, bank, consensus, budgeted union."""
+"""Views of one graph combined: identity, bank, consensus, budgeted union, balanced completion, sampling weights."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from edgeloom.operators.edges import degree, nodes
+from edgeloom.operators.forest import random_forest, spanning_forest
+from edgeloom.operators.order import average_percentile, top
+from edgeloom.operators.select import inclusion, systematic
+from edgeloom.operators.tree_score import forest_arrays, path_terms, tree_score
+from edgeloom.session import stored
+
+#: Rows that the sequential completion may hold.
+SEQUENTIAL_EDGES = 2_000_000
+
 
 def support_ids(views: DataFrame, view: str = "view_id") -> DataFrame:
     """``(view, support_id, n)``: a hash of each view's edges in order.
@@ -14,3 +26,173 @@ def support_ids(views: DataFrame, view: str = "view_id") -> DataFrame:
     e = F.array_sort(F.collect_list(F.struct("u", "v")))
     text = F.array_join(F.transform(e, lambda x: F.concat_ws("-", x["u"].cast("string"), x["v"].cast("string"))), ",")
     return views.groupBy(view).agg(F.sha2(text.cast("binary"), 256).alias("support_id"), F.count("*").alias("n"))
+
+
+def bank(records: DataFrame, k: int, distinct: bool = True) -> DataFrame:
+    """The k best views by (score, epoch), of equal supports one."""
+    if distinct:
+        w = Window.partitionBy("support_id").orderBy(F.col("score").desc(), F.col("epoch").desc(), "view_id")
+        records = records.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+    return records.orderBy(F.col("score").desc(), F.col("epoch").desc(), "view_id").limit(k)
+
+
+def occurrences(views: DataFrame) -> DataFrame:
+    return views.groupBy("u", "v").agg(F.count("*").alias("times"))
+
+
+def consensus(views: DataFrame, q: int, lam: float = 0.5, alpha: float = 1.0, beta_e: float = 1.0, beta_v: float = 0.0) -> DataFrame:
+    """q edges: a forest of the most frequent, then by percentile of tree score on the union mixed with frequency.
+
+    An error if the forest is above q or the union has fewer than q edges.
+    """
+    k = views.select("view_id").distinct().count()
+    union = stored(occurrences(views), "consensus-union")
+    forest = stored(spanning_forest(union, [F.col("times").desc()]).select("u", "v"), "consensus-forest")
+    f, m = forest.count(), union.count()
+    if f > q or m < q:
+        raise ValueError(f"a budget of {q} does not fit a forest of {f} edges and a union of {m}")
+    scored = tree_score(union.select("u", "v"), forest, alpha, beta_e, beta_v).where("NOT mandatory")
+    scored = average_percentile(scored.withColumn("raw", F.round("score", 9)), "raw").join(union, ["u", "v"])
+    scored = scored.withColumn("combined", F.round((1 - lam) * F.col("pct") + lam * F.col("times") / k, 9))
+    rest = top(scored, [F.col("combined").desc(), F.col("raw").desc(), F.col("u"), F.col("v")], q - f)
+    return forest.withColumn("origin", F.lit("forest")).unionByName(rest.select("u", "v", F.lit("ranked").alias("origin")))
+
+
+def budgeted_union(views: DataFrame, edges: DataFrame, q: int, alpha: float = 1.0, beta_e: float = 1.0) -> DataFrame:
+    """q edges of the union: a forest of the most frequent, then repeated edges by frequency, then the rest by tree score on the graph."""
+    union = stored(occurrences(views), "union")
+    forest = stored(spanning_forest(union, [F.col("times").desc()]).select("u", "v"), "union-forest")
+    f, m = forest.count(), union.count()
+    if f > q:
+        raise ValueError(f"a budget of {q} is below a forest of {f} edges")
+    rest = union.join(forest, ["u", "v"], "left_anti")
+    if m > q:
+        score = tree_score(edges.select("u", "v"), forest, alpha, beta_e, 0.0).select("u", "v", F.round("score", 9).alias("score"))
+        rest = rest.join(score, ["u", "v"], "left")
+        order = [(F.col("times") > 1).desc(), F.when(F.col("times") > 1, F.col("times")).otherwise(0).desc(), F.col("score").desc(), F.col("u"), F.col("v")]
+        rest = top(rest, order, q - f)
+    return forest.unionByName(rest.select("u", "v"))
+
+
+def sample_weights(edges: DataFrame, forests: int = 8, lam: float = 1.0, seed: int = 0, alpha: float = 1.0, beta_e: float = 1.0, beta_v: float = 0.0) -> DataFrame:
+    """``(u, v, frequency, support, pi, mandatory)``: how often random forests have an edge, plus its mean share of their scores."""
+    total = edges.select("u", "v", F.lit(0.0).alias("frequency"), F.lit(0.0).alias("support"), F.lit(False).alias("mandatory"))
+    for r in range(forests):
+        f = stored(random_forest(edges, seed + 1000 * (r + 1)).select("u", "v"), "sample-forest")
+        s = tree_score(edges.select("u", "v"), f, alpha, beta_e, beta_v)
+        s = s.crossJoin(F.broadcast(s.agg(F.coalesce(F.sum("score"), F.lit(1.0)).alias("__t"))))
+        s = s.select("u", "v", F.lit(0.0).alias("frequency"), (F.coalesce("score", F.lit(0.0)) / F.greatest(F.col("__t"), F.lit(1e-300)) / forests).alias("support"), "mandatory")
+        total = total.unionByName(f.select("u", "v", F.lit(1.0 / forests).alias("frequency"), F.lit(0.0).alias("support"), F.lit(False).alias("mandatory"))).unionByName(s)
+    out = total.groupBy("u", "v").agg(F.sum("frequency").alias("frequency"), F.sum("support").alias("support"), F.max("mandatory").alias("mandatory"))
+    return stored(out.withColumn("pi", F.greatest(F.col("frequency") + lam * F.col("support"), F.lit(1e-8))), "sample-weights")
+
+
+def mixture(pool: DataFrame, a: float = 0.5) -> DataFrame:
+    """``pi`` of a pool as a mix of its frequencies and supports, each as shares; at least 1e-8 of an even share."""
+    t = pool.agg(F.sum("frequency").alias("__f"), F.sum("support").alias("__s"), F.count("*").alias("__n"))
+    share = lambda c, s: F.when(F.col(s) > 0, F.col(c) / F.col(s)).otherwise(F.lit(0.0))
+    mix = (1 - a) * share("frequency", "__f") + a * share("support", "__s")
+    return pool.crossJoin(F.broadcast(t)).withColumn("pi", F.greatest(mix, F.lit(1e-8) / F.col("__n"))).drop("__f", "__s", "__n")
+
+
+def sample_support(edges: DataFrame, weights: DataFrame, q: int, offset: float = 0.5, backbone_seed: int = 0, a: float | None = 0.5) -> DataFrame:
+    """Exactly q edges: a backbone forest and the mandatory edges, the rest drawn systematically in tree-locality order."""
+    forest = stored(random_forest(edges, backbone_seed).select("u", "v"), "draw-forest")
+    forced = stored(forest.unionByName(weights.where("mandatory").select("u", "v")).distinct(), "draw-forced")
+    n = forced.count()
+    if n > q:  # over budget: a hashed part of what is forced
+        from edgeloom.operators.select import uniform_sample
+
+        return uniform_sample(forced, q, backbone_seed)
+    pool = weights.join(forced, ["u", "v"], "left_anti")
+    pool = mixture(pool, a) if a is not None else pool
+    f = forest_arrays(forest)
+    held = edges.sparkSession.sparkContext.broadcast((f.ids, f.parent, f.depth, f.root, f.tin))
+
+    def place(batches):
+        from edgeloom.operators.tree_score import _Light
+
+        ids, parent, depth, root, tin = held.value
+        g = _Light(ids, parent, depth, root)
+        for b in batches:
+            l = g.lca(g.at(b.column("u").to_numpy()), g.at(b.column("v").to_numpy()))
+            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), b.column("pi"), pa.array(np.where(l >= 0, tin[l], -1))], ["u", "v", "pi", "near"])
+
+    pool = stored(pool.select("u", "v", "pi").mapInArrow(place, "u long, v long, pi double, near long"), "draw-pool")
+    p = inclusion(pool, "pi", q - n)
+    drawn = systematic(p, "p", q - n, offset, [F.col("near"), F.col("u"), F.col("v")]) if q > n else pool.limit(0)
+    return forced.unionByName(drawn.select("u", "v"))
+
+
+def water_filled(want: np.ndarray, floor: np.ndarray, total: float) -> np.ndarray:
+    """``max(floor, c * want)`` with the c that makes the sum ``total``, by bisection."""
+    lo, hi = 0.0, max(1.0, total / max(1e-12, want.sum())) * 4
+    for _ in range(64):
+        c = (lo + hi) / 2
+        lo, hi = (lo, c) if np.maximum(floor, c * want).sum() > total else (c, hi)
+    return np.maximum(floor, lo * want)
+
+
+def balanced_completion(union: DataFrame, forest: DataFrame, q: int, batch: int = 128) -> DataFrame:
+    """q edges: the forest, then rounds of vertex-disjoint edges that bring degrees nearest to their water-filled targets.
+
+    Each round depends on the last, so one task runs them, up to SEQUENTIAL_EDGES edges.
+    """
+    m = union.count()
+    if m > SEQUENTIAL_EDGES:
+        raise ValueError(f"{m} edges; balance clusters one by one")
+    rows = union.select("u", "v").withColumn("g", F.lit(0)).join(forest.select("u", "v", F.lit(True).alias("f")), ["u", "v"], "left")
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("u", "ascending"), ("v", "ascending")])
+        u, v = t.column("u").to_numpy(), t.column("v").to_numpy()
+        kept = t.column("f").fill_null(False).to_numpy(zero_copy_only=False).copy()
+        ids, e = np.unique(np.concatenate([u, v]), return_inverse=True)
+        i, j = e[: len(u)], e[len(u) :]
+        deg = np.bincount(i[kept], minlength=len(ids)) + np.bincount(j[kept], minlength=len(ids))
+        want = np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
+        goal = water_filled(want.astype(float), deg.astype(float), 2.0 * q)
+        while kept.sum() < q and not kept.all():
+            at = np.flatnonzero(~kept)
+            gap = goal - deg
+            cost = np.round(1 - 2 * gap[i[at]] + 1 - 2 * gap[j[at]], 9)
+            used = np.zeros(len(ids), bool)
+            left = min(batch, q - int(kept.sum()))
+            for x in at[np.argsort(cost, kind="stable")]:
+                if not (used[i[x]] or used[j[x]]):
+                    used[i[x]] = used[j[x]] = True
+                    kept[x] = True
+                    deg[i[x]] += 1
+                    deg[j[x]] += 1
+                    left -= 1
+                    if not left:
+                        break
+        return pa.table([u[kept], v[kept]], ["u", "v"])
+
+    return rows.groupBy("g").applyInArrow(run, "u long, v long")
+
+
+def fast_support(edges: DataFrame, q: int, order, alpha: float = 1.0, beta_e: float = 1.0, beta_v: float = 0.0) -> DataFrame:
+    """q edges: a spanning forest in an order, edges that rejoin trees, then the best tree scores; ties by (u, v)."""
+    forest = stored(spanning_forest(edges, order).select("u", "v", "rank"), "fast-forest")
+    n = forest.count()
+    if n >= q:
+        return top(forest, [F.col("rank")], q).select("u", "v")
+    s = tree_score(edges.select("u", "v"), forest.select("u", "v"), alpha, beta_e, beta_v)
+    rest = top(s.withColumn("s", F.round("score", 9)), [F.col("mandatory").desc(), F.col("s").desc(), F.col("u"), F.col("v")], q - n)
+    return forest.select("u", "v").unionByName(rest.select("u", "v"))
+
+
+def objective(edges: DataFrame, forest: DataFrame, alpha: float = 1.0, beta_e: float = 1.0, beta_v: float = 1.0, p: float = 2.0, q: float = 2.0) -> DataFrame:
+    """One row: mean product of dilation and congestions of the omitted edges, and the mean of each; total stretch."""
+    t, *_ = path_terms(edges, forest, p, q)
+    x = F.pow("dil", F.lit(alpha)) * F.pow("ep", F.lit(beta_e)) * F.pow("vp", F.lit(beta_v))
+    return t.where("NOT mandatory").agg(F.avg(x).alias("objective"), F.avg("dil").alias("dil"), F.avg("ep").alias("ep"), F.avg("vp").alias("vp"), F.sum("dil").alias("total_stretch"))
+
+
+def degree_error(edges: DataFrame, support: DataFrame, ratio: float) -> DataFrame:
+    """Sum of squared differences between the degrees of a support and a share of the graph's."""
+    d = degree(edges).withColumnRenamed("deg", "whole").join(degree(support, nodes(edges)), "node")
+    return d.agg(F.sum(F.pow(F.col("deg") - ratio * F.col("whole"), F.lit(2))).alias("error"))
+
+
