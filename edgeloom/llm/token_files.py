@@ -20,6 +20,7 @@ so a document is read by expanding its own symbols.
 from __future__ import annotations
 
 import re
+import unicodedata
 import uuid
 import zlib
 
@@ -38,48 +39,59 @@ BLOCK, ROUNDS, RULES, OFTEN = 1 << 19, 5, 3000, 12
 REMEMBERED = 300_000
 #: The id written after each document.
 END = 2
-#: Characters whose normal form, case and classes are the same for Python and the tokenizer: a text of only these is encoded word by word.
-PLAIN = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa0-įı-ɏ]")
+#: Characters whose normal form, case and classes are the same for Python and the tokenizer: a text of only these is encoded part by part.
+PLAIN = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa0-\u012f\u0131-\u017e]")
+
+
+def _parts() -> re.Pattern:
+    """The tokenizer's own pattern over plain characters: contractions, runs of letters, single numbers, runs of others."""
+    kind: dict[str, str] = {"L": "", "N": "", "s": ""}
+    for c in map(chr, range(0x180)):
+        kind["s" if c.isspace() else unicodedata.category(c)[0]] = kind.get("s" if c.isspace() else unicodedata.category(c)[0], "") + c
+    letters, numbers, spaces = (re.escape(kind[k]) for k in "LNs")
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{spaces}{letters}{numbers}]+")
 
 
 class WordCoder:
-    """The tokenizer of a file, with the ids of words remembered.
+    """The tokenizer of a file, with the ids of the parts it cuts texts into remembered.
 
-    White space is a border that no token crosses, so in a plain text every word has its own ids. New words are
-    encoded together, with a word between them whose first token none of theirs can be.
+    No token crosses the border of a part, and only the last token of a part has the word-end mark, so many new
+    parts are encoded together and told apart by it.
     """
 
-    BORDER = "Ω"
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.parts = _parts().findall
         self.known: dict[str, bytes] = {}
-        self.border = self._ids(self.BORDER)
+        vocab = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def learn(self, words: list[str]) -> None:
-        size = len(self.border)
-        for i in range(0, len(words), 2000):
-            part = words[i : i + 2000]
-            ids = np.array(self._ids(f" {self.BORDER} ".join(part)), np.int32)
-            at = np.flatnonzero(ids == self.border[0])
-            for w, a, b in zip(part, [0, *(at + size)], [*at, len(ids)]):
-                self.known[w] = ids[a:b].tobytes()
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def learn(self, parts: list[str]) -> None:
+        for i in range(0, len(parts), 200):
+            some = parts[i : i + 200]
+            ids = np.array(self._ids(" ".join(some)), np.int32)
+            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            if len(ends) != len(some) or ends[-1] != len(ids):
+                self.known.update((p, np.array(self._ids(p), np.int32).tobytes()) for p in some)
+                continue
+            raw = ids.tobytes()
+            self.known.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(some, [0, *ends], ends))
 
     def encode(self, many: list[str]) -> list[np.ndarray]:
         """Ids of whole texts, without an end id."""
-        words = [None if PLAIN.search(t) else t.lower().split() for t in many]
+        cut = [None if PLAIN.search(t) else self.parts(t.lower()) for t in many]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = {w for ws in words if ws for w in ws} - self.known.keys()
-        self.learn(sorted(new))
+        self.learn(sorted({p for ps in cut if ps for p in ps} - self.known.keys()))
         known = self.known
-        return [np.array(self._ids(t), np.int32) if ws is None else np.frombuffer(b"".join([known[w] for w in ws]), np.int32) for t, ws in zip(many, words)]
+        return [np.array(self._ids(t), np.int32) if ps is None else np.frombuffer(b"".join([known[p] for p in ps]), np.int32) for t, ps in zip(many, cut)]
 
 
 _coders: dict[str, WordCoder] = {}
