@@ -55,9 +55,10 @@ def smallest_forest(a: np.ndarray, b: np.ndarray, rank: np.ndarray) -> np.ndarra
 
 
 def _local(batches):
-    t = pa.Table.from_batches(list(batches))
-    if not len(t):
+    held = [b for b in batches if len(b)]
+    if not held:
         return
+    t = pa.Table.from_batches(held)
     a, b, r = (t.column(c).to_numpy() for c in ("a", "b", "rank"))
     yield from t.take(pa.array(np.sort(smallest_forest(a, b, r)))).to_batches()
 
