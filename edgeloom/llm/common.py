@@ -15,7 +15,21 @@ WORD = r"[^\x20\x09-\x0D]+"
 DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+#: Rows and bytes of a batch that goes to Python: whole texts are long rows.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let no batch of texts grow beyond BATCH_ROWS and BATCH_BYTES; smaller settings of the session stay."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int("".join(c for c in str(spark.conf.get(key, "0")) if c.isdigit() or c == "-") or 0)
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

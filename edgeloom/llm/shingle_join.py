@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import DOCUMENT, WordHashes, mix, slices, table, texts
+from edgeloom.llm.common import DOCUMENT, WordHashes, mix, slices, small_batches, table, texts
 from edgeloom.operators.components import components
 from edgeloom.session import join_counted, stored
 
@@ -261,6 +261,7 @@ def linked(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, key:
     columns are not carried; an empty table gives an empty one.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     base = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     nodes = stored(base.mapInArrow(_nodes(words), "doc_id long, n long, node long"), "nj-nodes")
     reps = nodes.where("node is not null").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"))
