@@ -20,12 +20,11 @@ BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Let no batch of texts grow beyond BATCH_ROWS and BATCH_BYTES; smaller settings of the session stay."""
-    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        key = f"spark.sql.execution.arrow.{name}"
-        now = int("".join(c for c in str(spark.conf.get(key, "0")) if c.isdigit() or c == "-") or 0)
-        if now <= 0 or now > most:
-            spark.conf.set(key, str(most))
+    """Let no batch of texts grow beyond BATCH_ROWS and BATCH_BYTES; a smaller number of rows that the session sets stays."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
