@@ -35,8 +35,8 @@ from edgeloom.session import join_counted, shared_dir
 
 #: Ids of a block, rounds of replacement, rules of a round, and how often a pair must occur to be replaced.
 BLOCK, ROUNDS, RULES, OFTEN = 1 << 19, 5, 3000, 12
-#: Words whose ids one Python worker remembers.
-REMEMBERED = 300_000
+#: Parts of texts whose ids one Python worker remembers (about 150 MB).
+REMEMBERED = 700_000
 #: The id written after each document.
 END = 2
 #: Characters whose normal form, case and classes are the same for Python and the tokenizer: a text of only these is encoded part by part.
@@ -89,7 +89,7 @@ class WordCoder:
         cut = [None if PLAIN.search(t) else self.parts(t.lower()) for t in many]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        self.learn(sorted({p for ps in cut if ps for p in ps} - self.known.keys()))
+        self.learn(list({p for ps in cut if ps for p in ps} - self.known.keys()))
         known = self.known
         return [np.array(self._ids(t), np.int32) if ps is None else np.frombuffer(b"".join([known[p] for p in ps]), np.int32) for t, ps in zip(many, cut)]
 
@@ -120,7 +120,12 @@ def compressed(ids: np.ndarray, lengths: np.ndarray, base: int) -> tuple[np.ndar
         many[1 << 20] = 0
         at = np.flatnonzero((many >= OFTEN)[h])
         key = a[at] << 32 | b[at]
-        pairs, place, times = np.unique(key, return_inverse=True, return_counts=True)
+        by = np.argsort(key)
+        ranked = key[by]
+        first = np.flatnonzero(np.diff(ranked, prepend=-1))
+        pairs, times = ranked[first], np.diff(first, append=len(ranked))
+        place = np.empty(len(key), np.int64)
+        place[by] = np.repeat(np.arange(len(pairs)), times)
         order = np.flatnonzero(times >= OFTEN)
         order = order[np.argsort(-times[order], kind="stable")]
         symbol = np.full(len(pairs), -1)
