@@ -21,7 +21,7 @@ from edgeloom.llm.ftrl import Ftrl, dense
 #: Hashed coordinates.
 DIMS = 1 << 20
 #: The bound of the sample that the model is fitted on: labelled documents of class 0 and of class 1.
-SAMPLE = (3000, 6000)
+SAMPLE = (4000, 6000)
 _words = re.compile(r"[^\W_]+").findall
 
 
@@ -55,11 +55,10 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: tup
     """Coordinates, weights and bias, learned from at most ``sample`` labelled rows of the classes.
 
     Rows of fold 0 and rows without a label teach nothing. Without rows of both classes the
-    model has no weights and its bias is the class there is (or 0.5). The bias is moved from the
-    sample's share of the class to the share among all labelled rows.
+    model has no weights and its bias is the class there is (or 0.5). Classes have the
+    share they have in the sample, which counts toxic rows for more than all labels do.
     """
     taught = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    all_ = {r["y"]: r["n"] for r in taught.groupBy("y").agg(F.count("*").alias("n")).collect()}
     pick = None
     for y in (0, 1):
         part = taught.where(F.col("y") == y).orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(sample[y])
@@ -77,8 +76,7 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: tup
         flat = flat[keep]
         model.fit([(flat[a:b], np.ones(b - a)) for a, b in zip(ends, ends[1:])], y, passes)
         found, w, bias = model.weights()
-        shift = np.log(all_[1] / all_[0]) - np.log(sum(y) / (len(y) - sum(y)))
-        return found, w, float(bias[0] + min(0.0, shift))
+        return found, w, float(bias[0])
     bias = 0.0 if not y else (6.0 if y[0] else -6.0)
     return np.empty(0, np.int32), np.empty((0, 1), np.float32), bias
 
