@@ -216,7 +216,7 @@ def _(spark, sf):
     return verdict(e, T.strided_forest(e, 7, stride))
 
 
-@query("forest_budgeted", sql("SELECT 50::BIGINT AS edges, 50::BIGINT AS distinct_edges", "ug"))
+@query("forest_budgeted", sql(f"SELECT least(50, {N_UG})::BIGINT AS edges, least(50, {N_UG})::BIGINT AS distinct_edges", "ug"))
 def _(spark, sf):
     from edgeloom.operators.order import top
 
@@ -348,7 +348,7 @@ def _(spark, sf):
 FLAT = "fl AS (SELECT view_id, node, unnest(range(0, 10))::INT AS pos, unnest(a) AS e, unnest(list_transform(a, lambda x: exp(x - list_max(a)) / list_sum(list_transform(a, lambda z: exp(z - list_max(a)))))) AS s FROM lg)"
 
 
-@query("ensemble_mean", f"WITH {LOGITS}, {FLAT} SELECT node, pos, round(avg(e), 6) AS value FROM fl GROUP BY 1, 2")
+@query("ensemble_mean", f"WITH {LOGITS}, {FLAT} SELECT node, pos, round(avg(e), 6) + 0.0::DOUBLE AS value FROM fl GROUP BY 1, 2")
 def _(spark, sf):
     return M.ensemble_mean(logits(spark, sf)).withColumn("value", R("value", 6))
 
@@ -363,12 +363,12 @@ def _(spark, sf):
     return M.ensemble_vote(logits(spark, sf))
 
 
-@query("ensemble_prefixes", f"WITH {LOGITS}, {FLAT} SELECT k, node, pos, round(avg(e), 6) AS value FROM fl, (SELECT unnest([1, 3, 5])::INT AS k) WHERE view_id < k GROUP BY 1, 2, 3")
+@query("ensemble_prefixes", f"WITH {LOGITS}, {FLAT} SELECT k, node, pos, round(avg(e), 6) + 0.0::DOUBLE AS value FROM fl, (SELECT unnest([1, 3, 5])::INT AS k) WHERE view_id < k GROUP BY 1, 2, 3")
 def _(spark, sf):
     return M.ensemble_prefixes(logits(spark, sf), [1, 3, 5]).withColumn("value", R("value", 6))
 
 
-@query("class_centroid_score", "WITH x AS (SELECT vec_id, label, unnest(range(0, 64))::INT AS pos, unnest(embedding::DOUBLE[]) AS e FROM embeddings), m AS (SELECT label, pos, avg(e) AS m FROM x GROUP BY 1, 2) SELECT vec_id AS node, m.label, round(sum(e * m), 6) AS score FROM x JOIN m USING (pos) GROUP BY 1, 2")
+@query("class_centroid_score", "WITH x AS (SELECT vec_id, label, unnest(range(0, 64))::INT AS pos, unnest(embedding::DOUBLE[]) AS e FROM embeddings), m AS (SELECT label, pos, avg(e) AS m FROM x GROUP BY 1, 2) SELECT vec_id AS node, m.label, round(sum(e * m), 6) + 0.0::DOUBLE AS score FROM x JOIN m USING (pos) GROUP BY 1, 2")
 def _(spark, sf):
     n = V.vectors(spark, sf)
     m = n.select("y", F.posexplode("x").alias("pos", "e")).groupBy("y", "pos").agg(F.avg("e").alias("m"))

@@ -140,7 +140,7 @@ KINDS = {"norm_lap": "e - a / sqrt(di * dj)", "lap": "e * di - a", "gcn": "e + a
 @query(
     "normalisations",
     sql(
-        f"WITH {DEG.format(g='kg')}, {ADJ.format(g='kg')}, c AS (SELECT src AS i, dst AS j, x.deg::DOUBLE AS di, y.deg::DOUBLE AS dj, 1.0::DOUBLE AS a, 0.0::DOUBLE AS e FROM adj JOIN dg x ON x.node = src JOIN dg y ON y.node = dst UNION ALL SELECT node, node, deg, deg, 0, 1 FROM dg) SELECT kind, i, j, round(w, 6) AS w FROM ("
+        f"WITH {DEG.format(g='kg')}, {ADJ.format(g='kg')}, c AS (SELECT src AS i, dst AS j, x.deg::DOUBLE AS di, y.deg::DOUBLE AS dj, 1.0::DOUBLE AS a, 0.0::DOUBLE AS e FROM adj JOIN dg x ON x.node = src JOIN dg y ON y.node = dst UNION ALL SELECT node, node, deg, deg, 0, 1 FROM dg) SELECT kind, i, j, round(w, 6) + 0.0::DOUBLE AS w FROM ("
         + " UNION ALL ".join(f"SELECT '{k}' AS kind, i, j, {x} AS w FROM c" for k, x in KINDS.items())
         + ") WHERE w <> 0",
         "kg",
@@ -157,14 +157,14 @@ def long_rows(df):
     return df.select("node", F.posexplode("x").alias("pos", "e")).withColumn("e", R("e", 6))
 
 
-@query("neighbour_mean", sql(f"WITH {ADJ.format(g='kg')}, {LONG} SELECT dst AS node, pos, round(sum(w * e) / sum(w), 6) AS e FROM adj JOIN x ON x.node = src GROUP BY 1, 2", "kg"))
+@query("neighbour_mean", sql(f"WITH {ADJ.format(g='kg')}, {LONG} SELECT dst AS node, pos, round(sum(w * e) / sum(w), 6) + 0.0::DOUBLE AS e FROM adj JOIN x ON x.node = src GROUP BY 1, 2", "kg"))
 def _(spark, sf):
     return long_rows(S.spread(E.adjacency(V.knn_graph(spark, sf)), V.vectors(spark, sf), "mean"))
 
 
 @query(
     "sgc_two_steps",
-    sql(f"WITH {ADJ.format(g='kg')}, n AS (SELECT DISTINCT src AS node FROM adj), f AS (SELECT src, dst, w FROM adj UNION ALL SELECT node, node, 1 FROM n), d AS (SELECT dst AS node, greatest(sum(w), 1) AS d FROM f GROUP BY 1), g AS (SELECT src, dst, w / sqrt(a.d * b.d) AS w FROM f JOIN d a ON a.node = src JOIN d b ON b.node = dst), {LONG}, h AS (SELECT dst AS node, pos, sum(w * e) AS e FROM g JOIN x ON x.node = src GROUP BY 1, 2) SELECT dst AS node, pos, round(sum(w * e), 6) AS e FROM g JOIN h ON h.node = src GROUP BY 1, 2", "kg"),
+    sql(f"WITH {ADJ.format(g='kg')}, n AS (SELECT DISTINCT src AS node FROM adj), f AS (SELECT src, dst, w FROM adj UNION ALL SELECT node, node, 1 FROM n), d AS (SELECT dst AS node, greatest(sum(w), 1) AS d FROM f GROUP BY 1), g AS (SELECT src, dst, w / sqrt(a.d * b.d) AS w FROM f JOIN d a ON a.node = src JOIN d b ON b.node = dst), {LONG}, h AS (SELECT dst AS node, pos, sum(w * e) AS e FROM g JOIN x ON x.node = src GROUP BY 1, 2) SELECT dst AS node, pos, round(sum(w * e), 6) + 0.0::DOUBLE AS e FROM g JOIN h ON h.node = src GROUP BY 1, 2", "kg"),
 )
 def _(spark, sf):
     e = V.knn_graph(spark, sf)
@@ -172,7 +172,7 @@ def _(spark, sf):
     return long_rows(S.spread(a, S.spread(a, V.vectors(spark, sf))))
 
 
-@query("chebyshev_t2", sql(f"WITH {DEG.format(g='kg')}, {ADJ.format(g='kg')}, l AS (SELECT src AS i, dst AS j, -1 / sqrt(a.deg * b.deg) AS w FROM adj JOIN dg a ON a.node = src JOIN dg b ON b.node = dst), t AS (SELECT l.i, m.j, 2 * sum(l.w * m.w) AS w FROM l JOIN l m ON l.j = m.i GROUP BY 1, 2 UNION ALL SELECT node, node, -1 FROM dg) SELECT i, j, round(sum(w), 6) AS w FROM t GROUP BY 1, 2 HAVING abs(sum(w)) > 1e-9", "kg"))
+@query("chebyshev_t2", sql(f"WITH {DEG.format(g='kg')}, {ADJ.format(g='kg')}, l AS (SELECT src AS i, dst AS j, -1 / sqrt(a.deg * b.deg) AS w FROM adj JOIN dg a ON a.node = src JOIN dg b ON b.node = dst), t AS (SELECT l.i, m.j, 2 * sum(l.w * m.w) AS w FROM l JOIN l m ON l.j = m.i GROUP BY 1, 2 UNION ALL SELECT node, node, -1 FROM dg) SELECT i, j, round(sum(w), 6) + 0.0::DOUBLE AS w FROM t GROUP BY 1, 2 HAVING abs(sum(w)) > 1e-9", "kg"))
 def _(spark, sf):
     e = V.knn_graph(spark, sf)
     lap = S.normalisations(e).where("kind = 'norm_adj'").select("i", "j", (-F.col("w")).alias("w"))
@@ -277,7 +277,7 @@ def _(spark, sf):
     return E.adjacency(C.top_k(p, F.col("s"), 300).select("u", "v"))
 
 
-@query("ticket", sql("WITH e AS (SELECT u, v, row_number() OVER (ORDER BY u, v) - 1 AS i, count(*) OVER () AS m FROM ug), t AS (SELECT (floor(k * m / 700)::BIGINT + (5 * 2654435761) % m) % m AS i FROM (SELECT DISTINCT m FROM e), range(700) AS r(k)) SELECT u, v FROM e JOIN t USING (i)", "ug"))
+@query("ticket", sql("WITH e AS (SELECT u, v, row_number() OVER (ORDER BY u, v) - 1 AS i, count(*) OVER () AS m FROM ug), t AS (SELECT (floor(k * m / least(700, m))::BIGINT + (5 * 2654435761) % m) % m AS i FROM (SELECT DISTINCT m FROM e), range(700) AS r(k) WHERE k < m) SELECT u, v FROM e JOIN t USING (i)", "ug"))
 def _(spark, sf):
     return C.ticket(V.user_graph(spark, sf).select("u", "v"), 700, 5).select("u", "v")
 

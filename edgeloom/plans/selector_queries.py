@@ -48,12 +48,12 @@ def _(spark, sf):
     return owned(spark, sf).select("u", "v", "owner")
 
 
-@query("cluster_budgets", sql(f"WITH {OWN}, c AS (SELECT owner, count(*) AS cap FROM o GROUP BY 1), t AS (SELECT owner, cap, 700 AS b, cap * 700 / sum(cap) OVER ()::DOUBLE AS raw FROM c), f AS (SELECT *, floor(round(raw, 9))::BIGINT AS fl FROM t) SELECT owner, cap, (fl + CASE WHEN row_number() OVER (ORDER BY (fl < cap)::INT DESC, round(raw - fl, 9) DESC, owner) <= b - sum(fl) OVER () THEN 1 ELSE 0 END)::BIGINT AS give FROM f", "ug"))
+@query("cluster_budgets", sql(f"WITH {OWN}, c AS (SELECT owner, count(*) AS cap FROM o GROUP BY 1), t AS (SELECT owner, cap, least(700, sum(cap) OVER ()) AS b, cap * least(700, sum(cap) OVER ()) / sum(cap) OVER ()::DOUBLE AS raw FROM c), f AS (SELECT *, floor(round(raw, 9))::BIGINT AS fl FROM t) SELECT owner, cap, (fl + CASE WHEN row_number() OVER (ORDER BY (fl < cap)::INT DESC, round(raw - fl, 9) DESC, owner) <= b - sum(fl) OVER () THEN 1 ELSE 0 END)::BIGINT AS give FROM f", "ug"))
 def _(spark, sf):
     return U.cluster_budgets(owned(spark, sf), 700).select("owner", "cap", "give")
 
 
-@query("fast_by_cluster", sql(f"WITH {OWN} SELECT 700::BIGINT AS edges", "ug"))
+@query("fast_by_cluster", sql(f"WITH {OWN} SELECT least(700, count(*))::BIGINT AS edges FROM o", "ug"))
 def _(spark, sf):
     o = owned(spark, sf)
     return U.fast_by_cluster(o, 700, o.select("u", "v", F.col("w").alias("s"))).agg(F.count("*").alias("edges"))
