@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import zlib
 
 import numpy as np
@@ -81,3 +83,13 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20):
     rows = max(1, int(len(batch) * most / max(1, batch.column(column).nbytes)))
     for i in range(0, len(batch), rows):
         yield batch.slice(i, rows)
+
+
+def give_back() -> None:
+    """Return memory that this Python worker has freed to the machine: workers stay, and idle ones count too."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass

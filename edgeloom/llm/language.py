@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import DOCUMENT, fold, table, texts, uniform
+from edgeloom.llm.common import DOCUMENT, fold, give_back, table, texts, uniform
 from edgeloom.llm.ftrl import Ftrl, dense
 from edgeloom.session import join_counted, stored
 
@@ -140,6 +140,7 @@ def identified(docs: DataFrame, model: dict, text: str = "text", pred: str = "la
             k = int(p.argmax())
             langs.append(m["langs"][k])
             scores.append(float(p[k] / p.sum()))
+        give_back()
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
     out = docs.select(*[c for c in docs.columns if c not in (pred, score)])

@@ -22,7 +22,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import DOCUMENT, table, texts
+from edgeloom.llm.common import DOCUMENT, give_back, table, texts
 
 SPACE = "▁"
 #: Encoded words that one Python worker remembers (about 60 MB).
@@ -165,6 +165,7 @@ def with_pieces(docs: DataFrame, model_path: str, text: str = "text", ids: str =
         np.cumsum([len(r) for r in rows], out=offsets[1:])
         flat = pa.array(np.concatenate(rows) if rows else np.empty(0, np.int32))
         back = pa.array([coder.sp.decode(r.tolist()) for r in rows], pa.string())
+        give_back()
         return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), flat), back], ["ids", "decoded"])
 
     coded = F.arrow_udf(code, "struct<ids: array<int>, decoded: string>")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import DOCUMENT, fold, table, texts
+from edgeloom.llm.common import DOCUMENT, fold, give_back, table, texts
 from edgeloom.session import join_counted, stored
 
 #: The bound of the sample that the text model is fitted on: labelled documents.
@@ -121,6 +121,7 @@ def judged(docs: DataFrame, model: tuple, host: Column, path: Column, text: str
 
     def odds(column: pa.Array) -> pa.Array:
         x = np.array([features(t) for t in texts(column)]).reshape(-1, FEATURES)
+        give_back()
         return pa.array(np.clip(((x - centre) / scale) @ w, -15, 15))
 
     logit = F.arrow_udf(odds, "double")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import DOCUMENT, WordHashes, mix, slices, small_batches, table, texts
+from edgeloom.llm.common import DOCUMENT, WordHashes, give_back, mix, slices, small_batches, table, texts
 from edgeloom.operators.components import components
 from edgeloom.session import join_counted, stored
 
@@ -71,6 +71,8 @@ def _sets(text_index: int, words: int) -> Callable[[Iterator[pa.RecordBatch]], I
         for whole in batches:
             for batch in slices(whole, text_index):
                 yield batch, [shingles(t) for t in texts(batch.column(text_index))]
+        shingles = None
+        give_back()
 
     return read
 
@@ -133,6 +135,7 @@ def _shared(slots: int):
         order = np.argsort(slot, kind="stable")
         edges = np.searchsorted(slot[order], np.arange(slots + 1))
         full = np.flatnonzero(np.diff(edges))
+        give_back()
         part = lambda x: pa.array([x[order[edges[i] : edges[i + 1]]].tobytes() for i in full], pa.binary())
         return pa.table([pa.array(full.astype(np.int32)), part(names), part(count)], ["slot", "nodes", "counts"])
 
@@ -245,6 +248,7 @@ def _search(num: int, den: int):
             for x, y in t_occurrence(sets, num, den, two if two.any() else None):
                 u.append(node[a + x])
                 v.append(node[a + y])
+        give_back()
         return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     return run
