@@ -56,16 +56,17 @@ class WordCoder:
     """The tokenizer of a file, with the ids of the parts it cuts texts into remembered.
 
     No token crosses the border of a part, and only the last token of a part has the word-end mark, so many new
-    parts are encoded together and told apart by it.
+    parts are encoded together and told apart by it. A text that holds an added token such as <|endoftext|>, in any case,
+    is encoded whole, as the library finds these before it cuts.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.parts = _parts().findall
         self.known: dict[str, bytes] = {}
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocab = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -73,6 +74,9 @@ class WordCoder:
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
+    def _adds(self, low: str) -> bool:
+        return any(a in low for a in self.added)
+
     def learn(self, parts: list[str]) -> None:
         for i in range(0, len(parts), 200):
             some = parts[i : i + 200]
@@ -86,7 +90,7 @@ class WordCoder:
 
     def encode(self, many: list[str]) -> list[np.ndarray]:
         """Ids of whole texts, without an end id."""
-        cut = [None if PLAIN.search(t) else self.parts(t.lower()) for t in many]
+        cut = [None if PLAIN.search(t) or self._adds(low := t.lower()) else self.parts(low) for t in many]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         self.learn(list({p for ps in cut if ps for p in ps} - self.known.keys()))

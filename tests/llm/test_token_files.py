@@ -25,6 +25,17 @@ def test_ids_equal_the_library(path):
             assert ids.tolist() == c.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_added_tokens_are_the_library_default(path):
+    from tokenizers import Tokenizer
+
+    c, fresh = WordCoder(path), Tokenizer.from_file(path)
+    assert c.encode(["a <|endoftext|> b"])[0].tolist() == [320, 49407, 321]
+    many = ["<|startoftext|>The text<|endoftext|>", "A<|ENDOFTEXT|>b", "é <|endoftext|>\n", "<|endoftext", "中<|startoftext|>", "endoftext <| endoftext |>", "plain text"]
+    for _ in range(2):
+        for t, ids in zip(many, c.encode(many)):
+            assert ids.tolist() == fresh.encode(t, add_special_tokens=False).ids, t
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_grammar_round_trip(seed):
     rng = np.random.default_rng(seed)
