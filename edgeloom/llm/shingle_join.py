@@ -154,12 +154,13 @@ def _bytes(t: pa.Table, column: str, kind) -> np.ndarray:
 
 
 def _rows(words: int):
-    """(node, text) to (node, n, shingles): the set itself, as bytes."""
+    """(node, text) to (node, n, shingles): the set itself, as bytes, where the set has that name; a null node takes any set."""
     read = _sets(1, words)
 
     def run(batches):
         for batch, sets in read(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "n", "shingles"])
+            rows = [(name, s) for node, s in zip(batch.column(0).to_pylist(), sets) if len(s) and ((name := _name(s)) == node or node is None)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([len(r[1]) for r in rows], pa.int64()), pa.array([r[1].tobytes() for r in rows], pa.binary())], ["node", "n", "shingles"])
 
     return run
 
@@ -278,7 +279,15 @@ def linked(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, key:
     alive = stored(reps.join(shared, "node").where(F.col("shared") * den >= F.col("n") * num).select("node", "doc_id"), "nj-alive")
     n_alive = alive.count()
 
-    sets = join_counted(base, alive, ["doc_id"], n_alive).select("node", "text").mapInArrow(_rows(words), "node long, n long, shingles binary")
+    # a key tells the row of a set unless other sets have it too, or it is null: then the sets' own names do
+    keys = alive.groupBy("doc_id").agg(F.when(F.count("*") == 1, F.min("node")).alias("node"))
+    keys = stored(keys.withColumn("node", F.when(F.col("doc_id").isNotNull(), F.col("node"))), "nj-keys")
+    fetched = lambda rows: rows.select("node", "text").mapInArrow(_rows(words), "node long, n long, shingles binary")
+    sets = fetched(join_counted(base, keys.where("node is not null"), ["doc_id"], n_alive))
+    if n_loose := keys.where("node is null").count():
+        loose = join_counted(base, keys.where("node is null and doc_id is not null"), ["doc_id"], n_loose)
+        loose = loose.unionByName(base.where("doc_id is null").withColumn("node", F.lit(None).cast("long")))
+        sets = sets.unionByName(join_counted(fetched(loose), alive.select("node"), ["node"], n_alive))
     sets = stored(sets.dropDuplicates(["node"]), "nj-sets")
     each = sets.mapInArrow(_each, "shingle long, node long, n long")
     often = each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")

@@ -83,6 +83,19 @@ def test_odd_rows(spark):
     assert linked(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_shared_and_null_keys_keep_their_own_sets(spark):
+    text = lambda start, extra="": " ".join(f"w{start + j}" for j in range(60)) + extra
+    # ids 0 to 7 stand for two texts each, and each text has a near copy under an id of its own
+    rows = [(i, text(1000 * i + 100 * k)) for i in range(8) for k in range(2)]
+    rows += [(100 + 2 * i + k, text(1000 * i + 100 * k, " x")) for i in range(8) for k in range(2)]
+    # texts with null ids only, near copies of texts with an id and of each other
+    rows += [(None, text(50_000)), (None, text(50_000)), (200, text(50_000, " x")), (None, text(60_000)), (None, text(60_000, " x"))]
+    got = Counter(map(tuple, linked(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()))
+    want = Counter((i, 58, i) for i in range(8) for _ in range(2)) + Counter((100 + 2 * i + k, 59, i) for i in range(8) for k in range(2))
+    want += Counter([(None, 58, 200)] * 2 + [(200, 59, 200), (None, 58, None), (None, 59, None)])
+    assert got == want
+
+
 def test_search_of_one_block():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 40, rng.integers(1, 30)).astype(np.uint64)) for _ in range(80)]
