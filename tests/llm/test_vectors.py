@@ -55,6 +55,21 @@ def test_links_and_components(spark, monkeypatch, part):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in out)
 
 
+def test_large_inputs_keep_the_width_of_tables(spark, monkeypatch):
+    widths = []
+
+    def seen(bits, width, tables):
+        widths.append(width)
+        raise StopIteration
+
+    monkeypatch.setattr(embed_dups, "picks", seen)
+    rows = spark.range(200_001).selectExpr("id as vec_id", "transform(sequence(1, 16), i -> float(hash(id, i))) as embedding")
+    for n in (100, 200_001):
+        with pytest.raises(StopIteration):
+            near_duplicates(rows.where(f"vec_id < {n}"))
+    assert widths == [12, 12]
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None), (2, []), (3, [0.0] * 8), (4, [nan] + [1.0] * 7), (5, [inf] + [1.0] * 7), (6, [None] + [1.0] * 7), (7, [1.0] * 8), (8, [2.0] * 8), (9, [1.0] * 8), (10, [1.0] * 4), (11, [-1.0] * 8), (9, [1.0] * 8), (None, [1.0] * 8)]
