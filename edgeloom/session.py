@@ -16,12 +16,17 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 300_000
 #: Pieces into which the salted join cuts each key of its large side.
 SALTS = 16
+#: Bytes that a writer of a stored table holds in memory before it writes them out.
+ROW_GROUP = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one of our own only where that is unset."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one of our own only where that is unset and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="edgeloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -31,7 +36,7 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
     """``df`` written to the shared folder and read back: its lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
