@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +18,7 @@ DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 #: Rows and bytes of a batch that goes to Python: whole texts are long rows.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -63,22 +63,41 @@ def mix(h: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Word bytes to a 64-bit hash, remembered; emptied when it holds ``most`` words."""
 
-    def __init__(self, most: int = 200_000):
+    def __init__(self, most: int = 100_000):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
             self.clear()
-        h = self[word] = (zlib.crc32(word) << 32 | zlib.crc32(word, 0x5BD1E995)) ^ (len(word) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:  # long words would fill the memory
+            self[word] = h
         return h
 
 
+def held_columns(docs: DataFrame) -> list[str]:
+    """The columns of documents that a table has: what a pipeline stage returns."""
+    return [c for c in DOCUMENT if c in docs.columns]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own beside those of a table, whatever those are called."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def texts(column: pa.Array) -> list[str]:
     """Python strings of an Arrow column, null as empty."""
     return [x or "" for x in column.to_pylist()]
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 20):
     """Parts of a batch with about ``most`` bytes in one column, so that what is made of a part stays small."""
     rows = max(1, int(len(batch) * most / max(1, batch.column(column).nbytes)))
     for i in range(0, len(batch), rows):

@@ -3,13 +3,17 @@
 Documents are sets of word shingles, and two are linked when ``den * |A and B| >= num * |A or B|``.
 Steps, each of which loses no link:
 
-1. Documents with one set are one node, named by a hash of the set, so copies are never paired.
-2. A linked document shares at least ``num / den`` of its own shingles with another node. Shingles
-   are dealt by hash to buckets, 4 bytes each, and a bucket tells each node how many of its
-   shingles there stand in a second node too. Nodes with too few shared ones leave here.
+1. Documents with one set are one node, named by a 128-bit hash of the set, so copies are never paired.
+   Half of the name is the node's id; sets whose halves meet take the other half.
+2. A linked document shares at least ``num / den`` of its own shingles with another node. A shingle
+   that two nodes of one batch have is counted there and sent on once, however common it is. Others are dealt
+   by hash to buckets, 4 bytes each, and a bucket tells each node how many of its
+   shingles there stand in a second node too. Nodes with too few shared ones leave here; a set that
+   stands in several batches may be counted too high, never too low.
 3. The rest order their shingles by document frequency, rarest first. Linked nodes share one of
    the first ``n - ceil(n * num / den) + 1``; the short inverted lists of these give, as chains
-   ordered by size, the candidate groups (components of the chains).
+   ordered by size, the candidate groups (components of the chains). A long list is cut by a hash of the
+   node into lists of about LIST nodes, each gives runs without a gap in size, and the runs are chained.
 4. A candidate group is searched by T-occurrence: every node is a query over the smaller nodes
    before it. The ``L`` longest of its lists are set aside, the short ones are merged and keep
    nodes that occur ``T - L`` times, and these are probed by binary search in the long ones.
@@ -18,7 +22,7 @@ Steps, each of which loses no link:
    into blocks, and all pairs of blocks with compatible sizes are searched.
 5. Components of the links.
 
-Nothing is sampled or capped; hashes have 64 bits.
+Nothing is sampled or capped. Words and shingles are told apart by 64-bit hashes, sets by 128 bits.
 """
 
 from __future__ import annotations
@@ -27,16 +31,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import DOCUMENT, WordHashes, give_back, mix, slices, small_batches, table, texts
+from edgeloom.llm.common import WordHashes, give_back, held_columns, mix, slices, small_batches, table, texts
 from edgeloom.operators.components import components
-from edgeloom.session import join_counted, stored
+from edgeloom.operators.order import running
+from edgeloom.session import dropped, join_counted, stored
 
 #: Shingles per bucket of step 2 and per block of step 4, which bound a task's memory.
-BUCKET_SHINGLES = 1_000_000
-GROUP_SHINGLES = 1_500_000
+BUCKET_SHINGLES = 600_000
+GROUP_SHINGLES = 800_000
+#: Nodes of an inverted list that are put in order together.
+LIST = 10_000
 #: Weight of a merge step against a probe in the choice of L.
 MU = 0.0085
 
@@ -59,10 +67,11 @@ def shingler(words: int) -> Callable[[str], np.ndarray]:
     return shingles
 
 
-def _name(s: np.ndarray) -> int:
-    """The 64-bit name of a set, as a signed integer; the names of different sets differ but by chance."""
-    both = s.sum(dtype=np.uint64) ^ np.bitwise_xor.reduce(mix(s + np.uint64(len(s))))
-    return int(mix(np.array([both]))[0].astype(np.int64))
+def _name(s: np.ndarray, clash: frozenset[int] = frozenset()) -> tuple[int, int]:
+    """The id of a set and the other half of its name, as signed integers; ids in ``clash`` stand for several sets."""
+    name = xxhash.xxh3_128_intdigest(s.tobytes())
+    node, again = ((x ^ 1 << 63) - (1 << 63) for x in (name >> 64, name & 0xFFFFFFFFFFFFFFFF))
+    return (again if node in clash else node), again
 
 
 def _sets(text_index: int, words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]]:
@@ -78,40 +87,68 @@ def _sets(text_index: int, words: int) -> Callable[[Iterator[pa.RecordBatch]], I
 
 
 def _nodes(words: int):
-    """(doc_id, text) to (doc_id, n, node): the size and the name of the set; no name without words."""
+    """(doc_id, text) to (doc_id, n, node, again): the size and the name of the set; no name without words."""
     read = _sets(1, words)
 
     def run(batches):
         for batch, sets in read(batches):
-            names = [_name(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64())], ["doc_id", "n", "node"])
+            names = [_name(s) if len(s) else (None, None) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), *[pa.array([x[i] for x in names], pa.int64()) for i in (0, 1)]], ["doc_id", "n", "node", "again"])
 
     return run
 
 
-def _buckets(words: int, buckets: int):
-    """(text) to (bucket, nodes, counts, marks): for each bucket the shingles of one batch's nodes."""
+def _packed(key: np.ndarray, keys: int, *columns: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
+    """The keys that occur, and for each the bytes of its part of every column."""
+    order = np.argsort(key, kind="stable")
+    edges = np.searchsorted(key[order], np.arange(keys + 1))
+    full = np.flatnonzero(np.diff(edges))
+    return full, [pa.array([c[order[edges[i] : edges[i + 1]]].tobytes() for i in full], pa.binary()) for c in columns]
+
+
+def _buckets(words: int, buckets: int, clash: frozenset[int]):
+    """(text) to (bucket, nodes, counts, marks, common): the shingles of one batch's nodes by buckets.
+
+    ``common`` are marks that several nodes of the batch have; how many of those each node has is told under
+    the bucket ``-1 - slot`` of the node.
+    """
     read = _sets(0, words)
+    names_ = ["bucket", "nodes", "counts", "marks", "common"]
 
     def run(batches):
         for _, sets in read(batches):
-            kept = {_name(s): s for s in sets if len(s)}
+            kept = {_name(s, clash)[0]: s for s in sets if len(s)}
             if not kept:
                 continue
             names = np.fromiter(kept, np.int64, len(kept))
             all_ = np.concatenate(list(kept.values()))
             owner = np.repeat(np.arange(len(names), dtype=np.int32), [len(s) for s in kept.values()])
-            where = ((all_ >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
-            order = np.argsort(where, kind="stable")
-            edges = np.searchsorted(where[order], np.arange(buckets + 1))
-            marks = (all_ & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            order = np.argsort(all_)
+            starts = np.flatnonzero(np.diff(all_[order], prepend=all_[order[:1]] ^ np.uint64(1)))
+            many = np.diff(starts, append=len(order))
+            local = np.zeros(len(all_), bool)
+            local[order] = np.repeat(many > 1, many)
+            told = np.bincount(owner[local], minlength=len(names)).astype(np.int32)
+            where = lambda x: ((x >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+            low = lambda x: (x & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+            own, one = owner[~local], all_[~local]
+            place = where(one)
+            by = np.argsort(place, kind="stable")
+            own, one, place = own[by], one[by], place[by]
+            edges = np.searchsorted(place, np.arange(buckets + 1))
+            common = all_[order[starts[many > 1]]]
+            hot = np.searchsorted(where(common), np.arange(buckets + 1))  # ascending, as the shingles are
             rows: list[tuple] = []
-            for b in np.flatnonzero(np.diff(edges)):
-                at = order[edges[b] : edges[b + 1]]
-                own = owner[at]
-                first = np.flatnonzero(np.diff(own, prepend=-1))
-                rows.append((int(b), names[own[first]].tobytes(), np.diff(first, append=len(own)).astype(np.int32).tobytes(), marks[at].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3)]], ["bucket", "nodes", "counts", "marks"])
+            for b in np.flatnonzero(np.diff(edges) + np.diff(hot)):
+                mine = own[edges[b] : edges[b + 1]]
+                first = np.flatnonzero(np.diff(mine, prepend=-1))
+                rows.append((int(b), names[mine[first]].tobytes(), np.diff(first, append=len(mine)).astype(np.int32).tobytes(), low(one[edges[b] : edges[b + 1]]).tobytes(), low(common[hot[b] : hot[b + 1]]).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3, 4)]], names_)
+            some = told > 0
+            full, (nodes, counts) = _packed(names[some] % buckets, buckets, names[some], told[some])
+            none = pa.array([b""] * len(full), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array((-1 - full).astype(np.int32)), nodes, counts, none, none], names_)
 
     return run
 
@@ -120,24 +157,26 @@ def _shared(slots: int):
     """A bucket to (slot, nodes, counts): how many shingles of each node there another node has too, packed by slots of nodes."""
 
     def run(t: pa.Table) -> pa.Table:
-        node = np.repeat(_bytes(t, "nodes", np.int64), _bytes(t, "counts", np.int32))
-        mark = _bytes(t, "marks", np.uint32)
-        names, node = np.unique(node, return_inverse=True)
-        pair = np.unique(mark.astype(np.uint64) << np.uint64(32) | node.astype(np.uint64))
-        mark, node = pair >> np.uint64(32), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        same = mark[1:] == mark[:-1]
-        shared = np.zeros(len(mark), bool)
-        shared[1:] |= same
-        shared[:-1] |= same
-        count = np.bincount(node[shared], minlength=len(names)).astype(np.int32)
-        names, count = names[count > 0], count[count > 0]
-        slot = names % slots
-        order = np.argsort(slot, kind="stable")
-        edges = np.searchsorted(slot[order], np.arange(slots + 1))
-        full = np.flatnonzero(np.diff(edges))
+        bucket = t.column("bucket")[0].as_py()
+        names, counts = _bytes(t, "nodes", np.int64), _bytes(t, "counts", np.int32)
+        if bucket >= 0:
+            node = np.repeat(names, counts)
+            mark = _bytes(t, "marks", np.uint32)
+            names, node = np.unique(node, return_inverse=True)
+            pair = np.unique(mark.astype(np.uint64) << np.uint64(32) | node.astype(np.uint64))
+            mark, node = pair >> np.uint64(32), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            same = mark[1:] == mark[:-1]
+            shared = np.zeros(len(mark), bool)
+            shared[1:] |= same
+            shared[:-1] |= same
+            common = np.unique(_bytes(t, "common", np.uint32)).astype(np.uint64)
+            if len(common):
+                shared |= common[np.minimum(np.searchsorted(common, mark), len(common) - 1)] == mark
+            counts = np.bincount(node[shared], minlength=len(names)).astype(np.int32)
+            names, counts = names[counts > 0], counts[counts > 0]
+        full, packed = _packed(names % slots, slots, names, counts)
         give_back()
-        part = lambda x: pa.array([x[order[edges[i] : edges[i + 1]]].tobytes() for i in full], pa.binary())
-        return pa.table([pa.array(full.astype(np.int32)), part(names), part(count)], ["slot", "nodes", "counts"])
+        return pa.table([pa.array(full.astype(np.int32)), *packed], ["slot", "nodes", "counts"])
 
     return run
 
@@ -153,13 +192,13 @@ def _bytes(t: pa.Table, column: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(t.column(column).to_pylist()), kind)
 
 
-def _rows(words: int):
+def _rows(words: int, clash: frozenset[int]):
     """(node, text) to (node, n, shingles): the set itself, as bytes, where the set has that name; a null node takes any set."""
     read = _sets(1, words)
 
     def run(batches):
         for batch, sets in read(batches):
-            rows = [(name, s) for node, s in zip(batch.column(0).to_pylist(), sets) if len(s) and ((name := _name(s)) == node or node is None)]
+            rows = [(name, s) for node, s in zip(batch.column(0).to_pylist(), sets) if len(s) and ((name := _name(s, clash)[0]) == node or node is None)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([len(r[1]) for r in rows], pa.int64()), pa.array([r[1].tobytes() for r in rows], pa.binary())], ["node", "n", "shingles"])
 
     return run
@@ -268,12 +307,20 @@ def linked(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, key:
     spark = docs.sparkSession
     small_batches(spark)
     base = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    nodes = stored(base.mapInArrow(_nodes(words), "doc_id long, n long, node long"), "nj-nodes")
-    reps = nodes.where("node is not null").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"))
-    total = nodes.agg(F.sum("n")).first()[0] or 0
+    nodes = stored(base.mapInArrow(_nodes(words), "doc_id long, n long, node long, again long"), "nj-nodes")
+    clash: frozenset[int] = frozenset()
+    while True:
+        reps = nodes.where("node is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id"), (F.min("again") != F.max("again")).alias("clash"))
+        reps = stored(reps, "nj-reps")
+        found = {r["node"] for r in reps.where("clash").select("node").collect()}  # by chance: n * n / 2 ** 65 of n sets
+        if not found:
+            break
+        clash |= found
+        nodes = stored(nodes.withColumn("node", F.when(F.col("node").isin(list(found)), F.col("again")).otherwise(F.col("node"))), "nj-nodes")
+    total = reps.agg(F.sum("n")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_SHINGLES))
 
-    dealt = base.select("text").mapInArrow(_buckets(words, buckets), "bucket int, nodes binary, counts binary, marks binary")
+    dealt = base.select("text").mapInArrow(_buckets(words, buckets, clash), "bucket int, nodes binary, counts binary, marks binary, common binary")
     shared = dealt.groupBy("bucket").applyInArrow(_shared(buckets), "slot int, nodes binary, counts binary")
     shared = shared.groupBy("slot").applyInArrow(_summed, "node long, shared long")
     alive = stored(reps.join(shared, "node").where(F.col("shared") * den >= F.col("n") * num).select("node", "doc_id"), "nj-alive")
@@ -282,7 +329,7 @@ def linked(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, key:
     # a key tells the row of a set unless other sets have it too, or it is null: then the sets' own names do
     keys = alive.groupBy("doc_id").agg(F.when(F.count("*") == 1, F.min("node")).alias("node"))
     keys = stored(keys.withColumn("node", F.when(F.col("doc_id").isNotNull(), F.col("node"))), "nj-keys")
-    fetched = lambda rows: rows.select("node", "text").mapInArrow(_rows(words), "node long, n long, shingles binary")
+    fetched = lambda rows: rows.select("node", "text").mapInArrow(_rows(words, clash), "node long, n long, shingles binary")
     sets = fetched(join_counted(base, keys.where("node is not null"), ["doc_id"], n_alive))
     if n_loose := keys.where("node is null").count():
         loose = join_counted(base, keys.where("node is null and doc_id is not null"), ["doc_id"], n_loose)
@@ -293,14 +340,28 @@ def linked(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, key:
     often = each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     ordered = each.join(often, "shingle").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("rare"))
     first = F.col("n") - F.ceil(F.col("n") * num / den) + 1 - (F.col("n") - F.size("rare"))
-    prefix = ordered.where(first > 0).select("node", "n", F.explode(F.slice("rare", F.lit(1), first.cast("int"))).alias("r")).select("node", "n", F.col("r.shingle").alias("shingle"))
-    w = Window.partitionBy("shingle").orderBy("n", "node")
-    chain = prefix.select("node", "n", F.lag("node").over(w).alias("other"), F.lag("n").over(w).alias("m")).where((F.col("m") * den >= F.col("n") * num))
-    groups = stored(components(chain.select(F.col("node").alias("u"), F.col("other").alias("v")).distinct()), "nj-groups")
-
-    slim = sets.select("node", "n").join(groups, "node")
-    run = F.sum("n").over(Window.partitionBy("component").orderBy("n", "node"))
-    slim = stored(slim.withColumn("block", F.floor((run - F.col("n")) / GROUP_SHINGLES)), "nj-blocks")
+    prefix = ordered.where(first > 0).select("node", "n", F.explode(F.slice("rare", F.lit(1), first.cast("int"))).alias("r"))
+    prefix = prefix.select("node", "n", F.col("r.shingle").alias("shingle"), F.pmod(F.xxhash64("node"), F.ceil(F.col("r.df") / LIST)).alias("cut"))
+    w = Window.partitionBy("shingle", "cut").orderBy("n", "node")
+    gap = F.coalesce(F.lag("n").over(w) * den < F.col("n") * num, F.lit(True))
+    chain = prefix.withColumn("other", F.lag("node").over(w)).withColumn("gap", gap).withColumn("run", F.sum(F.col("gap").cast("long")).over(w))
+    chain = stored(chain, "nj-chain")
+    links = chain.where("not gap").select(F.col("node").alias("u"), F.col("other").alias("v"))
+    runs = chain.groupBy("shingle", "cut", "run").agg(F.min("n").alias("low"), F.max(F.struct("n", "node")).alias("top"))
+    before = Window.partitionBy("shingle").orderBy("low", "top").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("reach", F.max("top").over(before)).where(F.col("reach.n") * den >= F.col("low") * num)
+    links = links.unionByName(runs.select(F.col("top.node").alias("u"), F.col("reach.node").alias("v")))
+    groups = stored(components(links.distinct()), "nj-groups")
+
+    slim = stored(sets.select("node", "n").join(groups, "node"), "nj-slim")
+    large = stored(slim.groupBy("component").agg(F.sum("n").alias("whole")).where(F.col("whole") > GROUP_SHINGLES).select("component"), "nj-large")
+    if n_large := large.count():
+        cut = running(join_counted(slim, large, ["component"], n_large), [F.col("component"), F.col("n"), F.col("node")], F.col("n").cast("double"), "pos", "cum")
+        cut = cut.select("node", "n", "component", F.floor((F.col("cum") - F.col("n")) / GROUP_SHINGLES).alias("block"))
+        rest = join_counted(slim, large.withColumn("is_large", F.lit(True)), ["component"], n_large, "left").where("is_large is null").select("node", "n", "component", F.lit(0).cast("long").alias("block"))
+        slim = stored(cut.unionByName(rest), "nj-blocks")
+    else:
+        slim = slim.withColumn("block", F.lit(0).cast("long"))
     blocks = slim.groupBy("component", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     a = blocks.select("component", F.col("block").alias("i"), F.col("high"))
     b = blocks.select("component", F.col("block").alias("j"), F.col("low"))
@@ -308,7 +369,7 @@ def linked(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, key:
     sides = pairs.select("component", "i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array(F.struct(F.col("i").alias("block"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("i").alias("block"), F.lit(0).alias("side")), F.struct(F.col("j").alias("block"), F.lit(1).alias("side"))))).alias("s"))
     sides = sides.select("component", "i", "j", "s.block", "s.side")
     bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(slim.agg(F.sum("n")).first()[0] or 0) // GROUP_SHINGLES))
-    sizes = blocks.groupBy("component").agg((F.max("block") > 0).alias("large"))
+    sizes = blocks.groupBy("component").agg((F.count("*") > 1).alias("large"))
     place = slim.join(sides, ["component", "block"]).join(sizes, "component")
     place = place.select("node", "side", F.xxhash64("component", "i", "j").alias("part"), F.when(F.col("large"), F.xxhash64("component", "i", "j")).otherwise(F.pmod("component", F.lit(bins))).alias("bin"))
     links = place.join(sets.select("node", "shingles"), "node").groupBy("bin").applyInArrow(_search(num, den), "u long, v long")
@@ -318,9 +379,9 @@ def linked(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, key:
         reps.join(joined, "node").groupBy("component").agg(F.min("doc_id").alias("component_id")).join(joined, "component").select("node", "component_id"), "nj-least"
     )
     n_least = least.count()
-    own = stored(reps.select("node", F.col("doc_id").alias("own")), "nj-reps")
-    out = nodes.join(own, "node", "left")
+    out = nodes.select("doc_id", "n", "node").join(reps.select("node", F.col("doc_id").alias("own")), "node", "left")
     out = join_counted(out, least, ["node"], n_least, "left")
+    dropped(alive, keys, sets, chain, groups, large)
     return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "own", "doc_id").alias("component_id"))
 
 
@@ -333,5 +394,6 @@ def stage(spark, docs: DataFrame, sf_dir) -> DataFrame:
     out = linked(docs.select("doc_id", "text"))
     kept = stored(out.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg((F.count("*") > 1).alias("again")), "nj-kept")
     stay = join_counted(docs.where("doc_id is not null"), kept, ["doc_id"], kept.count())
-    once = stay.where("not again").unionByName(stay.where("again").dropDuplicates(["doc_id"])).select(*DOCUMENT)
-    return once.unionByName(docs.where("doc_id is null").select(*DOCUMENT))
+    held = held_columns(docs)
+    once = stay.where("not again").unionByName(stay.where("again").dropDuplicates(["doc_id"])).select(*held)
+    return once.unionByName(docs.where("doc_id is null").select(*held))

@@ -96,6 +96,51 @@ def test_shared_and_null_keys_keep_their_own_sets(spark):
     assert got == want
 
 
+def test_words_of_equal_checksum_differ(spark):
+    # the two last words have the same crc32 under any start value
+    text = "a b c d e f g h i j k l"
+    rows = [(1, f"{text} hxcmqurip"), (2, f"{text} oxexryexh"), (3, f"{text} zzz")]
+    out = linked(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()
+    assert Counter(map(tuple, out)) == Counter([(1, 11, 1), (2, 11, 2), (3, 11, 3)])
+
+
+def test_order_of_rows_and_batches_does_not_matter(spark):
+    rows = corpus(5) + [(i, t) for i, t in corpus(6)][:40]
+    rng = random.Random(1)
+    want = brute(rows, 3, 90, 100)
+    for parts in (1, 7):
+        rng.shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        assert Counter(map(tuple, linked(docs, 3, 90, 100).collect())) == want
+
+
+def test_sets_whose_ids_meet_take_the_other_half_of_their_names(spark, monkeypatch):
+    name = shingle_join._name
+
+    def meeting(s, clash=frozenset()):
+        again = name(s)[1]
+        node = len(s)  # sets of one size meet
+        return (again if node in clash else node), again
+
+    monkeypatch.setattr(shingle_join, "_name", meeting)
+    rows = corpus(8, 60)
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(shingle_join)
+    try:
+        out = linked(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()
+    finally:
+        cloudpickle.unregister_pickle_by_value(shingle_join)
+    assert Counter(map(tuple, out)) == brute(rows, 3, 90, 100)
+
+
+def test_long_lists_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(shingle_join, "LIST", 5)
+    rows = corpus(12) + [(5000 + i, " ".join(f"w{j}" for j in range(40 + i % 9)) + f" w{i % 7}") for i in range(60)]
+    out = linked(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()
+    assert Counter(map(tuple, out)) == brute(rows, 3, 90, 100)
+
+
 def test_search_of_one_block():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 40, rng.integers(1, 30)).astype(np.uint64)) for _ in range(80)]
