@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import DOCUMENT, fold, give_back, table, texts, uniform
+from edgeloom.llm.common import fold, fresh, give_back, held_columns, small_batches, table, texts, uniform
 from edgeloom.llm.ftrl import Ftrl, dense
 from edgeloom.session import join_counted, stored
 
@@ -143,9 +143,10 @@ def identified(docs: DataFrame, model: dict, text: str = "text", pred: str = "la
         give_back()
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
-    out = docs.select(*[c for c in docs.columns if c not in (pred, score)])
-    out = out.withColumn("__judged", F.arrow_udf(judge, "struct<lang: string, score: double>")(F.col(text)))
-    return out.select(*[c for c in out.columns if c != "__judged"], F.col("__judged.lang").alias(pred), F.col("__judged.score").alias(score))
+    kept = [c for c in docs.columns if c not in (pred, score)]
+    (both,) = fresh(docs, "judged")
+    out = docs.withColumn(both, F.arrow_udf(judge, "struct<lang: string, score: double>")(F.col(text)))
+    return out.select(*kept, F.col(both)["lang"].alias(pred), F.col(both)["score"].alias(score))
 
 
 def op4_language(spark, sf_dir) -> DataFrame:
@@ -155,6 +156,11 @@ def op4_language(spark, sf_dir) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir) -> DataFrame:
-    """Documents with a language, told with at least LEAST_SCORE, stay."""
-    out = identified(docs, fitted(docs))
-    return out.where((F.col("lang_pred") != NONE) & (F.col("score") >= LEAST_SCORE)).select(*DOCUMENT)
+    """Documents with a language, told with at least LEAST_SCORE, stay; null texts and texts without a letter go.
+
+    Rows are judged one by one, so repeated rows stay or go together; an empty table stays empty.
+    """
+    small_batches(spark)
+    held = held_columns(docs)
+    out = identified(docs.select(*held), fitted(docs))
+    return out.where((F.col("lang_pred") != NONE) & (F.col("score") >= LEAST_SCORE)).select(*held)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import DOCUMENT, table, word_count
+from edgeloom.llm.common import fresh, held_columns, table, word_count
 from edgeloom.session import join_counted, stored
 
 #: Cells of a source's hash range at each of the two levels.
@@ -76,14 +76,16 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share:
     input that have the names of the new ones are replaced.
     """
     new = ["size", "source_size", "target", "times"]
-    base = docs.drop(*new).withColumn("size", word_count(F.col("text")))
-    name, null = "__source", F.col(key).isNull()
-    base = base.withColumn(name, F.struct(null.alias("missing"), F.coalesce(F.col(key), F.lit("")).alias("name")))
-    base = base.withColumn("__h", F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64("text")))
-
-    slim = base.select(name, "size", "__h")
-    cells = stored(slim.groupBy(name, _cell(F.col("__h"), 0).alias("c0")).agg(F.sum("size").alias("words")), "mix-cells")
-    sizes = stored(ranked(cells.groupBy(name).agg(F.sum("words").alias("source_size")).withColumn(key, F.when(~F.col(f"{name}.missing"), F.col(f"{name}.name"))), key).drop(key), "mix-sources")
+    kept = [c for c in docs.columns if c not in new]
+    name, hash_, size, row_cuts = fresh(docs, "mix_source", "mix_hash", "mix_size", "mix_cuts")
+    base = docs.withColumn(name, F.struct(F.col(key).isNull().alias("missing"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("name")))
+    base = base.withColumn(hash_, F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64("text"))).withColumn(size, word_count(F.col("text")))
+
+    h = F.col("h")
+    slim = base.select(name, F.col(size).alias("size"), F.col(hash_).alias("h"))
+    cells = stored(slim.groupBy(name, _cell(h, 0).alias("c0")).agg(F.sum("size").alias("words")), "mix-cells")
+    sizes = cells.groupBy(name).agg(F.sum("words").alias("source_size")).withColumn("source", F.when(~F.col(name)["missing"], F.col(name)["name"]))
+    sizes = stored(ranked(sizes, "source").drop("source"), "mix-sources")
     cycle = F.array(*[F.lit(float(w)) for w in weights])
     plan = targets(sizes.withColumn("weight", F.element_at(cycle, (F.col("rank") % len(weights) + 1).cast("int"))), share, epochs)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -98,20 +100,22 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share:
         return found.select(*by, F.col("at.cell").alias(cell), F.col("at.left").alias("left"))
 
     first = stored(cut(join_counted(cells, plan.select(name, "need"), [name], n), [name], "c0"), "mix-cut0")
-    edge = join_counted(slim.withColumn("c0", _cell(F.col("__h"), 0)), first, [name, "c0"], n).withColumn("c1", _cell(F.col("__h"), 1))
+    edge = join_counted(slim.withColumn("c0", _cell(h, 0)), first, [name, "c0"], n).withColumn("c1", _cell(h, 1))
     fine = edge.groupBy(name, "c1").agg(F.sum("size").alias("words"), F.max("left").alias("need"))
     second = stored(cut(fine, [name], "c1").withColumnRenamed("left", "left1"), "mix-cut1")
     last = join_counted(edge, second, [name, "c1"], n)
-    run = F.sum("size").over(Window.partitionBy(name).orderBy("__h"))
-    last = last.withColumn("run", run).where(F.col("run") - F.col("size") / 2 <= F.col("left1")).groupBy(name).agg(F.max("__h").alias("h2"))
+    run = F.sum("size").over(Window.partitionBy(name).orderBy("h"))
+    last = last.withColumn("run", run).where(F.col("run") - F.col("size") / 2 <= F.col("left1")).groupBy(name).agg(F.max("h").alias("h2"))
     cuts = first.drop("left").join(second.drop("left1"), name, "left").join(last, name, "left")
-    cuts = stored(cuts, "mix-cuts")
+    plan = plan.drop("need").join(cuts, name, "left")
+    plan = stored(plan.select(name, F.struct("source_size", "target", "whole", "c0", "c1", "h2").alias(row_cuts)), "mix-cuts")
 
-    out = join_counted(join_counted(base, plan.drop("need"), [name], n), cuts, [name], n, "left")
-    c0, c1 = _cell(F.col("__h"), 0), _cell(F.col("__h"), 1)
-    extra = F.when(F.col("c0").isNull(), F.lit(False)).when(c0 != F.col("c0"), c0 < F.col("c0")).when(c1 != F.col("c1"), c1 < F.col("c1")).otherwise(F.coalesce(F.col("__h") <= F.col("h2"), F.lit(False)))
-    out = out.withColumn("times", (F.col("whole") + F.when(extra, 1).otherwise(0)).cast("long"))
-    return out.select(*[c for c in docs.columns if c not in new], *new)
+    out = join_counted(base, plan, [name], n)
+    at, h = F.col(row_cuts), F.col(hash_)
+    c0, c1 = _cell(h, 0), _cell(h, 1)
+    extra = F.when(at["c0"].isNull(), F.lit(False)).when(c0 != at["c0"], c0 < at["c0"]).when(c1 != at["c1"], c1 < at["c1"]).otherwise(F.coalesce(h <= at["h2"], F.lit(False)))
+    times = (at["whole"] + F.when(extra, 1).otherwise(0)).cast("long")
+    return out.select(*kept, F.col(size).alias("size"), at["source_size"].alias("source_size"), at["target"].alias("target"), times.alias("times"))
 
 
 def op5_source_mix(spark, sf_dir) -> DataFrame:
@@ -120,6 +124,12 @@ def op5_source_mix(spark, sf_dir) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir) -> DataFrame:
-    """The pipeline's mix: each document as many times as the mix reads it."""
-    out = mixed(docs)
-    return out.where("times > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*DOCUMENT)
+    """The pipeline's mix: each document as many times as the mix reads it.
+
+    A null or empty text is read the whole part of its source's epochs; equal rows are dealt alike; an
+    empty table stays empty.
+    """
+    held = held_columns(docs)
+    (copy,) = fresh(docs, "copy")
+    out = mixed(docs.select(*held))
+    return out.where("times > 0").select(*held, F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias(copy)).select(*held)

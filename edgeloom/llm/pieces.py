@@ -22,20 +22,22 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import DOCUMENT, give_back, table, texts
+from edgeloom.llm.common import fresh, give_back, held_columns, small_batches, table, texts
 
 SPACE = "▁"
-#: Encoded words that one Python worker remembers (about 60 MB).
-REMEMBERED = 300_000
+#: What one Python worker remembers: characters of encoded words (with their ids about 20 MB), and answers about pairs (about 12 MB).
+REMEMBERED, PAIRS = 800_000, 100_000
 
 
 class _Remembered(dict):
-    """Answers of a function, remembered."""
+    """Answers of a function, remembered; forgotten when there are more than ``most``."""
 
-    def __init__(self, ask):
-        self.ask = ask
+    def __init__(self, ask, most: int):
+        self.ask, self.most = ask, most
 
     def __missing__(self, key):
+        if len(self) >= self.most:
+            self.clear()
         found = self[key] = self.ask(key)
         return found
 
@@ -70,8 +72,9 @@ class PieceTable:
         lines = cut and "\n" not in self.inside
         self.words = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n" if lines else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if cut else "(?s:.+)").findall
         self.start = sp.get_piece_size()
-        self.pairs = _Remembered(self.stands)
+        self.pairs = _Remembered(self.stands, PAIRS)
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def merged(self, text: str) -> list[str]:
         """The merges themselves, one by one: best score first, leftmost of equals. For short texts."""
@@ -126,16 +129,19 @@ class PieceTable:
         """Ids of a whole text, without an end id."""
         words = self.words(self.sp.normalize(text)) if text else []
         known = self.known
-        try:
-            return np.frombuffer(b"".join([known[w] for w in words]), np.int32)
-        except KeyError:
-            pass
-        if len(known) > REMEMBERED:
+        if self.held > REMEMBERED:
             known.clear()
+            self.held = 0
+        out = []
         for w in words:
-            if w not in known:
-                known[w] = np.array(self._word(w), np.int32).tobytes()
-        return np.frombuffer(b"".join([known[w] for w in words]), np.int32)
+            ids = known.get(w)
+            if ids is None:
+                ids = np.array(self._word(w), np.int32).tobytes()
+                if len(w) <= 64:
+                    known[w] = ids
+                    self.held += len(w)
+            out.append(ids)
+        return np.frombuffer(b"".join(out), np.int32)
 
 
 _tables: dict[str, PieceTable] = {}
@@ -170,8 +176,9 @@ def with_pieces(docs: DataFrame, model_path: str, text: str = "text", ids: str =
 
     coded = F.arrow_udf(code, "struct<ids: array<int>, decoded: string>")
     kept = [c for c in docs.columns if c not in (ids, decoded)]
-    out = docs.withColumn("__coded", coded(F.col(text)))
-    return out.select(*kept, F.col("__coded.ids").alias(ids), F.col("__coded.decoded").alias(decoded))
+    (both,) = fresh(docs, "coded")
+    out = docs.withColumn(both, coded(F.col(text)))
+    return out.select(*kept, F.col(both)["ids"].alias(ids), F.col(both)["decoded"].alias(decoded))
 
 
 def model_path() -> str:
@@ -191,5 +198,6 @@ def op2_pieces(spark, sf_dir) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir) -> DataFrame:
-    """The pipeline's last stage: documents with their ids; the text is the decoded one."""
-    return with_pieces(docs.select(*DOCUMENT), model_path())
+    """The pipeline's last stage: documents, each with its ids and the text decoded from them."""
+    small_batches(spark)
+    return with_pieces(docs.select(*held_columns(docs)), model_path())

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import DOCUMENT, fold, give_back, table, texts
+from edgeloom.llm.common import fold, fresh, give_back, held_columns, table, texts
 from edgeloom.session import join_counted, stored
 
 #: The bound of the sample that the text model is fitted on: labelled documents.
@@ -109,9 +109,10 @@ def _strength(rates: DataFrame) -> float:
     return float(min(max(within / between - 1, STRENGTH[0]), STRENGTH[1])) if between > 0 else STRENGTH[1]
 
 
-def judged(docs: DataFrame, model: tuple, host: Column, path: Column, text: str = "text") -> DataFrame:
+def judged(docs: DataFrame, model: tuple, host: Column, path: Column, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Adds ``evidence``, ``host_rate``, ``path_rate``, ``score`` (probability of good quality) and ``kept`` (score >= 0.5).
 
+    ``carry`` names the columns that stay, all of them by default; texts are scored once and written with these.
     Null hosts are one host, null paths one path of their host. A null or empty text has the evidence that
     the model gives to no words. Rows are judged one by one given their site, so repeated rows
     agree; an empty table stays empty; columns that have the new names are replaced.
@@ -124,35 +125,44 @@ def judged(docs: DataFrame, model: tuple, host: Column, path: Column, text: str
         give_back()
         return pa.array(np.clip(((x - centre) / scale) @ w, -15, 15))
 
-    logit = F.arrow_udf(odds, "double")
-    base = docs.select(*[c for c in docs.columns if c not in new])
-    base = base.withColumn("__host", F.coalesce(host.cast("string"), F.lit("\0"))).withColumn("__path", F.coalesce(path.cast("string"), F.lit("\0")))
-    base = base.withColumn("__z", logit(F.col(text))).withColumn("__p", 1 / (1 + F.exp(-F.col("__z"))))
-    sites = stored(base.groupBy("__host", "__path").agg(F.count("*").alias("n"), F.sum("__p").alias("s")), "eb-sites")
+    kept = [c for c in (docs.columns if carry is None else carry) if c not in new]
+    site, z, found = fresh(docs, "site", "z", "found")
+    name = lambda c: F.coalesce(c.cast("string"), F.lit("\0"))
+    base = docs.select(*kept, F.struct(name(host).alias("host"), name(path).alias("path")).alias(site), F.arrow_udf(odds, "double")(F.col(text)).alias(z))
+    base = stored(base, "eb-judged")
+    p = 1 / (1 + F.exp(-F.col(z)))
+    sites = stored(base.groupBy(F.col(site)["host"].alias("host"), F.col(site)["path"].alias("path")).agg(F.count("*").alias("n"), F.sum(p).alias("s")), "eb-sites")
     total = sites.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("sites")).first()
     rate = min(max((total["s"] or 0.0) / total["n"], 1e-6), 1 - 1e-6) if total["n"] else 0.5
-    hosts = stored(sites.groupBy("__host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs")), "eb-hosts")
+    hosts = stored(sites.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs")), "eb-hosts")
     k_host = _strength(hosts.select(F.col("hn").alias("n"), F.col("hs").alias("s"), F.lit(rate).alias("mean")))
     hosts = hosts.withColumn("hr", (F.lit(k_host * rate) + F.col("hs")) / (F.lit(k_host) + F.col("hn")))
-    both = stored(join_counted(sites, hosts, ["__host"], hosts.count()), "eb-both")
+    both = stored(join_counted(sites, hosts, ["host"], hosts.count()), "eb-both")
     k_path = _strength(both.select("n", "s", F.col("hr").alias("mean")))
-    out = join_counted(base, both, ["__host", "__path"], total["sites"])
-    host_rate = (F.lit(k_host * rate) + F.col("hs") - F.col("__p")) / (F.lit(k_host) + F.col("hn") - 1)
-    path_rate = (F.lit(k_path) * host_rate + F.col("s") - F.col("__p")) / (F.lit(k_path) + F.col("n") - 1)
-    out = out.withColumn("evidence", F.col("__z") - F.lit(float(np.log(rate / (1 - rate)))))
-    out = out.withColumn("host_rate", F.least(F.greatest(host_rate, F.lit(1e-6)), F.lit(1 - 1e-6))).withColumn("path_rate", F.least(F.greatest(path_rate, F.lit(1e-6)), F.lit(1 - 1e-6)))
+    both = both.select(F.struct("host", "path").alias(site), F.struct("n", "s", "hn", "hs").alias(found))
+    out = join_counted(base, both, [site], total["sites"])
+    at = F.col(found)
+    host_rate = (F.lit(k_host * rate) + at["hs"] - p) / (F.lit(k_host) + at["hn"] - 1)
+    path_rate = (F.lit(k_path) * host_rate + at["s"] - p) / (F.lit(k_path) + at["n"] - 1)
+    within = lambda r: F.least(F.greatest(r, F.lit(1e-6)), F.lit(1 - 1e-6))
+    out = out.select(*kept, (F.col(z) - F.lit(float(np.log(rate / (1 - rate))))).alias("evidence"), within(host_rate).alias("host_rate"), within(path_rate).alias("path_rate"))
     out = out.withColumn("score", 1 / (1 + F.exp(-F.col("evidence") - F.log(F.col("path_rate") / (1 - F.col("path_rate"))))))
-    out = out.withColumn("kept", F.col("score") >= 0.5)
-    return out.select(*[c for c in docs.columns if c not in new], *new)
+    return out.withColumn("kept", F.col("score") >= 0.5)
 
 
 def op10_quality(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    out = judged(docs, fitted(docs, table(spark, sf_dir, "labels")), F.col("source"), F.col("lang"))
+    out = judged(docs, fitted(docs, table(spark, sf_dir, "labels")), F.col("source"), F.col("lang"), carry=["doc_id"])
     return out.select("doc_id", "evidence", "host_rate", "path_rate", "score", "kept")
 
 
 def stage(spark, docs: DataFrame, sf_dir) -> DataFrame:
-    """Documents more likely good than not stay. The documents have no URL: host is the source, path the language."""
+    """Documents more likely good than not stay. The documents have no URL: host is the source, path the language.
+
+    A null or empty text is judged by the site and by having no words; equal rows of a site stay or go together; an
+    empty table stays empty.
+    """
+    held = held_columns(docs)
+    docs = docs.select(*held)
     out = judged(docs, fitted(docs, table(spark, sf_dir, "labels")), F.col("source"), F.col("lang"))
-    return out.where("kept").select(*DOCUMENT)
+    return out.where("kept").select(*held)
