@@ -31,8 +31,8 @@ class Ftrl:
         z = self.z[index]
         return np.where(np.abs(z) <= self.l1, 0.0, (np.sign(z) * self.l1 - z) / ((self.beta + np.sqrt(self.n[index])) / self.alpha + self.l2))
 
-    def learn(self, index: np.ndarray, value: np.ndarray, y: int) -> None:
-        """One step: ``y`` is the class, or 0 or 1."""
+    def learn(self, index: np.ndarray, value: np.ndarray, y: int, weight: float = 1.0) -> None:
+        """One step: ``y`` is the class, or 0 or 1; the row counts ``weight`` times."""
         index = np.append(index, self.dims)
         value = np.append(value, 1.0)[:, None]
         w = self.at(index)
@@ -43,17 +43,17 @@ class Ftrl:
             error = np.exp(score - score.max())
             error /= error.sum()
             error[y] -= 1.0
-        g = value * error
+        g = value * error * weight
         n = self.n[index]
         self.z[index] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
         self.n[index] = n + g * g
 
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], y: list[int], passes: int = 3, seed: int = 5) -> None:
-        """Passes over distinct-index rows in a seeded order."""
+    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], y: list[int], passes: int = 3, seed: int = 5, weights: dict[int, float] | None = None) -> None:
+        """Passes over distinct-index rows in a seeded order; ``weights`` of classes are 1 unless given."""
         rng = np.random.default_rng(seed)
         for _ in range(passes):
             for i in rng.permutation(len(rows)):
-                self.learn(*rows[i], y[i])
+                self.learn(*rows[i], y[i], 1.0 if weights is None else weights.get(y[i], 1.0))
 
     def weights(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Coordinates with a weight, these weights, and the bias."""

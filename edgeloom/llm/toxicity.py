@@ -1,8 +1,8 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features are the distinct words, neighbouring pairs and pairs with one or two words between, in
-lower case, hashed to DIMS coordinates. L1 leaves few weights, which every executor
-holds; whole texts are scored, each by itself.
+lower case, and words cut to STEMS code points, so that a stem is known from few of its forms; all are hashed to DIMS
+coordinates. L1 leaves few weights, which every executor holds; whole texts are scored, each by itself.
 """
 
 from __future__ import annotations
@@ -15,32 +15,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import fold, table, texts
+from edgeloom.llm.common import fold, give_back, table, texts
 from edgeloom.llm.ftrl import Ftrl, dense
 
 #: Hashed coordinates.
 DIMS = 1 << 20
 #: The bound of the sample that the model is fitted on: labelled documents of class 0 and of class 1.
-SAMPLE = (4000, 6000)
+SAMPLE = (3000, 2000)
+#: Lengths that longer words are cut to.
+STEMS = (5, 6)
 _words = re.compile(r"[^\W_]+").findall
 
 
-class _Crc(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+class _Hashes(dict):
+    """Words to the checksums of the word and of its stems, remembered up to a bound."""
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) > 100_000:
             self.clear()
-        h = self[word] = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+        raw = [word, *[f"{word[:k]}\0{k}" for k in STEMS if len(word) > k]]
+        h = tuple(zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in raw)
+        if len(word) <= 64:
+            self[word] = h
         return h
 
 
-_crc = _Crc()
+_hashes = _Hashes()
 
 
 def grams(text: str) -> np.ndarray:
-    """Hashed coordinates of a text's words, pairs and skip pairs; repeats stay."""
+    """Hashed coordinates of a text's words, pairs, skip pairs and stems; repeats of all but stems stay."""
     words = _words(text.lower())
-    h = np.fromiter(map(_crc.__getitem__, words), np.uint64, len(words))
-    parts = [h]
+    known = {w: _hashes[w] for w in set(words)}
+    h = np.fromiter((known[w][0] for w in words), np.uint64, len(words))
+    parts = [h, np.fromiter({x for k in known.values() for x in k[1:]}, np.uint64)]
     for gap, by in ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F), (3, 0x165667B19E3779F9)):
         parts.append((h[:-gap] * np.uint64(by) ^ h[gap:]) + np.uint64(gap) if len(h) > gap else h[:0])
     x = np.concatenate(parts) * np.uint64(0x9FB21C651E98DF25)
@@ -55,8 +63,8 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: tup
     """Coordinates, weights and bias, learned from at most ``sample`` labelled rows of the classes.
 
     Rows of fold 0 and rows without a label teach nothing. Without rows of both classes the
-    model has no weights and its bias is the class there is (or 0.5). Classes have the
-    share they have in the sample, which counts toxic rows for more than all labels do.
+    model has no weights and its bias is the class there is (or 0.5). The rarer class counts for more, by the
+    root of the classes' ratio in the sample.
     """
     taught = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     pick = None
@@ -67,14 +75,14 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: tup
     rows = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id").select("doc_id", "y", F.xxhash64("text").alias("h"), lists("text").alias("x")).toArrow()
     rows = rows.sort_by([("doc_id", "ascending"), ("h", "ascending")])
     y = rows.column("y").to_pylist()
-    model = Ftrl(DIMS, alpha=1.0, l1=4.0, l2=0.01)
+    model = Ftrl(DIMS, alpha=1.0, l1=16.0, l2=0.01)
     if len(set(y)) == 2:
         x = rows.column("x").combine_chunks()
         flat, ends = x.flatten().to_numpy(), x.offsets.to_numpy() - x.offsets[0].as_py()
         keep = np.bincount(flat, minlength=DIMS)[flat] > 1  # what one document has can't pass L1 in these passes
         ends = np.concatenate([[0], np.cumsum(keep)])[ends]
         flat = flat[keep]
-        model.fit([(flat[a:b], np.ones(b - a)) for a, b in zip(ends, ends[1:])], y, passes)
+        model.fit([(flat[a:b], np.ones(b - a)) for a, b in zip(ends, ends[1:])], y, passes, weights={1: (y.count(0) / y.count(1)) ** 0.5})
         found, w, bias = model.weights()
         return found, w, float(bias[0])
     bias = 0.0 if not y else (6.0 if y[0] else -6.0)
@@ -100,6 +108,7 @@ def scored(docs: DataFrame, model: tuple, text: str = "text", score: str = "scor
             x = grams(t)
             x = np.unique(x[w[x] != 0])
             out[i] = bias + float(w[x].sum(dtype=np.float64))
+        give_back()
         return pa.array(1.0 / (1.0 + np.exp(-np.clip(out, -40, 40))))
 
     out = docs.select(*[c for c in docs.columns if c not in (score, predicted)])
