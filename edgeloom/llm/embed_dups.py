@@ -6,10 +6,12 @@
 3. Each of TABLES tables looks at BITS bits of the code. A node stands in every table under its
    own bits and is looked for under all bits that differ in at most one place. So that a task
    holds a bounded part of a table, the first few bits choose the part, and a node is also sent to
-   the parts that its own differ from in one bit.
-4. What is found is reranked with the vectors in double precision. A pair is judged only in the
-   first table that finds it, so links can be counted without gathering pairs; each part of a table
-   gives sums per node and edges that span its components.
+   the smaller of the parts that its own differ from in one bit. A part above PART nodes, such as one with a dense
+   cluster, is cut into blocks by a hash, and its pairs of blocks are tasks of their own.
+4. What is found is sorted out by all bits of the code (a pair at the threshold differs in more than five standard
+   deviations above its mean number of bits with a chance of about 3 in a million) and reranked with the vectors in
+   double precision. A pair is judged only in the first table that finds it, so links can be counted without
+   gathering pairs; each part of a table gives sums per node and edges that span its components.
 
 For cosine 0.9 two codes differ in a bit with chance 0.144, so a table of 12 bits finds the pair with
 chance 0.47. The tables share the bits of one code and are not independent: on 200,000 random pairs of
@@ -23,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from edgeloom.llm.common import table
+from edgeloom.llm.common import give_back, mix, small_batches, table
 from edgeloom.operators.components import components, smallest_labels
 from edgeloom.session import join_counted, stored
 
@@ -67,14 +70,26 @@ def unit(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.sqrt(np.einsum("ij,ij->i", flat, flat))
 
 
-def part_links(x: np.ndarray, code: np.ndarray, own: np.ndarray, weight: np.ndarray, sets: np.ndarray, t: int, least: float):
+def far_bits(bits: int, least: float) -> int:
+    """How many of ``bits`` bits of a pair at the threshold may differ: five standard deviations above the mean."""
+    p = float(np.arccos(min(1.0, max(-1.0, least))) / np.pi)
+    return int(np.ceil(bits * p + 5 * np.sqrt(bits * p * (1 - p))))
+
+
+def packed_bits(code: np.ndarray) -> np.ndarray:
+    """Rows of up to 64 booleans as numbers."""
+    return (code * (np.uint64(1) << np.arange(code.shape[1], dtype=np.uint64))).sum(1, dtype=np.uint64)
+
+
+def part_links(x: np.ndarray, code: np.ndarray, own: np.ndarray, weight: np.ndarray, sets: np.ndarray, t: int, least: float, side: np.ndarray | None = None):
     """Links of one part of table ``t``: weighted link counts of the nodes that are at home here or visit, and spanning pairs.
 
-    A pair is kept where table ``t`` is the first that finds it, and where at least one side is at
-    home; if both sides visit each other's parts, the smaller home part keeps it.
+    A pair is kept where table ``t`` is the first that finds it, and where at least one node is at
+    home. With ``side``, the blocks of a cut part, the two are in different blocks.
     """
     width = sets.shape[1]
     packed = np.stack([(code[:, s] * (1 << np.arange(width))).sum(1) for s in sets])  # of every table
+    whole, far = packed_bits(code), far_bits(code.shape[1], least)
     mine = packed[t]
     order = np.argsort(mine, kind="stable")
     keys = mine[order]
@@ -95,7 +110,11 @@ def part_links(x: np.ndarray, code: np.ndarray, own: np.ndarray, weight: np.ndar
                 e = np.cumsum(m)
                 b = order[np.repeat(lo[start:stop] - e + m, m) + np.arange(e[-1])]
                 keep = a < b
-                keep &= own[a] | own[b]
+                keep &= np.bitwise_count(whole[a] ^ whole[b]) <= far
+                a, b = a[keep], b[keep]
+                keep = own[a] | own[b]
+                if side is not None:
+                    keep &= side[a] != side[b]
                 a, b = a[keep], b[keep]
                 for s in range(t):
                     d = packed[s][a] ^ packed[s][b]
@@ -115,39 +134,81 @@ def part_links(x: np.ndarray, code: np.ndarray, own: np.ndarray, weight: np.ndar
     return count, np.concatenate([none, *u]), np.concatenate([none, *v])
 
 
-def _dealt(turn: np.ndarray, sets: np.ndarray, split: int):
-    """Sends every node to its part of each table, and to the parts one bit away."""
+class _Deal:
+    """Which parts of each table a node goes to."""
+
+    def __init__(self, turn: np.ndarray, sets: np.ndarray, split: int):
+        self.turn, self.sets, self.split = turn, sets, split
+
+    def parts(self, vectors: np.ndarray):
+        """(part, whether it is the home, places of nodes) of some vectors; a part is ``table << 20 | bits``."""
+        code = (vectors / np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None]) @ self.turn >= 0
+        for t, s in enumerate(self.sets):
+            home = (code[:, s[: self.split]] * (1 << np.arange(self.split))).sum(1) if self.split else np.zeros(len(code), np.int64)
+            for f in [0, *(1 << np.arange(self.split)).tolist()]:
+                at = np.arange(len(code)) if not f else np.flatnonzero(home & f)
+                to = home[at] ^ f
+                by = np.argsort(to, kind="stable")
+                edges = np.flatnonzero(np.diff(to[by], prepend=-1)).tolist() + [len(by)]
+                for i, j in zip(edges, edges[1:]):
+                    yield t << 20 | int(to[by[i]]), f == 0, at[by[i:j]]
+
+
+def _sizes(deal: _Deal):
+    """Vectors to (part, n), how many nodes of a batch go to each part."""
+
+    def run(batches):
+        for batch in batches:
+            sizes: dict[int, int] = {}
+            for part, _, at in deal.parts(unit(batch.column("v"))[0]):
+                sizes[part] = sizes.get(part, 0) + len(at)
+            yield pa.RecordBatch.from_arrays([pa.array(list(sizes), pa.int64()), pa.array(list(sizes.values()), pa.int64())], ["part", "n"])
+
+    return run
+
+
+PACKED = "part long, pair long, own boolean, side int, nodes binary, weights binary, vectors binary"
+
+
+def _dealt(deal: _Deal, cut: dict[int, int], kind: str):
+    """Vectors to rows of PACKED: the nodes of a batch by part and, where a part is cut into blocks, by pair of blocks."""
 
-    def dealt(batches):
+    def run(batches):
         for batch in batches:
-            x, size = unit(batch.column("v"))
-            code = (x / size[:, None]) @ turn >= 0
-            home = np.stack([(code[:, s[:split]] * (1 << np.arange(split))).sum(1) for s in sets]) if split else np.zeros((len(sets), len(x)), np.int64)
-            for t in range(len(sets)):
-                for f in [0, *(1 << np.arange(split))]:
-                    part = pa.array((t << 20 | (home[t] ^ f)).astype(np.int64))
-                    yield pa.RecordBatch.from_arrays([part, pa.array(np.full(len(x), f == 0)), *[batch.column(c) for c in ("node", "w", "v")]], ["part", "own", "node", "w", "v"])
+            x = unit(batch.column("v"))[0]
+            node, w = batch.column("node").to_numpy(), batch.column("w").to_numpy()
+            rows: list[tuple] = []
+            for part, own, at in deal.parts(x):
+                k = cut.get(part, 1)
+                block = (mix(node[at].view(np.uint64)) % np.uint64(k)).astype(np.int64)
+                for b in np.unique(block).tolist() if k > 1 else [0]:
+                    some = at[block == b] if k > 1 else at
+                    raw = node[some].tobytes(), w[some].tobytes(), x[some].astype(kind).tobytes()
+                    rows += [(part, min(b, c) * k + max(b, c), own, int(b > c), *raw) for c in range(k)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(zip(*rows), (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], [c.split()[0] for c in PACKED.split(", ")])
+        give_back()
 
-    return dealt
+    return run
 
 
-def _found(turn: np.ndarray, sets: np.ndarray, split: int, least: float):
-    """One part of a table to (node, links, other)."""
+def _found(deal: _Deal, cut: dict[int, int], least: float, kind: str):
+    """A part of a table, or a pair of its blocks, to (node, links, other)."""
 
     def found(g: pa.Table) -> pa.Table:
-        x, size = unit(g.column("v").combine_chunks())
-        x = x / size[:, None]
-        code = x @ turn >= 0
-        part = g.column("part")[0].as_py()
-        own, node = g.column("own").to_numpy(zero_copy_only=False), g.column("node").to_numpy()
-        t = part >> 20
-        if split:  # of two nodes at home in neighbouring parts the smaller part keeps the pair
-            home = (code[:, sets[t][:split]] * (1 << np.arange(split))).sum(1)
-            stay = own | (home > (part & 0xFFFFF))
-            x, code, own, node, g = x[stay], code[stay], own[stay], node[stay], g.filter(pa.array(stay))
-        count, a, b = part_links(x, code, own, g.column("w").to_numpy(), sets, t, least)
+        part, pair = g.column("part")[0].as_py(), g.column("pair")[0].as_py()
+        raw = lambda c, kind: np.frombuffer(b"".join(g.column(c).to_pylist()), kind)
+        node, w = raw("nodes", np.int64), raw("weights", np.int64)
+        x = raw("vectors", kind).astype(np.float64).reshape(len(node), -1)
+        x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+        many = [len(b) // 8 for b in g.column("nodes").to_pylist()]
+        own, side = np.repeat(g.column("own").to_numpy(zero_copy_only=False), many), np.repeat(g.column("side").to_numpy(), many)
+        k = cut.get(part, 1)
+        count, a, b = part_links(x, x @ deal.turn >= 0, own, w, deal.sets, part >> 20, least, side if pair // k != pair % k else None)
         some = np.flatnonzero(count)
-        return pa.table([pa.array(np.concatenate([node[some], node[a]])), pa.array(np.concatenate([count[some], np.zeros(len(a), np.int64)])), pa.array([None] * len(some) + node[b].tolist(), pa.int64())], ["node", "links", "other"])
+        out = pa.table([pa.array(np.concatenate([node[some], node[a]])), pa.array(np.concatenate([count[some], np.zeros(len(a), np.int64)])), pa.array([None] * len(some) + node[b].tolist(), pa.int64())], ["node", "links", "other"])
+        give_back()
+        return out
 
     return found
 
@@ -161,6 +222,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, key: str = "vec_id",
     separate rows; ties don't arise. An empty table gives an empty one; other columns are not carried.
     """
     spark = vectors.sparkSession
+    small_batches(spark)
+    element = getattr(vectors.schema[vector].dataType, "elementType", None)
+    kind = "f4" if isinstance(element, T.FloatType) else "f8"
     v = F.col("v")
     fine = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(v, lambda e: e != 0)
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
@@ -183,7 +247,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, key: str = "vec_id",
         while (n >> split) > PART and split < width - 2:
             split += 1
 
-        got = some.select("node", "w", "v").mapInArrow(_dealt(turn, sets, split), "part long, own boolean, node long, w long, v array<double>").groupBy("part").applyInArrow(_found(turn, sets, split, least), "node long, links long, other long")
+        deal = _Deal(turn, sets, split)
+        slim = some.select("node", "w", "v")
+        sizes = slim.mapInArrow(_sizes(deal), "part long, n long").groupBy("part").agg(F.sum("n").alias("n")).where(F.col("n") > 2 * PART)
+        cut = {r["part"]: -(-r["n"] // PART) for r in sizes.collect()}  # at most TABLES << split parts
+        got = slim.mapInArrow(_dealt(deal, cut, kind), PACKED).groupBy("part", "pair").applyInArrow(_found(deal, cut, least, kind), "node long, links long, other long")
         got = stored(got, "ed-found")
         sums = got if sums is None else sums.unionByName(got)
     if sums is None:
