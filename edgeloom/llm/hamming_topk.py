@@ -5,7 +5,11 @@ most ``s`` bits of one of their ``m`` segments, so once every segment has been s
 ``s``, all codes up to that distance have been seen. The radius grows until the k-th verified
 distance is within what is covered; only then is a query done, so answers are exact.
 
-The index is dealt by hash to blocks of bounded size, and the stated queries come in blocks too:
+A code that comes up in several segments and radii is verified once: where its segments differ least, in
+the first of equal ones. What is farther than the k-th best so far is dropped at once.
+
+The index is dealt by hash to blocks of bounded size, and the stated queries come in blocks too, more and
+smaller ones while the index has few blocks:
 each pair of blocks is one task, whose answers are merged by taking the k best of each query.
 Equal codes of a block are one entry with its k smallest ids, so a very common code costs nothing.
 """
@@ -22,10 +26,12 @@ from pyspark.sql import functions as F
 from edgeloom.llm.common import table
 from edgeloom.session import stored
 
-#: Rows of an index block and of a query block, which bound a task's memory; at least BLOCKS index blocks.
-INDEX_ROWS, QUERY_ROWS, BLOCKS = 50_000, 20_000, 8
+#: Rows of an index block and of a query block, which bound a task's memory.
+INDEX_ROWS, QUERY_ROWS = 200_000, 20_000
+#: Query blocks are made smaller, down to LEAST_ROWS, until there are as many pairs of blocks as shuffle partitions.
+LEAST_ROWS = 250
 #: Candidates verified at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def packed(bits: np.ndarray) -> np.ndarray:
@@ -36,8 +42,8 @@ def packed(bits: np.ndarray) -> np.ndarray:
 
 
 def cuts(bits: int, rows: int) -> list[tuple[int, int]]:
-    """Segments about as long as the logarithm of the rows, at most 16 bits each."""
-    m = max(1, -(-bits // 16), round(bits / max(1.0, np.log2(max(2, rows)))))
+    """Segments of about 0.6 times the logarithm of the rows, at most 16 bits each: many small flips cost more than longer lists."""
+    m = max(1, -(-bits // 16), round(bits / max(1.0, 0.6 * np.log2(max(2, rows)))))
     m = min(m, bits)
     at = [i * bits // m for i in range(m + 1)]
     return list(zip(at, at[1:]))
@@ -59,24 +65,22 @@ def search(codes: np.ndarray, queries: np.ndarray, bits: int, k: int, weight: np
     """
     parts = cuts(bits, len(codes))
     m = len(parts)
-    index = []
-    for a, b in parts:
-        value = segment(codes, a, b)
-        index.append((np.argsort(value, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(value, minlength=1 << (b - a)))])))
-    asked = [segment(queries, a, b) for a, b in parts]
+    own = np.stack([segment(codes, a, b) for a, b in parts])
+    asked = np.stack([segment(queries, a, b) for a, b in parts])
+    order = [np.argsort(v, kind="stable") for v in own]
+    start = [np.concatenate([[0], np.cumsum(np.bincount(v, minlength=1 << (b - a)))]) for v, (a, b) in zip(own, parts)]
     enough = min(k, int(weight.sum()))
-    found_q, found_c, found_d = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    done = [(found_q, found_c, found_d)]
+    limit = np.full(len(queries), bits)  # the k-th distance so far
+    kept = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
     open_ = np.arange(len(queries))
     for s in range(max(b - a for a, b in parts) + 1):
-        fresh = []
         for j, (a, b) in enumerate(parts):
-            if s > b - a:
+            if s > b - a or not len(open_):
                 continue
-            order, start = index[j]
+            fresh = [kept]
             for flips in combinations(range(b - a), s):
                 want = asked[j][open_] ^ sum(1 << f for f in flips)
-                lo, many = start[want], start[want + 1] - start[want]
+                lo, many = start[j][want], start[j][want + 1] - start[j][want]
                 ends = np.cumsum(many)
                 i = 0
                 while i < len(open_) and ends[-1]:
@@ -84,46 +88,43 @@ def search(codes: np.ndarray, queries: np.ndarray, bits: int, k: int, weight: np
                     n = many[i:e]
                     if n.sum():
                         c = np.cumsum(n)
-                        fresh.append((np.repeat(open_[i:e], n), order[np.repeat(lo[i:e] - c + n, n) + np.arange(c[-1])]))
+                        q, c = np.repeat(open_[i:e], n), order[j][np.repeat(lo[i:e] - c + n, n) + np.arange(c[-1])]
+                        d = np.bitwise_count(codes[c, 0] ^ queries[q, 0]).astype(np.int64)
+                        for w in range(1, codes.shape[1]):
+                            d += np.bitwise_count(codes[c, w] ^ queries[q, w])
+                        near = d <= limit[q]
+                        q, c, d = q[near], c[near], d[near]
+                        new = np.ones(len(q), bool)  # no segment differs less, no earlier one as little
+                        for i2 in range(m):
+                            if i2 != j:
+                                gap = np.bitwise_count(own[i2][c] ^ asked[i2][q])
+                                new &= gap > s if i2 < j else gap >= s
+                        fresh.append((q[new], c[new], d[new]))
                     i = e
-                if sum(len(x[0]) for x in fresh) > CHUNK:
-                    found_q, found_c, found_d = _merged(found_q, found_c, found_d, fresh, codes, queries, weight, enough)
-                    fresh = []
-        found_q, found_c, found_d = _merged(found_q, found_c, found_d, fresh, codes, queries, weight, enough)
-        covered = m * (s + 1) - 1
-        near = found_d <= covered
-        seen = np.bincount(found_q[near], weight[found_c[near]], len(queries))
-        ready = seen >= enough
-        ready[np.setdiff1d(np.arange(len(queries)), open_)] = False
-        take = ready[found_q]
-        done.append((found_q[take], found_c[take], found_d[take]))
-        found_q, found_c, found_d = found_q[~take], found_c[~take], found_d[~take]
-        open_ = open_[~ready[open_]]
+                if sum(len(x[0]) for x in fresh[1:]) > CHUNK:
+                    fresh = [_nearest(fresh, limit, weight, enough)]
+            kept = _nearest(fresh, limit, weight, enough)
+        # what is covered holds the k-th row: no query needs to look farther
+        q, c, d = kept
+        near = d <= m * (s + 1) - 1
+        seen = np.bincount(q[near], weight[c[near]], len(queries))
+        open_ = open_[seen[open_] < enough]
         if not len(open_):
             break
-    done.append((found_q, found_c, found_d))
-    q, c, d = (np.concatenate(x) for x in zip(*done))
-    return q, c, d
+    return kept
 
 
-def _merged(q, c, d, fresh, codes, queries, weight, k):
-    """What is known with newly seen codes verified, without codes beyond the k-th row of their query."""
-    if not fresh:
+def _nearest(found: list[tuple], limit: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What is known without codes beyond the k-th row of their query; ``limit`` is brought down to that row's distance."""
+    q, c, d = (np.concatenate(x) for x in zip(*found))
+    if not len(q):
         return q, c, d
-    nq, nc = np.concatenate([x[0] for x in fresh]), np.concatenate([x[1] for x in fresh])
-    pair = np.unique(nq * len(codes) + nc)
-    nq, nc = pair // len(codes), pair % len(codes)
-    nd = np.bitwise_count(codes[nc] ^ queries[nq]).sum(1).astype(np.int64)
-    q, c, d = np.concatenate([q, nq]), np.concatenate([c, nc]), np.concatenate([d, nd])
-    pair, first = np.unique(q * len(codes) + c, return_index=True)
-    q, c, d = q[first], c[first], d[first]
     order = np.lexsort((d, q))
     q, c, d = q[order], c[order], d[order]
     run = np.cumsum(weight[c])
     start = np.flatnonzero(np.diff(q, prepend=-1))
     before = np.repeat(run[start] - weight[c[start]], np.diff(start, append=len(q)))
     full = run - before >= k
-    limit = np.full(int(q.max()) + 1 if len(q) else 1, np.iinfo(np.int64).max)
     np.minimum.at(limit, q[full], d[full])
     keep = d <= limit[q]
     return q[keep], c[keep], d[keep]
@@ -147,8 +148,9 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id"
     rows = stored(index.where(F.col(bits).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(bits).alias("bits")), "hk-index")
     asked = queries.where(F.col(bits).isNotNull()).groupBy(F.col(key).cast("long").alias("id")).agg(F.min(bits).alias("bits"))
     asked = stored(asked, "hk-queries")
-    blocks = max(BLOCKS, -(-rows.count() // INDEX_ROWS))
-    ways = max(1, -(-asked.count() // QUERY_ROWS))
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks, n = max(1, -(-rows.count() // INDEX_ROWS)), asked.count()
+    ways = max(1, -(-n // QUERY_ROWS), min(-(-n // LEAST_ROWS), tasks // blocks))
     place = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     a = rows.withColumn("asks", F.lit(False)).withColumn("i", place(blocks, 1)).withColumn("j", every(ways))
@@ -182,7 +184,7 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id"
         keep = rank < k
         return _answers(ids[ask[q[keep]]], ids[row[keep]], d[keep])
 
-    both = a.unionByName(b)
+    both = a.unionByName(b).repartition(min(blocks * ways, 8 * tasks), "i", "j")  # few bytes, much work: not to be merged
     near = both.groupBy("i", "j", F.size("bits").alias("w")).applyInArrow(run, "query_id long, id long, distance int")
     w = Window.partitionBy("query_id").orderBy("distance", "id")
     out = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
