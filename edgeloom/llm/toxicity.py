@@ -27,28 +27,41 @@ STEMS = (5, 6)
 _words = re.compile(r"[^\W_]+").findall
 
 
-class _Hashes(dict):
-    """Words to the checksums of the word and of its stems, remembered up to a bound."""
+class _Words(dict):
+    """Words to places in ``hashes``: the checksum of the word and of its stems (0 for none); emptied at a bound."""
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 100_000:
-            self.clear()
-        raw = [word, *[f"{word[:k]}\0{k}" for k in STEMS if len(word) > k]]
-        h = tuple(zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in raw)
-        if len(word) <= 64:
-            self[word] = h
-        return h
+    most = 200_000
 
+    def __init__(self):
+        self.hashes = np.zeros((self.most, 1 + len(STEMS)), np.uint32)
 
-_hashes = _Hashes()
+    def __missing__(self, word: str) -> int:
+        at = self[word] = len(self)
+        raw = word.encode("utf-8", "surrogatepass")
+        self.hashes[at] = zlib.crc32(raw), *[zlib.crc32(word[:k].encode("utf-8", "surrogatepass"), k) if len(word) > k else 0 for k in STEMS]
+        return at
+
+
+_known = _Words()
 
 
 def grams(text: str) -> np.ndarray:
-    """Hashed coordinates of a text's words, pairs, skip pairs and stems; repeats of all but stems stay."""
+    """Hashed coordinates of a text's words, pairs, skip pairs and stems; repeats stay."""
     words = _words(text.lower())
-    known = {w: _hashes[w] for w in set(words)}
-    h = np.fromiter((known[w][0] for w in words), np.uint64, len(words))
-    parts = [h, np.fromiter({x for k in known.values() for x in k[1:]}, np.uint64)]
+    if len(_known) + len(words) > _known.most:
+        _known.clear()
+        if len(words) > _known.most:  # a text of more words than are kept is taken in parts, which share the words around the cuts
+            step = _known.most // 2
+            return np.concatenate([_hashed(words[i : i + step + 3]) for i in range(0, len(words), step)])
+    return _hashed(words)
+
+
+def _hashed(words: list[str]) -> np.ndarray:
+    if len(_known) + len(words) > _known.most:
+        _known.clear()
+    rows = _known.hashes[np.fromiter(map(_known.__getitem__, words), np.int64, len(words))].astype(np.uint64)
+    h, stems = rows[:, 0], rows[:, 1:].ravel()
+    parts = [h, stems[stems > 0]]
     for gap, by in ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F), (3, 0x165667B19E3779F9)):
         parts.append((h[:-gap] * np.uint64(by) ^ h[gap:]) + np.uint64(gap) if len(h) > gap else h[:0])
     x = np.concatenate(parts) * np.uint64(0x9FB21C651E98DF25)
@@ -75,7 +88,7 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: tup
     rows = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id").select("doc_id", "y", F.xxhash64("text").alias("h"), lists("text").alias("x")).toArrow()
     rows = rows.sort_by([("doc_id", "ascending"), ("h", "ascending")])
     y = rows.column("y").to_pylist()
-    model = Ftrl(DIMS, alpha=1.0, l1=16.0, l2=0.01)
+    model = Ftrl(DIMS, alpha=1.0, l1=24.0, l2=0.01)
     if len(set(y)) == 2:
         x = rows.column("x").combine_chunks()
         flat, ends = x.flatten().to_numpy(), x.offsets.to_numpy() - x.offsets[0].as_py()
