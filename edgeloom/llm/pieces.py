@@ -4,7 +4,8 @@ A merge-type encoding is local: cut out any run of neighbouring tokens and it is
 of its own text. So the encoding of a prefix ends in one token only, and that token is the one
 which (a) ends the prefix, and (b) stands with the last token of what is before it exactly as the
 two would be encoded together. An Aho-Corasick automaton over the vocabulary gives the tokens that
-end at each place; whether a pair stands is a small encoding of its own, remembered. The table holds
+end at each place. A pair stands unless some part on the right edge of the first would have merged with some part
+on the left edge of the second before either was merged inwards; answers are remembered. The table holds
 one token per prefix and the ids are read off it backwards from the end of the text.
 
 Where no piece of the vocabulary crosses a place the text is cut there (before a run of space
@@ -14,6 +15,7 @@ marks, at a line feed), so the table is as long as a word and words are remember
 from __future__ import annotations
 
 import re
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -25,20 +27,25 @@ from pyspark.sql import functions as F
 from edgeloom.llm.common import fresh, give_back, held_columns, small_batches, table, texts
 
 SPACE = "▁"
-#: What one Python worker remembers: characters of encoded words (with their ids about 20 MB), and answers about pairs (about 12 MB).
-REMEMBERED, PAIRS = 800_000, 100_000
+#: What one Python worker remembers: encoded words (about 70 MB) and answers about pairs (about 40 MB).
+WORDS, PAIRS = 300_000, 300_000
 
 
 class _Remembered(dict):
-    """Answers of a function, remembered; forgotten when there are more than ``most``."""
+    """Answers of a function to the latest questions: what was not asked again while ``most / 2`` others were is forgotten."""
 
     def __init__(self, ask, most: int):
-        self.ask, self.most = ask, most
+        self.ask, self.most = ask, most // 2
+        self.old: dict = {}
 
     def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.ask(key)
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        found = self[key] = self.ask(key)
+        self[key] = found
         return found
 
 
@@ -73,8 +80,8 @@ class PieceTable:
         self.words = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n" if lines else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if cut else "(?s:.+)").findall
         self.start = sp.get_piece_size()
         self.pairs = _Remembered(self.stands, PAIRS)
-        self.known: dict[str, bytes] = {}
-        self.held = 0
+        self.known = _Remembered(lambda w: array("i", self._word(w)).tobytes(), WORDS)
+        self.halves: dict[str, tuple[str, str] | None] = {}
 
     def merged(self, text: str) -> list[str]:
         """The merges themselves, one by one: best score first, leftmost of equals. For short texts."""
@@ -89,11 +96,50 @@ class PieceTable:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
+    def _halves(self, piece: str) -> tuple[str, str] | None:
+        """The two parts that the last merge of a piece joins; none for a piece that is never merged from its characters."""
+        if piece not in self.halves:
+            parts, rank = list(piece), self.rank
+            last = None
+            while len(parts) > 1:
+                best, at = None, -1
+                for k in range(len(parts) - 1):
+                    r = rank.get(parts[k] + parts[k + 1])
+                    if r is not None and (best is None or r > best):
+                        best, at = r, k
+                if best is None:
+                    last = None
+                    break
+                last = (parts[at], parts[at + 1])
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            self.halves[piece] = last
+        return self.halves[piece]
+
     def stands(self, key: int) -> bool:
         """Whether a pair of tokens, or the start of a text and a token, is encoded as just these."""
         a, b = key >> 32, key & 0xFFFFFFFF
-        parts = [self.text[b]] if a == self.start else [self.text[a], self.text[b]]
-        return self.merged("".join(parts)) == parts
+        y = self.text[b]
+        if len(y) > 1 and self._halves(y) is None:
+            return False
+        if a == self.start:
+            return True
+        x, rank = self.text[a], self.rank
+        if len(x) > 1 and self._halves(x) is None:
+            return False
+        # from the whole tokens inwards: until when (by score) the parts on both edges stand side by side
+        until_x = until_y = None
+        while True:
+            both = rank.get(x + y)
+            # at equal scores the leftmost goes first: the inner merge of the first token, but not that of the second
+            if both is not None and (until_x is None or both > until_x) and (until_y is None or both >= until_y):
+                return False
+            made_x, made_y = rank[x] if len(x) > 1 else None, rank[y] if len(y) > 1 else None
+            if made_x is None and made_y is None:
+                return True
+            if made_y is None or made_x is not None and made_x < made_y:  # the later of the two merges is undone
+                until_x, x = made_x, self._halves(x)[1]
+            else:
+                until_y, y = made_y, self._halves(y)[0]
 
     def _known(self, s: str) -> list[int]:
         """Ids of a text all of whose characters are pieces."""
@@ -127,21 +173,8 @@ class PieceTable:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text, without an end id."""
-        words = self.words(self.sp.normalize(text)) if text else []
         known = self.known
-        if self.held > REMEMBERED:
-            known.clear()
-            self.held = 0
-        out = []
-        for w in words:
-            ids = known.get(w)
-            if ids is None:
-                ids = np.array(self._word(w), np.int32).tobytes()
-                if len(w) <= 64:
-                    known[w] = ids
-                    self.held += len(w)
-            out.append(ids)
-        return np.frombuffer(b"".join(out), np.int32)
+        return np.frombuffer(b"".join([known[w] for w in self.words(self.sp.normalize(text))]), np.int32) if text else np.empty(0, np.int32)
 
 
 _tables: dict[str, PieceTable] = {}
