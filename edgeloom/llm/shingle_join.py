@@ -372,7 +372,7 @@ def linked(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, key:
     sizes = blocks.groupBy("component").agg((F.count("*") > 1).alias("large"))
     place = slim.join(sides, ["component", "block"]).join(sizes, "component")
     place = place.select("node", "side", F.xxhash64("component", "i", "j").alias("part"), F.when(F.col("large"), F.xxhash64("component", "i", "j")).otherwise(F.pmod("component", F.lit(bins))).alias("bin"))
-    links = place.join(sets.select("node", "shingles"), "node").groupBy("bin").applyInArrow(_search(num, den), "u long, v long")
+    links = stored(place.join(sets.select("node", "shingles"), "node").groupBy("bin").applyInArrow(_search(num, den), "u long, v long"), "nj-links")
     joined = stored(components(links), "nj-joined")
 
     least = stored(
