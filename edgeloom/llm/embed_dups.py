@@ -97,20 +97,22 @@ def part_links(x: np.ndarray, code: np.ndarray, own: np.ndarray, weight: np.ndar
     u, v = [], []
     flips = np.concatenate([[0], 1 << np.arange(width)])
     for f in flips:
-        want = mine ^ f
+        from_ = np.flatnonzero((mine & f) == 0)  # of the two ways to see a pair the one that sets the bit
+        want = mine[from_] ^ f
         lo, hi = np.searchsorted(keys, want), np.searchsorted(keys, want, "right")
         many = hi - lo
         ends = np.cumsum(many)
         start = 0
-        while start < len(x):
+        while start < len(from_):
             stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + CHUNK)))
             m = many[start:stop]
             if m.sum():
-                a = np.repeat(np.arange(start, stop), m)
+                a = np.repeat(from_[start:stop], m)
                 e = np.cumsum(m)
                 b = order[np.repeat(lo[start:stop] - e + m, m) + np.arange(e[-1])]
-                keep = a < b
-                keep &= np.bitwise_count(whole[a] ^ whole[b]) <= far
+                keep = np.bitwise_count(whole[a] ^ whole[b]) <= far
+                if not f:
+                    keep &= a < b
                 a, b = a[keep], b[keep]
                 keep = own[a] | own[b]
                 if side is not None:
