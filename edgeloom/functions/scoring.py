@@ -118,8 +118,10 @@ def bucket(score: Column, lo: Column, hi: Column, n: int = 256, largest_first: b
 
 
 def softmax(a: Column) -> Column:
-    e = F.transform(a, lambda x: F.exp(x - F.array_max(a)))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+    # a pair of (e, total) keeps both from being computed again for each element
+    e = F.transform(F.array(F.array_max(a)), lambda top: F.transform(a, lambda x: F.exp(x - top)))
+    parts = F.transform(e, lambda v: F.struct(v.alias("e"), F.aggregate(v, F.lit(0.0), lambda s, y: s + y).alias("total")))
+    return F.flatten(F.transform(parts, lambda p: F.transform(p["e"], lambda x: x / p["total"])))
 
 
 def argmax(a: Column) -> Column:
@@ -135,6 +137,21 @@ def gated(a: Column, k: int) -> Column:
     return F.transform(low, lambda x: x / F.aggregate(low, F.lit(0.0), lambda s, y: s + y))
 
 
+def gcn_chebyshev(edges: DataFrame, k: int) -> list[DataFrame]:
+    """``(i, j, w)`` of the Chebyshev polynomials T_0 to T_k of the normalised Laplacian less the identity (that is -D^-1/2 A D^-1/2); zeros are left out."""
+    from edgeloom.session import stored
+
+    d = degree(edges)
+    a = adjacency(edges.select("u", "v")).join(d.toDF("src", "ds"), "src").join(d.toDF("dst", "dt"), "dst")
+    x = stored(a.select(F.col("src").alias("i"), F.col("dst").alias("j"), (-1 / F.sqrt(F.col("ds") * F.col("dt"))).alias("w")), "cheb")
+    out = [d.select(F.col("node").alias("i"), F.col("node").alias("j"), F.lit(1.0).alias("w")), x]
+    while len(out) <= k:
+        both = x.select("i", F.col("j").alias("m"), (2 * F.col("w")).alias("a")).join(out[-1].select(F.col("i").alias("m"), "j", F.col("w").alias("b")), "m")
+        t = both.select("i", "j", (F.col("a") * F.col("b")).alias("w")).unionAll(out[-2].select("i", "j", -F.col("w")))
+        out.append(stored(t.groupBy("i", "j").agg(F.sum("w").alias("w")).where("w <> 0"), "cheb"))
+    return out[: k + 1]
+
+
 def row_normalised(x: Column) -> Column:
     """An array divided by its sum; zeros where that is 0."""
     s = F.aggregate(x, F.lit(0.0), lambda a, b: a + b)

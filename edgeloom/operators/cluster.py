@@ -67,8 +67,9 @@ def three_spanner(edges: DataFrame, seed: int = 0, tries: int = 128) -> DataFram
 
     Nodes are centres with chance n^-1/2; a node next to centres joins one by its smallest edge, a node next to none keeps
     all its edges; then each node keeps its smallest edge to every foreign cluster. Tried again until at
-    most 2 n^1.5 edges stay.
+    most 2 n^1.5 edges stay, or else the smallest of ``tries`` is taken.
     """
+    best = None
     e = stored(edges.select("u", "v", key("u", "v", seed=seed).alias("k")), "spanner-edges")
     n = nodes(e).count()
     adj = adjacency(e.select("u", "v")).select("src", "dst", F.struct(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).alias("e"))
@@ -81,9 +82,75 @@ def three_spanner(edges: DataFrame, seed: int = 0, tries: int = 128) -> DataFram
         far = adj.join(cluster.select(F.col("node").alias("src"), F.col("cluster").alias("own")), "src").join(cluster.select(F.col("node").alias("dst"), F.col("cluster").alias("other")), "dst")
         near = far.where("own <> other").groupBy("src", "other").agg(F.min("e").alias("e")).select("e")
         out = stored(cluster.where("e IS NOT NULL").select("e").unionByName(free).unionByName(near).select("e.u", "e.v").distinct(), "spanner")
-        if out.count() <= 2 * n**1.5:
+        m = out.count()
+        if m <= 2 * n**1.5:
             return out
-    return out
+        best = min(best or (m, out), (m, out), key=lambda b: b[0])
+    return best[1]
+
+
+def layered_spanner(edges: DataFrame, stretch: int = 3, seed: int = 0) -> DataFrame:
+    """``(u, v)``: a subgraph that keeps every distance within ``stretch`` (odd), by clusters that are sampled again and again.
+
+    With k = (stretch + 1) / 2 there are k - 1 rounds: clusters stay with chance n^(-1/k). A node whose cluster goes joins, by its least edge, a
+    neighbouring cluster that stays, and keeps its least edge to each cluster that is nearer than that; next to none that stays it keeps
+    its least edge to every neighbouring cluster and is done. At the end each node keeps its least edge to every neighbouring
+    cluster. Edges are in order of ``w`` (if there is one), then of a hash.
+    """
+    k = max(1, (int(stretch) + 1) // 2)
+    w = F.col("w").cast("double") if "w" in edges.columns else F.lit(1.0)
+    e = stored(edges.select("u", "v", F.struct(w.alias("w"), key("u", "v", seed=seed).alias("h"), "u", "v").alias("o")), "spanner-edges")
+    own = stored(nodes(e).withColumn("c", F.col("node")), "spanner-clusters")
+    n = own.count()
+    both = lambda e: e.select(F.col("u").alias("src"), F.col("v").alias("dst"), "o").unionAll(e.select("v", "u", "o"))
+    near = lambda e: (  # the least edge of each node to each neighbouring cluster
+        both(e).join(own.toDF("src", "cs"), "src").join(own.toDF("dst", "cd"), "dst").where("cs <> cd").groupBy("src", "cs", "cd").agg(F.min("o").alias("o"))
+    )
+    kept = None
+    for i in range(k - 1):
+        stays = lambda c: uniform(c, seed=seed + 7919 * (i + 1)) < F.lit(float(n) ** (-1.0 / k))  # noqa: B023, E731
+        a = stored(near(e).where(~stays("cs")), "spanner-near")
+        to = a.where(stays("cd")).groupBy("src").agg(F.min("o").alias("best"), F.min_by("cd", "o").alias("to"))
+        a = stored(a.join(to, "src", "left").where(F.col("best").isNull() | (F.col("o") <= F.col("best"))), "spanner-kept")
+        new = a.select("o.u", "o.v")
+        kept = new if kept is None else kept.unionByName(new)
+        # what goes: edges of a node to the clusters it has kept an edge to, and all edges within a cluster
+        left = own.where(stays("c")).unionByName(a.where("cd = to").select(F.col("src").alias("node"), F.col("to").alias("c")))
+        gone = both(e).join(own.toDF("dst", "cd"), "dst").join(a.select("src", "cd"), ["src", "cd"], "left_semi").select("o.u", "o.v")
+        own = stored(left, "spanner-clusters")
+        e = e.join(gone.distinct(), ["u", "v"], "left_anti")
+        e = e.join(own.toDF("u", "cu"), "u").join(own.toDF("v", "cv"), "v").where("cu <> cv").select("u", "v", "o")
+        e = stored(e, "spanner-edges")
+    last = near(e).select("o.u", "o.v")
+    return (last if kept is None else kept.unionByName(last)).distinct()
+
+
+#: The stretches that are tried.
+STRETCHES = (3, 5, 7, 9, 11)
+
+
+def adaptive_spanner(edges: DataFrame, q: int, start: int = 3, seed: int = 0) -> tuple[int, DataFrame]:
+    """The stretch whose spanner has a size nearest to q, and the spanner.
+
+    From ``start`` the stretches go up while spanners are above q, or down while they are below; of what was tried the nearest size is taken,
+    of equally near ones one that is not below q, then the smaller stretch.
+    """
+    tried: dict[int, tuple[int, DataFrame]] = {}
+
+    def size(at: int) -> int:
+        t = STRETCHES[at]
+        if t not in tried:
+            s = stored(layered_spanner(edges, t, seed), "spanner")
+            tried[t] = s.count(), s
+        return tried[t][0]
+
+    at = STRETCHES.index(start)
+    step = 1 if size(at) > q else -1
+    while 0 <= at + step < len(STRETCHES) and (size(at) > q if step > 0 else size(at) < q):
+        at += step
+        size(at)
+    best = min(tried, key=lambda t: (abs(tried[t][0] - q), tried[t][0] < q, t))
+    return best, tried[best][1]
 
 
 def spanner_to_budget(edges: DataFrame, spanner: DataFrame, q: int, seed: int = 0) -> DataFrame:

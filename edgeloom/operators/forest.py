@@ -90,6 +90,18 @@ def random_forest(edges: DataFrame, seed: int = 0) -> DataFrame:
     return spanning_forest(edges, [key("u", "v", seed=seed)])
 
 
+def bridged_forest(edges: DataFrame, clusters: DataFrame, order: list[Column]) -> DataFrame:
+    """Forests within clusters of nodes, (node, cluster), then crossing edges that join their trees, each in the order.
+
+    Inner edges come before all crossing ones, so one forest over that order is both.
+    """
+    from edgeloom.operators.edges import with_ends
+
+    e = with_ends(edges, clusters, "cluster")
+    cross = F.col("cluster_u") != F.col("cluster_v")
+    return spanning_forest(e.select(*edges.columns, cross.alias("crosses")), [F.col("crosses"), *order])
+
+
 def strided_forest(edges: DataFrame, offset: int, stride: int) -> DataFrame:
     """Kruskal's forest scanning edge ``(offset + step * stride) mod m`` at each step; the stride and m have no common factor."""
     e = running(edges, [F.col("u"), F.col("v")], pos="__p")

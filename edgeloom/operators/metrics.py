@@ -64,6 +64,29 @@ def f1(preds: DataFrame) -> DataFrame:
     return per.agg((2 * F.sum("tp") / (F.sum("t") + F.sum("p"))).alias("micro"), F.avg(one).alias("macro"))
 
 
+def multi_task_f1(preds: DataFrame, group: str = "task") -> DataFrame:
+    """One row: the mean over tasks of the F1 of class 1, where a logit of 0 or more is a yes; null, NaN and negative labels don't
+    count, tasks without labels neither; a task without any yes scores 0."""
+    known = preds.where(F.col("y").isNotNull() & ~F.isnan(F.col("y").cast("double")) & (F.col("y") >= 0))
+    yes, said = F.col("y") > 0, F.col("logit") >= 0
+    n = lambda c: F.count(F.when(c, 1))
+    per = known.groupBy(group).agg(n(yes & said).alias("tp"), (n(yes) + n(said)).alias("both"))
+    return per.agg(F.avg(F.when(F.col("both") > 0, 2 * F.col("tp") / F.col("both")).otherwise(F.lit(0.0))).alias("f1"), F.count("*").alias("tasks"))
+
+
+def gate_load(gates: DataFrame, column: str = "gates") -> DataFrame:
+    """``(expert, load)``: rows whose gate for an expert is above 0."""
+    g = gates.select(F.posexplode(column).alias("expert", "g"))
+    return g.groupBy("expert").agg(F.count(F.when(F.col("g") > 0, 1)).alias("load"))
+
+
+def cv_squared(values: DataFrame, column: str) -> DataFrame:
+    """One row: sample variance over the squared mean; 0 for one value."""
+    x = F.col(column).cast("double")
+    cv = F.var_samp(x) / (F.pow(F.avg(x), F.lit(2)) + F.lit(1e-10))
+    return values.agg(F.when(F.count("*") > 1, cv).otherwise(F.lit(0.0)).alias("cv_squared"))
+
+
 def roc_auc(scored: DataFrame, group: str = "task") -> DataFrame:
     """Area under the curve per group from rank sums with average ranks; groups with one class are left out.
 
@@ -85,8 +108,11 @@ def ensemble_mean(preds: DataFrame, probabilities: bool = False) -> DataFrame:
 
 def ensemble_vote(preds: DataFrame) -> DataFrame:
     """``(node, pred)``: the class most views choose, ties by mean softmax, then the first."""
-    p = preds.withColumn("s", softmax(F.col("logits"))).withColumn("vote", F.array_position("logits", F.array_max("logits")) - 1)
-    m = p.select("node", "vote", F.posexplode("s").alias("pos", "e")).groupBy("node", "pos").agg(F.sum((F.col("vote") == F.col("pos")).cast("int")).alias("votes"), F.avg("e").alias("e"))
+    p = preds.select("node", "logits", F.array_max("logits").alias("top"))
+    p = p.select("node", (F.array_position("logits", F.col("top")) - 1).alias("vote"), F.transform("logits", lambda x: F.exp(x - F.col("top"))).alias("e"))
+    p = p.withColumn("total", F.aggregate("e", F.lit(0.0), lambda s, x: s + x))
+    m = p.select("node", "vote", "total", F.posexplode("e").alias("pos", "e")).groupBy("node", "pos")
+    m = m.agg(F.sum((F.col("vote") == F.col("pos")).cast("int")).alias("votes"), F.avg(F.col("e") / F.col("total")).alias("e"))
     return m.groupBy("node").agg(F.max_by("pos", F.struct(F.col("votes"), F.round("e", 9), -F.col("pos"))).alias("pred"))
 
 

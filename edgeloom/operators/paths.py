@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom.operators.edges import adjacency
@@ -59,6 +59,64 @@ def weighted_distances(edges: DataFrame, sources: DataFrame, weight: str = "w")
         best = both.select("source", "node", "dist")
 
 
+def paths_to(edges: DataFrame, root: DataFrame) -> DataFrame:
+    """``(target, step, node)``: for every node that a root reaches, a shortest path back to it, over the smallest parent at each step."""
+    e = stored(edges.select("u", "v"), "path-edges")
+    far = stored(nearest_source(e, root).select("node", "dist"), "path-far")
+    a = adjacency(e).join(far.toDF("src", "ds"), "src").join(far.toDF("dst", "dt"), "dst").where("dt = ds + 1")
+    up = stored(a.groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent")), "path-up")
+    at = out = far.select(F.col("node").alias("target"), F.lit(0).cast("long").alias("step"), "node")
+    for s in range(1, int(far.agg(F.coalesce(F.max("dist"), F.lit(0))).first()[0]) + 1):
+        at = stored(at.join(up, "node").select("target", F.lit(s).cast("long").alias("step"), F.col("parent").alias("node")), "path-step")
+        out = out.unionByName(at)
+    return out
+
+
+def aggregation_depth(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """One row, ``depth``: the hops after which every node that can reach all sources has done so."""
+    d = stored(distances(edges, sources), "depth")
+    n = sources.select("node").distinct().count()
+    far = d.groupBy("node").agg(F.max("dist").alias("far"), F.count("*").alias("c"))
+    return far.where(F.col("c") == n).agg(F.coalesce(F.max("far"), F.lit(0)).cast("long").alias("depth"))
+
+
+def farthest_anchors(edges: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """``(i, node)``: a hashed node, then again and again the node with the most hops to all before it, the smallest of equals."""
+    from edgeloom.operators.edges import key, nodes
+
+    e = stored(edges.select("u", "v"), "anchor-edges")
+    first = nodes(e).orderBy(key("node", seed=seed), "node").limit(1).collect()
+    picked = [r["node"] for r in first]
+    while picked and len(picked) < k:
+        far = nearest_source(e, e.sparkSession.createDataFrame([(p,) for p in picked], "node long"))
+        best = far.orderBy(F.col("dist").desc(), "node").first()
+        if best["dist"] <= 0:
+            break
+        picked.append(best["node"])
+    return e.sparkSession.createDataFrame(list(enumerate(picked)), "i long, node long")
+
+
+def anchor_task(edges: DataFrame, anchors: DataFrame) -> DataFrame:
+    """``(node, y)``: the place, by id, of the anchor that is nearest to each node, the first of equals; anchors have -1."""
+    order = anchors.select("node").distinct().withColumn("y", F.row_number().over(Window.orderBy("node")).cast("long") - 1)
+    near = nearest_source(edges, anchors).join(F.broadcast(order.withColumnRenamed("node", "source")), "source")
+    return near.select("node", F.when(F.col("dist") == 0, F.lit(-1).cast("long")).otherwise(F.col("y")).alias("y"))
+
+
+def global_sign_task(edges: DataFrame, sources: int = 16, seed: int = 0, scale: float = 10.0) -> DataFrame:
+    """``(node, x0, x1, y)``: hashed sources, odd in number, hold a hashed bit of their own and a mark; all others are asked for the sign of the sum."""
+    from edgeloom.operators.edges import key, nodes
+
+    n = stored(nodes(edges), "sign-nodes")
+    k = max(1, (min(sources, n.count() - 1) - 1) | 1)
+    bit = F.when(key("node", seed=seed + 1) < "8", 1).otherwise(-1)
+    s = stored(n.orderBy(key("node", seed=seed), "node").limit(k).withColumn("b", bit), "sign-sources")
+    total = F.broadcast(s.agg((F.sum("b") > 0).cast("long").alias("sign")))
+    out = n.join(F.broadcast(s), "node", "left").crossJoin(total)
+    held = F.col("b").isNotNull()
+    return out.select("node", F.coalesce(F.col("b") * F.lit(scale), F.lit(0.0)).alias("x0"), F.when(held, F.lit(scale)).otherwise(F.lit(0.0)).alias("x1"), F.when(held, F.lit(-1).cast("long")).otherwise(F.col("sign")).alias("y"))
+
+
 class Forest:
     """A rooted forest in arrays: node ids ascending, parent, depth, root, tin and size; roots are the smallest ids."""
 

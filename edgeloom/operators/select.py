@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.operators.edges import key, uniform
 from edgeloom.operators.order import running, top
+from edgeloom.session import stored
 
 
 def top_k(edges: DataFrame, score: Column, k: int) -> DataFrame:
@@ -120,6 +121,95 @@ def with_replacement(pool: DataFrame, p: str, draws: int, order: list[Column], s
     return hit.groupBy(*pool.columns).agg(F.count("*").alias("n"))
 
 
+def _draws(rows: DataFrame, total: float, first: int, last: int, cells: int, seed: int) -> DataFrame:
+    """``(id, ...)``: the row that each of the hashed points ``first`` to ``last - 1`` falls on."""
+    spark = rows.sparkSession
+    points = spark.range(first, last).select("id", (uniform("id", seed=seed) * F.lit(float(total))).alias("t"))
+    points = points.withColumn("__cell", F.floor(F.col("t") / F.lit(total / cells)))
+    return rows.join(points, "__cell").where((F.col("t") >= F.col("__lo")) & (F.col("t") < F.col("__c")))
+
+
+def until_distinct(pool: DataFrame, p: str, k: int, order: list[Column], seed: int = 0) -> tuple[DataFrame, int]:
+    """Rows drawn in proportion to p, one by one, until k different ones have come up: ``n`` draws of each, and the draws in all.
+
+    Draws are hashed points in order of their number; they are made in doubling blocks, and the k-th first appearance tells the
+    last draw that counts. An error if fewer than k rows have a chance.
+    """
+    r = stored(running(pool.where(F.col(p) > 0), order, F.col(p), "__i", "__c"), "distinct-pool")
+    able, total = r.count(), r.agg(F.sum(p)).first()[0] or 0.0
+    if able < k:
+        raise ValueError(f"{k} different rows asked for, {able} have a chance")
+    if k <= 0:
+        return pool.limit(0).withColumn("n", F.lit(0).cast("long")), 0
+    cells = max(1, min(4 * k, 1 << 20))
+    cell = lambda c: F.floor(c / F.lit(total / cells))
+    rows = r.withColumn("__lo", F.col("__c") - F.col(p)).withColumn("__cell", F.explode(F.sequence(cell(F.col("__lo")), cell(F.col("__c")))))
+    made, size, hits = 0, 2 * k, None
+    while True:
+        new = stored(_draws(rows, total, made, made + size, cells, seed).select("id", "__i"), "distinct-draws")
+        hits, made, size = new if hits is None else hits.unionByName(new), made + size, made + size
+        firsts = hits.groupBy("__i").agg(F.min("id").alias("id"))
+        if firsts.count() >= k:
+            break
+    last = top(firsts, [F.col("id")], k).agg(F.max("id")).first()[0]
+    times = hits.where(F.col("id") <= last).groupBy("__i").agg(F.count("*").alias("n"))
+    return r.join(times, "__i").select(*pool.columns, "n"), last + 1
+
+
+def shrinking_masks(scores: DataFrame, budgets: list[int]) -> DataFrame:
+    """``(layer, u, v)``: each layer's best edges by ``s`` among those that the layer before it kept, as many as its budget."""
+    kept, out = None, None
+    for i, q in enumerate(budgets):
+        layer = scores.where(F.col("layer") == i)
+        layer = layer if kept is None else layer.join(kept, ["u", "v"], "left_semi")
+        kept = stored(top(layer, [F.col("s").desc(), F.col("u"), F.col("v")], q).select("u", "v"), "mask")
+        rows = kept.select(F.lit(i).cast("long").alias("layer"), "u", "v")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def percentile_pruned(edges: DataFrame, percent: float, weight: str = "w") -> DataFrame:
+    """Edges without the ``percent`` smallest: those below the percentile of absolute weights go, then the smallest until ``floor(m * percent / 100)`` are gone."""
+    m, low = edges.agg(F.count("*"), F.percentile(F.abs(F.col(weight)), F.lit(percent / 100.0))).first()
+    left = edges.where(F.abs(F.col(weight)) >= F.lit(low if low is not None else 0.0))
+    n = left.count()
+    more = int(m * percent / 100.0) - (m - n)
+    return top(left, [F.col(weight).desc(), F.col("u"), F.col("v")], n - more) if more > 0 else left
+
+
+def across_layers(layers: list[DataFrame], k: int, score: str = "w") -> DataFrame:
+    """``(layer, u, v)``: the k best edges of all layers together, ties by layer and edge."""
+    rows = None
+    for i, e in enumerate(layers):
+        r = e.select(F.lit(i).cast("long").alias("layer"), "u", "v", F.col(score).cast("double").alias("s"))
+        rows = r if rows is None else rows.unionByName(r)
+    return top(rows, [F.col("s").desc(), F.col("layer"), F.col("u"), F.col("v")], k).select("layer", "u", "v")
+
+
+def fan_out(adj: DataFrame, roots: DataFrame, sizes: list[int], seed: int = 0) -> DataFrame:
+    """``(hop, src, dst)``: from the roots on, hashed neighbours of each node that is reached, as many a hop as ``sizes`` says."""
+    at, out = roots.select(F.col("node").alias("src")).distinct(), None
+    for h, k in enumerate(sizes):
+        near = adj.select("src", "dst").join(at, "src")
+        w = Window.partitionBy("src").orderBy(key("src", "dst", seed=seed + h), "dst")
+        hop = stored(near.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).select(F.lit(h).alias("hop"), "src", "dst"), "fan-out")
+        out = hop if out is None else out.unionByName(hop)
+        at = hop.select(F.col("dst").alias("src")).distinct()
+    return out
+
+
+def walk_norms(trail: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """How often walks meet nodes and edges: ``(node, norm)`` is the number of walks over those that meet the node, ``(u, v, norm)``
+    the walks that meet the smaller end's node over those that have both ends."""
+    seen = stored(trail.select("root", "node").distinct(), "walk-nodes")
+    walks_ = seen.select("root").distinct().count()
+    times = stored(seen.groupBy("node").agg(F.count("*").alias("c")), "walk-times")
+    node = times.select("node", (F.lit(float(walks_)) / F.col("c")).alias("norm"))
+    both = edges.select("u", "v").join(seen.withColumnRenamed("node", "u"), "u").join(seen.withColumnRenamed("node", "v"), ["v", "root"]).groupBy("u", "v").agg(F.count("*").alias("b"))
+    edge = both.join(times.withColumnRenamed("node", "u"), "u").select("u", "v", (F.col("c") / F.col("b")).alias("norm"))
+    return node, edge
+
+
 def walks(adj: DataFrame, roots: DataFrame, length: int, seed: int = 0) -> DataFrame:
     """``(root, step, node)``: hashed random walks; a step goes to the neighbour with the smallest key."""
     out = at = roots.select(F.col("node").alias("root"), F.lit(0).alias("step"), "node")

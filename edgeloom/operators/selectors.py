@@ -16,6 +16,7 @@ from edgeloom.operators import cluster as U
 from edgeloom.operators import combine as K
 from edgeloom.operators import edges as E
 from edgeloom.operators import forest as T
+from edgeloom.operators import growth as G
 from edgeloom.operators import select as C
 from edgeloom.operators import sequential as Q
 from edgeloom.operators.order import top
@@ -32,9 +33,36 @@ def register(*names: str):
     return put
 
 
+# Other names of forests.
+ALIASES = {
+    "minst": "mst",
+    "fast_minst": "fast_mst",
+    "maxsf": "maxst",
+    "msf": "mst",
+    "minsf": "mst",
+    "fast_maxsf": "fast_maxst",
+    "fast_msf": "fast_mst",
+    "fast_minsf": "fast_mst",
+    "randsf": "randst",
+    "fast_randsf": "fast_randst",
+    "slsf": "slst",
+    "glsf": "glst",
+    "llsf": "llst",
+    "randspf": "randspt",
+    "sf": "maxst",
+    "st": "maxst",
+}
+
+
+def canonical_name(name: str) -> str:
+    """A selector's name in lower case with underscores, and without its aliases."""
+    n = name.strip().lower().replace("-", "_")
+    return ALIASES.get(n, n)
+
+
 def selector(name: str) -> Callable[..., DataFrame]:
-    """By name, in any case and with dashes or underscores."""
-    n = name.lower().replace("-", "_")
+    """By name, in any case and with dashes or underscores, or by an alias."""
+    n = canonical_name(name)
     if n not in REGISTRY:
         raise KeyError(f"no selector {name!r}; there are {', '.join(sorted(REGISTRY))}")
     return REGISTRY[n]
@@ -77,6 +105,19 @@ def _(edges, ratio=None, seed=0, features=None, buckets=256, kind="cosine", **_)
     return T.spanning_forest(e, [F.col("b")]).select("u", "v")
 
 
+@register("fast_mst")
+def _(edges, ratio=None, seed=0, features=None, buckets=256, kind="cosine", **_):
+    e = S.feature_weight(edges, features, kind if features is not None else "uniform")
+    ends = F.broadcast(e.agg(F.min("weight").alias("lo"), F.max("weight").alias("hi")))
+    e = e.crossJoin(ends).withColumn("b", S.bucket(F.col("weight"), F.col("lo"), F.col("hi"), buckets))
+    return T.spanning_forest(e, [F.col("b")]).select("u", "v")
+
+
+@register("randst", "fast_randst")
+def _(edges, ratio=None, seed=0, **_):
+    return T.random_forest(edges, seed).select("u", "v")
+
+
 @register("gspar")
 def _(edges, ratio=0.3, seed=0, **_):
     return _by("jaccard")(S.neighbourhood(edges), edges, ratio)
@@ -130,27 +171,44 @@ def _(edges, ratio=None, seed=0, epsilon=10.0, d=1, connectivity=10, **_):
     return C.bernoulli(edges, min(1.0, 16 * (d + 2) * math.log(max(n, 2)) / (epsilon**2 * connectivity)), seed).select("u", "v")
 
 
-@register("effective_resistance", "er_spectral", "er", "effective_resistance_fixed", "er_fix")
-def _(edges, ratio=0.3, seed=0, exact=True, distinct=False, **_):
+def _leverage(edges, exact, most_nodes=5000):
+    """``p`` of each edge: its share of the leverages. ``exact=None`` takes the exact resistances up to ``most_nodes`` nodes, the sketch beyond."""
+    if exact is None:
+        exact = E.nodes(edges).count() <= most_nodes
     r = (Q.resistance if exact else Q.sketched_resistance)(edges).join(edges, ["u", "v"])
     r = r.withColumn("leverage", S.sanitised(F.col("resistance") * F.col("w")))
-    q = E.budget(edges.count(), ratio)
-    p = r.crossJoin(F.broadcast(r.agg(F.sum("leverage").alias("__t")))).withColumn("p", F.col("leverage") / F.col("__t")).select("u", "v", "w", "p")
-    if distinct:
-        kept = C.race(p, F.col("p"), q, seed)
-        return kept.select("u", "v", (F.col("w") / F.least(F.lit(1.0), q * F.col("p"))).alias("weight"))
+    return r.crossJoin(F.broadcast(r.agg(F.sum("leverage").alias("__t")))).withColumn("p", F.col("leverage") / F.col("__t")).select("u", "v", "w", "p")
+
+
+@register("effective_resistance", "er_spectral", "er")
+def _(edges, ratio=0.3, seed=0, exact=None, **_):
+    p, q = _leverage(edges, exact), E.budget(edges.count(), ratio)
     d = C.with_replacement(p, "p", q, [F.col("u"), F.col("v")], seed)
     return d.select("u", "v", (F.col("n") * F.col("w") / (q * F.col("p"))).alias("weight"))
 
 
+@register("effective_resistance_fixed", "er_fix")
+def _(edges, ratio=0.3, seed=0, exact=None, **_):
+    """Drawn with replacement until there are exactly as many distinct edges as the ratio asks for."""
+    p, q = _leverage(edges, exact), E.budget(edges.count(), ratio)
+    d, draws = C.until_distinct(p, "p", q, [F.col("u"), F.col("v")], seed)
+    return d.select("u", "v", (F.col("n") * F.col("w") / (draws * F.col("p"))).alias("weight"))
+
+
 @register("tspanner_greedy")
-def _(edges, ratio=None, seed=0, stretch=3, **_):
-    return Q.greedy_spanner(edges, stretch, seed)
+def _(edges, ratio=None, seed=0, stretch=3, group=None, **_):
+    return Q.greedy_spanner(edges, stretch, seed, group)
 
 
 @register("tspanner_halperin")
-def _(edges, ratio=None, seed=0, **_):
-    return U.three_spanner(edges, seed)
+def _(edges, ratio=None, seed=0, stretch=3, **_):
+    return U.layered_spanner(edges, stretch, seed)
+
+
+@register("adaptive_spanner")
+def _(edges, ratio=0.3, seed=0, stretch=3, **_):
+    q = E.budget(edges.count(), ratio, "round")
+    return U.spanner_to_budget(edges, U.adaptive_spanner(edges, q, stretch, seed)[1], q, seed)
 
 
 @register("las_vegas_spanner")
@@ -158,29 +216,77 @@ def _(edges, ratio=0.3, seed=0, **_):
     return U.spanner_to_budget(edges, U.three_spanner(edges, seed), E.budget(edges.count(), ratio, "round"), seed)
 
 
-@register("glst", "low_stretch_tree", "slst", "scalable_low_stretch_tree", "fast_low_stretch_tree", "llst", "local_search_low_stretch_tree")
-def _(edges, ratio=None, seed=0, roots=8, **_):
-    return Q.low_stretch_tree(edges, roots)
+@register("slst", "scalable_low_stretch_tree", "fast_low_stretch_tree")
+def _(edges, ratio=None, seed=0, roots=8, group=None, **_):
+    return Q.low_stretch_tree(edges, roots, group)
 
 
-@register("randspt", "random_shortest_path_tree", "random_spanning_tree")
-def _(edges, ratio=None, seed=0, **_):
-    return Q.uniform_tree(edges, seed)
+@register("glst", "low_stretch_tree")
+def _(edges, ratio=None, seed=0, alpha=1.0, eta=1.0, group=None, **_):
+    return G.greedy_low_stretch(edges, alpha, eta, group)
+
+
+@register("llst", "local_search_low_stretch_tree")
+def _(edges, ratio=None, seed=0, passes=10, group=None, **_):
+    return G.local_low_stretch(edges, passes, group=group)
+
+
+@register("randspt", "random_shortest_path_tree")
+def _(edges, ratio=None, seed=0, weight=None, **_):
+    return G.random_shortest_forest(edges, seed, weight)
+
+
+@register("random_spanning_tree")
+def _(edges, ratio=None, seed=0, group=None, **_):
+    return Q.uniform_tree(edges, seed, group)
 
 
 @register("support", "support_cpp")
-def _(edges, ratio=0.4, seed=0, by="node", **_):
-    return Q.congested_growth(edges, ratio, by, seed)
+def _(edges, ratio=0.4, seed=0, by="node", group=None, **_):
+    return Q.congested_growth(edges, ratio, by, seed, group)
 
 
 @register("support_dilation")
-def _(edges, ratio=0.4, seed=0, **_):
-    return Q.congested_growth(edges, ratio, "dilation", seed)
+def _(edges, ratio=0.4, seed=0, group=None, **_):
+    return Q.congested_growth(edges, ratio, "dilation", seed, group)
+
+
+def _options(o, *names):
+    return {k: v for k, v in o.items() if k in names}
+
+
+@register("support_batch")
+def _(edges, ratio=0.4, seed=0, add=64, sample=512, **o):
+    """Rounds that score a hashed sample of the missing edges of each group and add the best of it."""
+    return Q.greedy_support(edges, ratio, add, sample, seed=seed, **_options(o, "alpha", "beta_e", "beta_v", "p", "q", "group"))
+
+
+@register("joint_dilation_congestion")
+def _(edges, ratio=0.4, seed=0, add=1, **o):
+    """All missing edges are scored anew in each round."""
+    return Q.greedy_support(edges, ratio, add, None, seed=seed, **_options(o, "alpha", "beta_e", "beta_v", "p", "q", "group"))
 
 
-@register("joint_dilation_congestion", "clustered_joint_dilation_congestion", "parallel_clustered_joint_dilation_congestion", "support_batch", "support_heap")
-def _(edges, ratio=0.4, seed=0, add=32, sample=256, **o):
-    return Q.greedy_support(edges, ratio, add, sample, seed=seed, **{k: v for k, v in o.items() if k in ("alpha", "beta_e", "beta_v", "p", "q", "group")})
+def _clustered(edges, group, clusters, seed):
+    """Edges with the column of their group: a given one, or the owner of each edge among hashed clusters of nodes."""
+    if group:
+        return edges, group
+    k = clusters or U.auto_clusters(edges.count())
+    return U.owners(edges, U.hash_clusters(edges, k, seed)), "owner"
+
+
+@register("clustered_joint_dilation_congestion", "parallel_clustered_joint_dilation_congestion")
+def _(edges, ratio=0.4, seed=0, radius=1, group=None, clusters=None, **o):
+    """A heap for each cluster, whose entries near an added edge are scored anew when they come up."""
+    e, g = _clustered(edges, group, clusters, seed)
+    return G.lazy_growth(e, ratio, "joint", radius=radius, seed=seed, group=g, **_options(o, "alpha", "beta_e", "beta_v", "add"))
+
+
+@register("support_heap")
+def _(edges, ratio=0.4, seed=0, radius=1, group=None, clusters=None, **o):
+    """As the clustered growth, with logarithms of the largest congestions as the score."""
+    e, g = _clustered(edges, group, clusters, seed)
+    return G.lazy_growth(e, ratio, "log", radius=radius, seed=seed, group=g, **_options(o, "beta_e", "beta_v", "add"))
 
 
 @register("support_greedy", "support_exact")
@@ -205,10 +311,29 @@ def _(edges, ratio=0.3, seed=0, **_):
     return kept.select("u", "v", (1 / F.least(F.lit(1.0), q * F.col("p"))).alias("weight"))
 
 
-@register("unified_lth", "adaglt")
-def _(edges, ratio=0.3, seed=0, score="w", **_):
-    """Given scores stand in for learned ones: exact top-k of the mean of both directions."""
-    return C.top_k(edges, F.col(score), E.budget(edges.count(), ratio)).select("u", "v")
+@register("unified_lth")
+def _(edges, ratio=0.3, seed=0, score="w", rate=0.05, **_):
+    """Given scores: rounds that drop ``rate`` of what is left, smallest first, until the ratio is reached; rounds of one order are one cut."""
+    m = q = edges.count()
+    while q > ratio * m:
+        q = max(E.budget(m, ratio), q - max(1, int(rate * q)))
+    return C.top_k(edges, F.col(score), q).select("u", "v")
+
+
+@register("adaglt")
+def _(edges, ratio=0.3, seed=0, scores=None, **_):
+    """Given scores of layers, a table of (layer, u, v, s): masks that only shrink from layer to layer, down to the ratio; the last layer's is returned."""
+    m = edges.count()
+    if scores is None:
+        return C.top_k(edges, F.col("w"), E.budget(m, ratio)).select("u", "v")
+    layers = scores.agg(F.max("layer")).first()[0] + 1
+    budgets = [E.budget(m, 1 - (1 - ratio) * (i + 1) / layers) for i in range(layers)]
+    return C.shrinking_masks(scores, budgets).where(F.col("layer") == layers - 1).select("u", "v")
+
+
+@register("prune_adj")
+def _(edges, ratio=0.3, seed=0, **_):
+    return C.percentile_pruned(edges, 100 * (1 - ratio)).select("u", "v")
 
 
 @register("mog")

@@ -7,6 +7,7 @@ refused, as a loop over it would not end in useful time. Random choices are in h
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections import deque
 from collections.abc import Callable
 
@@ -68,12 +69,30 @@ class _Graph:
 
 
 def greedy_spanner(edges: DataFrame, stretch: float = 3, seed: int = 0, group: str | None = None) -> DataFrame:
-    """In hash order, an edge stays if what stays so far joins its ends by no path of ``stretch`` hops or fewer."""
+    """In hash order, an edge stays if what stays so far joins its ends by no path of at most ``stretch`` times its weight.
+
+    The weight is the column ``w``, or 1, so that a path is then of ``stretch`` hops or fewer.
+    """
+
+    def near(g, w, a, b, most):
+        best, heap = {a: 0.0}, [(0.0, a)]
+        while heap:
+            d, c = heapq.heappop(heap)
+            if c == b:
+                return True
+            if d > best[c]:
+                continue
+            for n, x in g.next[c]:
+                e = d + w[x]
+                if e <= most and e < best.get(n, np.inf):
+                    best[n] = e
+                    heapq.heappush(heap, (e, n))
+        return False
 
     def work(u, v, w):
         g, kept = _Graph(u, v), []
         for x in _hash_order(u, v, seed).tolist():
-            if g.j[x] not in g.tree(g.i[x], int(stretch))[0]:
+            if not near(g, w, g.i[x], g.j[x], stretch * w[x] + 1e-9):
                 g.add(x)
                 kept.append(x)
         return np.array(kept, int)
@@ -114,7 +133,8 @@ def congested_growth(edges: DataFrame, ratio: float = 0.4, by: str = "node", see
                 break
             pool = paths
             if by != "dilation":
-                top = min(y for y, c in crowd.items() if c == max(crowd.values()))
+                most = max(crowd.values())
+                top = min(y for y, c in crowd.items() if c == most)
                 pool = {x: p for x, p in paths.items() if top in (p[0] if by == "node" else p[1])}
             x = min(pool, key=lambda x: (-len(pool[x][1]) / max(w[x], EPS), x))
             kept.add(x)
@@ -188,29 +208,46 @@ def greedy_support(edges: DataFrame, ratio: float = 0.4, add: int = 1, sample: i
     return grouped(edges, work, group)
 
 
-def swapped(edges: DataFrame, support: DataFrame, passes: int = 2, alpha: float = 1.0, beta_e: float = 1.0, beta_v: float = 0.0, group: str | None = None) -> DataFrame:
-    """Exchange the worst-kept edge outside a forest for the best missing one while that lowers the mean score product."""
+def swapped(edges: DataFrame, support: DataFrame, passes: int | None = None, alpha: float = 1.0, beta_e: float = 1.0, beta_v: float = 0.0, group: str | None = None, width: tuple[int, int] | None = None) -> DataFrame:
+    """Exchange a kept edge for a missing one, the worst-supported missing edges and the least used kept edges first, until no exchange lowers the mean score product.
+
+    An exchange that would cut the support apart costs more than any other. ``passes`` bounds the exchanges of a group, and ``width`` how many missing
+    and kept edges are tried for each; by default there is no bound, and the result is a local optimum over all pairs.
+    """
     e = edges.join(support.select("u", "v", F.lit(1.0).alias("__in")), ["u", "v"], "left").withColumn("w", F.coalesce("__in", F.lit(0.0)))
 
     def cost(u, v, kept):
         s, lost = _scores(u, v, np.ones(len(u)), kept, alpha, beta_e, beta_v, 2.0, 2.0)
-        return sum(s.values()) / max(1, len(s)) + len(lost), s
+        return sum(s.values()) / max(1, len(s)) + len(lost), lost + sorted(s, key=lambda x: (-round(s[x], 9), x))
+
+    def used(u, v, kept):
+        g, times = _Graph(u, v), dict.fromkeys(kept, 0)
+        for x in kept:
+            g.add(x)
+        for x in range(len(u)):
+            if x not in kept:
+                _, back = g.tree(g.i[x])
+                at = g.j[x]
+                while at != g.i[x] and at in back:
+                    at, y = back[at]
+                    times[y] += 1
+        return sorted(kept, key=lambda y: (times[y], y))
 
     def work(u, v, w):
         kept = set(np.flatnonzero(w > 0).tolist())
-        now, s = cost(u, v, kept)
-        for _ in range(passes):
+        now, worst = cost(u, v, kept)
+        turn, better = 0, True
+        while better and (passes is None or turn < passes):
             better = False
-            for x in sorted(s, key=lambda x: (-round(s[x], 9), x))[:8]:
-                for y in sorted(kept)[:32]:
-                    new, t = cost(u, v, kept - {y} | {x})
-                    if new < now - 1e-12:
-                        kept, now, s, better = kept - {y} | {x}, new, t, True
-                        break
-                if better:
+            least = used(u, v, kept)
+            if width:
+                worst, least = worst[: width[0]], least[: width[1]]
+            for x, y in [(x, y) for x in worst for y in least]:
+                new, order = cost(u, v, kept - {y} | {x})
+                if new < now - 1e-12:
+                    kept, now, worst, better = kept - {y} | {x}, new, order, True
                     break
-            if not better:
-                break
+            turn += 1
         return np.array(sorted(kept), int)
 
     return grouped(e, work, group)
@@ -387,6 +424,8 @@ def sketched_resistance(edges: DataFrame, projections: int | None = None, seed:
     g = edges.withColumn("__g", F.col(group) if group else F.lit(0)).withColumn("__w", F.col("w").cast("double") if "w" in edges.columns else F.lit(1.0))
 
     def run(t: pa.Table) -> pa.Table:
+        if len(t) > MOST_EDGES:
+            raise ValueError(f"a group of {len(t)} edges; cut it into clusters of {MOST_EDGES} at most")
         t = t.sort_by([("u", "ascending"), ("v", "ascending")])
         u, v, w = (t.column(c).to_numpy() for c in ("u", "v", "__w"))
         ids, e = np.unique(np.concatenate([u, v]), return_inverse=True)

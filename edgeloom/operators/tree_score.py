@@ -28,7 +28,9 @@ def forest_arrays(forest: DataFrame, among: DataFrame | None = None) -> Forest:
         raise ValueError(f"the forest has more than {TREE_NODES} edges; score its clusters one by one")
     extra = None
     if among is not None:
-        extra = among.select("node").distinct().limit(TREE_NODES + 1).toArrow().column("node").to_numpy()
+        extra = among.select("node").distinct().limit(TREE_NODES + 2).toArrow().column("node").to_numpy()
+        if len(extra) > TREE_NODES + 1:
+            raise ValueError(f"the graph has more than {TREE_NODES + 1} nodes; index its clusters one by one")
     return Forest(t.column("u").to_numpy(), t.column("v").to_numpy(), extra)
 
 
@@ -62,6 +64,35 @@ def congestion(spark, candidates: DataFrame, f: Forest) -> tuple[np.ndarray, np.
     return e, e + tops - ends
 
 
+def tree_paths(candidates: DataFrame, f: Forest) -> DataFrame:
+    """``(u, v, pos, node)``: the nodes of the tree path from u to v, in order; no rows for edges between trees."""
+    held = candidates.sparkSession.sparkContext.broadcast((f.ids, f.parent, f.depth, f.root))
+
+    def run(batches):
+        g = _Light(*held.value)
+        for b in batches:
+            u, v = b.column("u").to_numpy(), b.column("v").to_numpy()
+            i, j = g.at(u), g.at(v)
+            top = g.lca(i, j)
+            rows: list[list] = [[], [], [], []]
+            for k in np.flatnonzero(top >= 0):
+                left, right = [i[k]], []
+                while left[-1] != top[k]:
+                    left.append(g.parent[left[-1]])
+                at = j[k]
+                while at != top[k]:
+                    right.append(at)
+                    at = g.parent[at]
+                path = g.ids[np.array(left + right[::-1])]
+                rows[0] += [u[k]] * len(path)
+                rows[1] += [v[k]] * len(path)
+                rows[2] += range(len(path))
+                rows[3] += path.tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], ["u", "v", "pos", "node"])
+
+    return candidates.select("u", "v").mapInArrow(run, "u long, v long, pos long, node long")
+
+
 class _Light(Forest):
     """What the lookup of common ancestors needs of a forest."""
 

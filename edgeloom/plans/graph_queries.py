@@ -21,35 +21,37 @@ from edgeloom.sources import synthetic
 from edgeloom.sources import views as V
 from edgeloom.sources.views import sql
 
-BFS = f"WITH RECURSIVE {ADJ.format(g='kg')}, b(source, node, dist) AS (SELECT DISTINCT src, src, 0 FROM adj WHERE src % 100 = 0 UNION SELECT b.source, a.dst, b.dist + 1 FROM b JOIN adj a ON a.src = b.node WHERE b.dist < {{most}}), d AS (SELECT source, node, min(dist) AS dist FROM b GROUP BY 1, 2)"
+BFS = f"WITH RECURSIVE {ADJ.format(g='kg')}, b(source, node, dist) AS (SELECT DISTINCT src, src, 0 FROM adj WHERE src IN (SELECT min(vec_id) FROM embeddings GROUP BY label) UNION SELECT b.source, a.dst, b.dist + 1 FROM b JOIN adj a ON a.src = b.node WHERE b.dist < {{most}}), d AS (SELECT source, node, min(dist) AS dist FROM b GROUP BY 1, 2)"
 
 
-def sources_of(e):
-    return E.nodes(e).where("node % 100 = 0")
+def anchors(spark, sf, e):
+    """The first vector of each label."""
+    first = V.vectors(spark, sf).groupBy("y").agg(F.min("node").alias("node")).select("node")
+    return E.nodes(e).join(first, "node", "left_semi")
 
 
 @query("bfs_hops", sql(BFS.format(most=12) + " SELECT source, node, dist FROM d", "kg"))
 def _(spark, sf):
     e = V.knn_graph(spark, sf)
-    return P.distances(e, sources_of(e))
+    return P.distances(e, anchors(spark, sf, e))
 
 
 @query("radius_nodes", sql(BFS.format(most=2) + " SELECT source, count(*) AS n FROM d GROUP BY 1", "kg"))
 def _(spark, sf):
     e = V.knn_graph(spark, sf)
-    return P.distances(e, sources_of(e), 2).groupBy("source").agg(F.count("*").alias("n"))
+    return P.distances(e, anchors(spark, sf, e), 2).groupBy("source").agg(F.count("*").alias("n"))
 
 
 @query("voronoi_label", sql(BFS.format(most=12) + " SELECT node, source, dist FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY dist, source) AS r FROM d) WHERE r = 1", "kg"))
 def _(spark, sf):
     e = V.knn_graph(spark, sf)
-    return P.nearest_source(e, sources_of(e))
+    return P.nearest_source(e, anchors(spark, sf, e))
 
 
 @query("depth_probe", sql(BFS.format(most=12) + ", n AS (SELECT node, min(dist) AS dist FROM d GROUP BY 1) SELECT max(dist) AS depth, count(*) AS reached FROM n", "kg"))
 def _(spark, sf):
     e = V.knn_graph(spark, sf)
-    return P.nearest_source(e, sources_of(e)).agg(F.max("dist").alias("depth"), F.count("*").alias("reached"))
+    return P.nearest_source(e, anchors(spark, sf, e)).agg(F.max("dist").alias("depth"), F.count("*").alias("reached"))
 
 
 @query("weighted_paths", sql(f"WITH RECURSIVE {ADJ.format(g='kg')}, a AS (SELECT src, dst, 1 + (src + dst) % 3 AS w FROM adj), b(node, dist) AS (SELECT DISTINCT src, 0 FROM a WHERE src = 0 UNION SELECT a.dst, b.dist + a.w FROM b JOIN a ON a.src = b.node WHERE b.dist < 14) SELECT node, min(dist)::DOUBLE AS dist FROM b GROUP BY 1", "kg"))

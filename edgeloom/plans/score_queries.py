@@ -336,7 +336,7 @@ def _(spark, sf):
 @query("random_walks")
 def _(spark, sf):
     e = V.user_graph(spark, sf)
-    return C.walks(E.adjacency(e.select("u", "v")), E.nodes(e).where("node % 10 = 0"), 4, 2)
+    return C.walks(E.adjacency(e.select("u", "v")), E.nodes(e), 4, 2)
 
 
 @query("random_partition", sql(f"SELECT part, count(*) AS edges FROM (SELECT a.p AS part FROM ug JOIN (SELECT node, ntile(4) OVER (ORDER BY {md5(12, 'node')}) AS p FROM (SELECT u AS node FROM ug UNION SELECT v FROM ug)) a ON a.node = u JOIN (SELECT node, ntile(4) OVER (ORDER BY {md5(12, 'node')}) AS p FROM (SELECT u AS node FROM ug UNION SELECT v FROM ug)) b ON b.node = v AND a.p = b.p) GROUP BY 1", "ug"))

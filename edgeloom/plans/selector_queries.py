@@ -11,11 +11,11 @@ from edgeloom.operators import edges as E
 from edgeloom.operators import sequential as Q
 from edgeloom.operators.selectors import selector
 from edgeloom.plans.edge_queries import R
-from edgeloom.plans.graph_queries import N_UG, verdict
+from edgeloom.plans.graph_queries import N_UG
 from edgeloom.plans.registry import query
 from edgeloom.plans.score_queries import ADJ
 from edgeloom.session import shared_dir, stored
-from edgeloom.sources import files, synthetic
+from edgeloom.sources import files
 from edgeloom.sources import views as V
 from edgeloom.sources.views import sql
 
@@ -59,9 +59,6 @@ def _(spark, sf):
     return U.fast_by_cluster(o, 700, o.select("u", "v", F.col("w").alias("s"))).agg(F.count("*").alias("edges"))
 
 
-SMALL = "synth-grid8-s0"
-
-
 @query("three_spanner", sql(f"WITH RECURSIVE {ADJ.format(g='kg')} SELECT (SELECT count(*) FROM kg) AS edges, 3 AS most", "kg"))
 def _(spark, sf):
     """Every edge's ends are at most three hops apart in the spanner."""
@@ -81,51 +78,6 @@ def _(spark, sf):
     return selector("las_vegas_spanner")(V.knn_graph(spark, sf), 0.3, 1).agg(F.count("*").alias("edges"))
 
 
-TREE_VERDICT = "SELECT 63::BIGINT AS edges, 63::BIGINT AS distinct_edges, 0::BIGINT AS foreign_edges, true AS keeps_components"
-
-
-def grid(spark):
-    return stored(synthetic.build(spark, SMALL).withColumn("w", F.lit(1.0)))
-
-
-for name in ("low_stretch_tree", "random_spanning_tree"):
-
-    @query(name, TREE_VERDICT)
-    def _(spark, sf, name=name):
-        e = grid(spark)
-        return verdict(e, selector(name)(e))
-
-
-@query("greedy_spanner", "SELECT true AS keeps_components, 0::BIGINT AS foreign_edges")
-def _(spark, sf):
-    e = grid(spark)
-    return verdict(e, selector("tspanner_greedy")(e)).select("keeps_components", "foreign_edges")
-
-
-# Growth to a share of the 112 edges of the grid; a forest has 63 of them.
-for name, q in (("support", 79), ("support_dilation", 79), ("support_greedy", 79), ("support_batch", 79)):
-
-    @query(f"grown_{name}", f"SELECT {q}::BIGINT AS edges, {q}::BIGINT AS distinct_edges, 0::BIGINT AS foreign_edges, true AS keeps_components")
-    def _(spark, sf, name=name):
-        e = grid(spark)
-        return verdict(e, selector(name)(e, 0.7))
-
-
-for name, q in (("rank_degree", 34), ("forest_fire", 34)):
-
-    @query(name, f"SELECT {q}::BIGINT AS edges, {q}::BIGINT AS distinct_edges, 0::BIGINT AS foreign_edges")
-    def _(spark, sf, name=name):
-        e = grid(spark)
-        return verdict(e, selector(name)(e, 0.3)).select("edges", "distinct_edges", "foreign_edges")
-
-
-@query("swap_refinement", "SELECT 79::BIGINT AS edges, 79::BIGINT AS distinct_edges, 0::BIGINT AS foreign_edges")
-def _(spark, sf):
-    e = grid(spark)
-    s = stored(selector("support_batch")(e, 0.7))
-    return verdict(e, Q.swapped(e.select("u", "v"), s, 1)).select("edges", "distinct_edges", "foreign_edges")
-
-
 @query("effective_resistance", sql(f"SELECT count(*) AS edges, round({N_UG}, 4)::DOUBLE AS total FROM ug", "ug"))
 def _(spark, sf):
     """Leverage adds up to nodes less components."""
@@ -139,9 +91,9 @@ def _(spark, sf):
     return Q.sketched_resistance(V.user_graph(spark, sf), 24)
 
 
-@query("spectral_sample", sql("SELECT ceil(0.3 * count(*) - 1e-12)::BIGINT AS edges FROM ug", "ug"))
+@query("spectral_sample")
 def _(spark, sf):
-    return selector("effective_resistance_fixed")(V.user_graph(spark, sf), 0.3, 1, distinct=True).agg(F.count("*").alias("edges"))
+    return selector("effective_resistance")(V.user_graph(spark, sf), 0.3, 1)
 
 
 @query("keyed_upsert", "SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM orders")

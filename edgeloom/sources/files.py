@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import io
 import json
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -82,18 +83,62 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 
 
 def save_artifact(df: DataFrame, path: str, meta: dict) -> None:
-    """A table with its schema version and fingerprint beside it; the data is complete before its mark is written."""
-    df.write.mode("overwrite").parquet(f"{path}/data")
-    df.sparkSession.createDataFrame([(json.dumps(meta, sort_keys=True),)], "meta string").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+    """A table with its schema version and fingerprint.
+
+    The data goes to a folder of its own, and the mark, written last, names it: a reader sees the old table or the
+    new one, never half of one.
+    """
+    name = f"data-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{name}")
+    mark = json.dumps({"meta": meta, "data": name}, sort_keys=True)
+    df.sparkSession.createDataFrame([(mark,)], "mark string").coalesce(1).write.mode("append").json(f"{path}/marks/{_next_mark(df.sparkSession, path):09d}")
 
 
 def load_artifact(spark: SparkSession, path: str, **expected) -> DataFrame:
     """The table, if its mark says what is expected."""
-    meta = json.loads(spark.read.schema("meta string").json(f"{path}/meta").first()[0])
+    last = _next_mark(spark, path) - 1
+    if last < 0:
+        raise FileNotFoundError(f"no artifact at {path}")
+    mark = json.loads(spark.read.schema("mark string").json(f"{path}/marks/{last:09d}").first()[0])
+    meta = mark["meta"]
     wrong = {k: (meta.get(k), v) for k, v in expected.items() if meta.get(k) != v}
     if wrong:
         raise ValueError(f"artifact at {path} differs: {wrong}")
-    return spark.read.parquet(f"{path}/data")
+    return spark.read.parquet(f"{path}/{mark['data']}")
+
+
+def _next_mark(spark: SparkSession, path: str) -> int:
+    """One more than the last mark that was written whole."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/marks/*/_SUCCESS")
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    return max((int(f.getPath().getParent().getName()) for f in found or []), default=-1) + 1
+
+
+# The columns of a ledger row, in order.
+METRICS = "method dataset run seed epochs kept_ratio sparsity status metric train_acc valid_acc test_acc train_f1_macro test_f1_macro chosen_epoch log_file raw_results initial_sparsification_time_sec resparsification_time_sec sparsification_time_sec training_time_sec total_runtime_sec train_only_time_sec eval_time_sec selection_time_sec".split()
+
+
+def append_metrics(rows: DataFrame, path: str) -> None:
+    """Add rows to a ledger of METRICS: columns that are missing are empty, unknown ones an error; each call adds a file of its own."""
+    odd = [c for c in rows.columns if c not in METRICS]
+    if odd:
+        raise ValueError(f"not columns of the ledger: {odd}")
+    cells = [(F.col(c) if c in rows.columns else F.lit(None)).cast("string").alias(c) for c in METRICS]
+    rows.select(*cells).write.mode("append").option("header", True).csv(path)
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("header", True).schema(", ".join(f"{c} string" for c in METRICS)).csv(path)
+
+
+def save_bank(views: DataFrame, path: str, view: str = "view_id") -> None:
+    """A bank of supports, one folder a view, so that a view is read by itself."""
+    views.write.mode("overwrite").partitionBy(view).parquet(path)
+
+
+def load_bank(spark: SparkSession, path: str, view: int | None = None, column: str = "view_id") -> DataFrame:
+    out = spark.read.parquet(path)
+    return out if view is None else out.where(F.col(column) == view)
 
 
 def fingerprint(edges: DataFrame) -> str:
@@ -106,7 +151,6 @@ def fingerprint(edges: DataFrame) -> str:
 def cached(spark: SparkSession, identity: dict, build, root: str | None = None) -> DataFrame:
     """The table built for an identity, kept under the first 16 digits of its hash."""
     path = f"{root or shared_dir(spark) + '/cache'}/{hashlib.sha256(json.dumps(identity, sort_keys=True).encode()).hexdigest()[:16]}"
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/meta/_SUCCESS")
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+    if not _next_mark(spark, path):
         save_artifact(build(), path, identity)
     return load_artifact(spark, path, **identity)

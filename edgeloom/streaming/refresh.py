@@ -23,6 +23,13 @@ def version_of(epochs: DataFrame, refreshes: DataFrame) -> DataFrame:
     return both.withColumn("version", F.coalesce(F.last("version", True).over(w), F.lit(-1))).where("o = 1").select("epoch", "version")
 
 
+def mixed_backbone(edges: DataFrame, version: int, every: int = 3, seed: int = 0) -> DataFrame:
+    """The backbone of a version: every k-th is the forest of largest weight, others are hashed forests of their own."""
+    from edgeloom.operators.forest import random_forest, spanning_forest
+
+    return spanning_forest(edges, [F.col("w").desc()]) if version % every == 0 else random_forest(edges, seed + version)
+
+
 class Refresher:
     """Builds the next version in the background; until it is ready ``poll`` returns nothing and the old one stays."""
 
