@@ -78,8 +78,8 @@ class WordCoder:
         return any(a in low for a in self.added)
 
     def learn(self, parts: list[str]) -> None:
-        for i in range(0, len(parts), 200):
-            some = parts[i : i + 200]
+        for i in range(0, len(parts), 1000):
+            some = parts[i : i + 1000]
             ids = np.array(self._ids(" ".join(some)), np.int32)
             ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
             if len(ends) != len(some) or ends[-1] != len(ids):
@@ -93,9 +93,9 @@ class WordCoder:
         cut = [None if PLAIN.search(t) or self._adds(low := t.lower()) else self.parts(low) for t in many]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        self.learn(list({p for ps in cut if ps for p in ps} - self.known.keys()))
-        known = self.known
-        return [np.array(self._ids(t), np.int32) if ps is None else np.frombuffer(b"".join([known[p] for p in ps]), np.int32) for t, ps in zip(many, cut)]
+        self.learn(list(set().union(*filter(None, cut)) - self.known.keys()))
+        known = self.known.__getitem__
+        return [np.array(self._ids(t), np.int32) if ps is None else np.frombuffer(b"".join(map(known, ps)), np.int32) for t, ps in zip(many, cut)]
 
 
 _coders: dict[str, WordCoder] = {}
@@ -123,11 +123,13 @@ def compressed(ids: np.ndarray, lengths: np.ndarray, base: int) -> tuple[np.ndar
         many = np.bincount(h, minlength=(1 << 20) + 1)
         many[1 << 20] = 0
         at = np.flatnonzero((many >= OFTEN)[h])
-        key = a[at] << 32 | b[at]
+        narrow = base + len(rules) < 1 << 16  # sorts faster
+        shift = 16 if narrow else 32
+        key = (a[at] << shift | b[at]).astype(np.uint32 if narrow else np.int64)
         by = np.argsort(key)
         ranked = key[by]
-        first = np.flatnonzero(np.diff(ranked, prepend=-1))
-        pairs, times = ranked[first], np.diff(first, append=len(ranked))
+        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.empty(0, np.int64)
+        pairs, times = ranked[first].astype(np.int64), np.diff(first, append=len(ranked))
         place = np.empty(len(key), np.int64)
         place[by] = np.repeat(np.arange(len(pairs)), times)
         order = np.flatnonzero(times >= OFTEN)
@@ -135,7 +137,7 @@ def compressed(ids: np.ndarray, lengths: np.ndarray, base: int) -> tuple[np.ndar
         symbol = np.full(len(pairs), -1)
         lefts, rights = set(), set()
         for p in order.tolist():
-            x, y = int(pairs[p]) >> 32, int(pairs[p]) & 0xFFFFFFFF
+            x, y = int(pairs[p]) >> shift, int(pairs[p]) & (1 << shift) - 1
             if x in rights or y in lefts or (x == y and (x in lefts or y in rights)):
                 continue
             lefts.add(x)
