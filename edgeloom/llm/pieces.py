@@ -63,7 +63,7 @@ class PieceTable:
                 continue
             piece = sp.id_to_piece(i)
             self.rank[piece], self.ids[piece] = sp.get_score(i), i
-            self.auto.add_word(piece, i)
+            self.auto.add_word(piece, (i, len(piece)))
             if len(piece) > 1:
                 multi.add(piece)
         self.auto.make_automaton()
@@ -73,6 +73,7 @@ class PieceTable:
         self.text = {i: p for p, i in self.ids.items()}
         self.single = {p for p in self.ids if len(p) == 1}
         self.inside = {c for p in multi for c in p}
+        self.partial = self.inside - self.single  # characters that are no piece but part of one
         self.byte = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.end = sp.eos_id()
         cut = not any(SPACE in p.lstrip(SPACE) for p in multi)
@@ -141,34 +142,37 @@ class PieceTable:
             else:
                 until_y, y = made_y, self._halves(y)[0]
 
-    def _known(self, s: str) -> list[int]:
-        """Ids of a text all of whose characters are pieces."""
+    def _known(self, s: str) -> list[int] | None:
+        """Ids of a text all of whose characters are pieces; none where one isn't."""
         last = [-1] * len(s)
         last.append(self.start)  # also last[-1], what stands before the first character
         pairs, size = self.pairs, self.size
-        for e, t in self.auto.iter(s):
-            if last[e] < 0 and pairs[last[e - size[t]] << 32 | t]:
+        for e, (t, n) in self.auto.iter(s):
+            if last[e] < 0 and (before := last[e - n]) >= 0 and pairs[before << 32 | t]:
                 last[e] = t
         i, out = len(s) - 1, []
         while i >= 0:
             t = last[i]
+            if t < 0:
+                return None
             out.append(t)
             i -= size[t]
         out.reverse()
         return out
 
     def _word(self, s: str) -> list[int]:
-        if self.single.issuperset(s):
-            return self._known(s)
-        odd = set(s) - self.single
-        if odd & self.inside:  # a character that is no piece but part of one: it may still be merged
+        if not self.partial.isdisjoint(s):  # such a character may still be merged
             return [i for p in self.merged(s) for i in ([self.ids[p]] if p in self.ids else [self.byte[b] for b in p.encode()])]
+        found = self._known(s)
+        if found is not None:
+            return found
+        odd = set(s) - self.single
         out: list[int] = []
         for part in re.split("([" + re.escape("".join(odd)) + "])", s):
             if part in odd:
                 out += [self.byte[b] for b in part.encode()]
             elif part:
-                out += self._known(part)
+                out += self._known(part) or []
         return out
 
     def encode(self, text: str) -> np.ndarray:
