@@ -9,7 +9,8 @@ on the left edge of the second before either was merged inwards; answers are rem
 one token per prefix and the ids are read off it backwards from the end of the text.
 
 Where no piece of the vocabulary crosses a place the text is cut there (before a run of space
-marks, at a line feed), so the table is as long as a word and words are remembered.
+marks, at a line feed), so the table is as long as a word and words are remembered. The new words of a batch
+are laid end to end and fill their tables together, one column after another.
 """
 
 from __future__ import annotations
@@ -27,26 +28,10 @@ from pyspark.sql import functions as F
 from edgeloom.llm.common import fresh, give_back, held_columns, small_batches, table, texts
 
 SPACE = "▁"
-#: What one Python worker remembers: encoded words (about 70 MB) and answers about pairs (about 40 MB).
-WORDS, PAIRS = 300_000, 300_000
-
-
-class _Remembered(dict):
-    """Answers of a function to the latest questions: what was not asked again while ``most / 2`` others were is forgotten."""
-
-    def __init__(self, ask, most: int):
-        self.ask, self.most = ask, most // 2
-        self.old: dict = {}
-
-    def __missing__(self, key):
-        found = self.old.get(key)
-        if found is None:
-            found = self.ask(key)
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[key] = found
-        return found
+#: Encoded words that one Python worker remembers (about 60 MB), and places for answers about pairs (8 MB).
+WORDS, PAIRS = 250_000, 1 << 20
+#: Words longer than this are encoded by themselves and not remembered.
+LONG = 64
 
 
 class PieceTable:
@@ -63,8 +48,8 @@ class PieceTable:
                 continue
             piece = sp.id_to_piece(i)
             self.rank[piece], self.ids[piece] = sp.get_score(i), i
-            self.auto.add_word(piece, (i, len(piece)))
             if len(piece) > 1:
+                self.auto.add_word(piece, i)
                 multi.add(piece)
         self.auto.make_automaton()
         self.size = [0] * sp.get_piece_size()
@@ -80,8 +65,14 @@ class PieceTable:
         lines = cut and "\n" not in self.inside
         self.words = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n" if lines else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if cut else "(?s:.+)").findall
         self.start = sp.get_piece_size()
-        self.pairs = _Remembered(self.stands, PAIRS)
-        self.known = _Remembered(lambda w: array("i", self._word(w)).tobytes(), WORDS)
+        self.sizes = np.array(self.size + [0], np.int64)
+        self.alone = np.full(0x110000, -1, np.int32)  # pieces of one character need no automaton
+        for c in self.single:
+            self.alone[ord(c)] = self.ids[c]
+        self.pairs = np.full(PAIRS, -1, np.int64)  # at the hash of a pair, twice the pair and whether it stands
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.few: dict[int, bool] = {}
         self.halves: dict[str, tuple[str, str] | None] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -142,43 +133,124 @@ class PieceTable:
             else:
                 until_y, y = made_y, self._halves(y)[0]
 
-    def _known(self, s: str) -> list[int] | None:
-        """Ids of a text all of whose characters are pieces; none where one isn't."""
-        last = [-1] * len(s)
-        last.append(self.start)  # also last[-1], what stands before the first character
-        pairs, size = self.pairs, self.size
-        for e, (t, n) in self.auto.iter(s):
-            if last[e] < 0 and (before := last[e - n]) >= 0 and pairs[before << 32 | t]:
-                last[e] = t
-        i, out = len(s) - 1, []
-        while i >= 0:
-            t = last[i]
-            if t < 0:
-                return None
-            out.append(t)
-            i -= size[t]
-        out.reverse()
+    def _stand(self, keys: np.ndarray) -> np.ndarray:
+        """Whether pairs stand; what is not found at its place is asked once and written there."""
+        at = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % len(self.pairs)
+        found = self.pairs[at]
+        miss = np.flatnonzero(found >> 1 != keys)
+        if len(miss):
+            new, back = np.unique(keys[miss], return_inverse=True)
+            found[miss] = np.array([k << 1 | self.stands(k) for k in new.tolist()], np.int64)[back]
+            self.pairs[at[miss]] = found[miss]
+        return (found & 1).astype(bool)
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        """Ids, as bytes, of words none of which has the character 0."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(lengths + 1)
+        starts = ends - lengths - 1
+        joined = "\0".join(words)
+        hits = np.fromiter(self.auto.iter(joined), np.dtype([("e", np.int64), ("t", np.int64)]))
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        alone = np.flatnonzero((self.alone[codes] >= 0) & (codes > 0))
+        e, t = np.concatenate([hits["e"], alone]), np.concatenate([hits["t"], self.alone[codes[alone]]])
+        start = np.repeat(starts, lengths + 1)[e]
+        n = self.sizes[t]
+        column = e - start
+        by = np.argsort(column.astype(np.int16), kind="stable")
+        e, t, n, start, column = e[by], t[by], n[by], start[by], column[by]
+        edges = np.searchsorted(column, np.arange(int(lengths.max()) + 2))
+        last = np.full(int(ends[-1]) + 1, -1, np.int64)
+        for i, j in zip(edges.tolist(), edges[1:].tolist()):
+            at, begins = e[i:j] - n[i:j], start[i:j]
+            before = np.where(at < begins, self.start, last[at])
+            some = np.flatnonzero(before >= 0) + i
+            some = some[self._stand(before[some - i] << 32 | t[some])]
+            last[e[some]] = t[some]
+        # backwards from the last character of each word
+        at, open_, steps = ends - 2, np.arange(len(words)), []
+        lost = np.zeros(len(words), bool)
+        count = np.zeros(len(words), np.int64)
+        while len(open_):
+            token = last[at[open_]]
+            lost[open_[token < 0]] = True
+            open_, token = open_[token >= 0], token[token >= 0]
+            steps.append((open_, token))
+            count[open_] += 1
+            at[open_] -= self.sizes[token]
+            open_ = open_[at[open_] >= starts[open_]]
+        to = np.cumsum(count)
+        flat = np.empty(int(to[-1]), np.int32)
+        for k, (w, token) in enumerate(steps):
+            flat[to[w] - 1 - k] = token
+        raw = flat.tobytes()
+        out = [raw[a:b] for a, b in zip((4 * (to - count)).tolist(), (4 * to).tolist())]
+        for i in np.flatnonzero(lost):
+            out[i] = self._odd(words[i])
         return out
 
-    def _word(self, s: str) -> list[int]:
+    def _odd(self, s: str) -> bytes:
+        """A word with characters that are no pieces."""
         if not self.partial.isdisjoint(s):  # such a character may still be merged
-            return [i for p in self.merged(s) for i in ([self.ids[p]] if p in self.ids else [self.byte[b] for b in p.encode()])]
-        found = self._known(s)
-        if found is not None:
-            return found
+            return array("i", [i for p in self.merged(s) for i in ([self.ids[p]] if p in self.ids else [self.byte[b] for b in p.encode()])]).tobytes()
         odd = set(s) - self.single
-        out: list[int] = []
+        if not odd:
+            return self._one(s)
+        out = b""
         for part in re.split("([" + re.escape("".join(odd)) + "])", s):
             if part in odd:
-                out += [self.byte[b] for b in part.encode()]
+                out += array("i", [self.byte[b] for b in part.encode()]).tobytes()
             elif part:
-                out += self._known(part) or []
+                out += self._one(part)
+        return out
+
+    def _one(self, s: str) -> bytes:
+        """A text all of whose characters are pieces, place by place: for long ones."""
+        last, size = [-1] * len(s), self.size
+        last.append(self.start)  # also last[-1], what stands before the first character
+        ids = self.ids
+        ends: list[list[int]] = [[ids[c]] for c in s]
+        for e, t in self.auto.iter(s):
+            ends[e].append(t)
+        for e, t in ((e, t) for e, ts in enumerate(ends) for t in ts):
+            if last[e] < 0 and (before := last[e - size[t]]) >= 0:
+                key = before << 32 | t
+                if (known := self.few.get(key)) is None:
+                    if len(self.few) >= 50_000:
+                        self.few.clear()
+                    known = self.few[key] = self.stands(key)
+                if known:
+                    last[e] = t
+        i, out = len(s) - 1, array("i")
+        while i >= 0:
+            out.append(last[i])
+            i -= size[last[i]]
+        out.reverse()
+        return out.tobytes()
+
+    def encode_all(self, many: list[str]) -> list[np.ndarray]:
+        """Ids of whole texts, without an end id."""
+        cut = [self.words(self.sp.normalize(t)) if t else [] for t in many]
+        new = set().union(*cut) - self.known.keys()
+        self.known.update((w, self.old[w]) for w in new & self.old.keys())
+        new -= self.old.keys()
+        odd = [w for w in new if len(w) > LONG or "\0" in w or not self.partial.isdisjoint(w)]
+        self.known.update((w, self._odd(w)) for w in odd)
+        plain = list(new.difference(odd))
+        for i in range(0, len(plain), 20_000):
+            some = plain[i : i + 20_000]
+            self.known.update(zip(some, self._encoded(some)))
+        known = self.known.__getitem__
+        out = [np.frombuffer(b"".join(map(known, ws)), np.int32) for ws in cut]
+        for w in odd:
+            if len(w) > LONG:
+                del self.known[w]
+        if len(self.known) > WORDS // 2:
+            self.old, self.known = self.known, {}
         return out
 
     def encode(self, text: str) -> np.ndarray:
-        """Ids of a whole text, without an end id."""
-        known = self.known
-        return np.frombuffer(b"".join([known[w] for w in self.words(self.sp.normalize(text))]), np.int32) if text else np.empty(0, np.int32)
+        return self.encode_all([text])[0]
 
 
 _tables: dict[str, PieceTable] = {}
@@ -203,7 +275,7 @@ def with_pieces(docs: DataFrame, model_path: str, text: str = "text", ids: str =
     def code(column: pa.Array) -> pa.Array:
         coder = piece_table(model_path)
         end = np.array([coder.end], np.int32)
-        rows = [np.append(coder.encode(t), end) for t in texts(column)]
+        rows = [np.append(ids, end) for ids in coder.encode_all(texts(column))]
         offsets = np.zeros(len(rows) + 1, np.int32)
         np.cumsum([len(r) for r in rows], out=offsets[1:])
         flat = pa.array(np.concatenate(rows) if rows else np.empty(0, np.int32))

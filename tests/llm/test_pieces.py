@@ -27,3 +27,28 @@ def test_rows(spark):
     assert [r["ids"] for r in out] == [sp.encode(r[1] or "", add_eos=True) for r in rows]
     assert [r["decoded"] for r in out] == [sp.decode(sp.encode(r[1] or "")) for r in rows]
     assert with_pieces(spark.createDataFrame([], "doc_id long, text string"), model_path()).count() == 0
+
+
+def test_what_is_remembered_is_bounded(monkeypatch):
+    from edgeloom.llm import pieces
+
+    monkeypatch.setattr(pieces, "WORDS", 40)
+    monkeypatch.setattr(pieces, "PAIRS", 64)
+    t, rng = PieceTable(model_path()), random.Random(2)
+    for _ in range(400):
+        many = [" ".join(rng.choice(PARTS) + rng.choice(PARTS) for _ in range(rng.randint(0, 9))) + rng.choice(["", "x" * 80, "é" * 70]) for _ in range(3)]
+        assert [x.tolist() for x in t.encode_all(many)] == [t.sp.encode(s) for s in many]
+        assert len(t.known) <= 20 and len(t.pairs) == 64 and not any(len(w) > pieces.LONG for w in [*t.known, *t.old])
+
+
+def test_pairs_stand_as_their_merges_say():
+    t, rng = PieceTable(model_path()), random.Random(3)
+    ids = list(t.text)
+    tested = 0
+    while tested < 3000:
+        a, b = rng.choice(ids), rng.choice(ids)
+        x, y = t.text[a], t.text[b]
+        if len(x + y) <= 24:
+            assert t.stands(a << 32 | b) == (t.merged(x + y) == [x, y]), (x, y)
+            assert t.stands(t.start << 32 | b) == (t.merged(y) == [y])
+            tested += 1
