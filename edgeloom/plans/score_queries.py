@@ -10,6 +10,7 @@ from edgeloom.operators import edges as E
 from edgeloom.operators import select as C
 from edgeloom.plans.edge_queries import R, md5, u01
 from edgeloom.plans.registry import query
+from edgeloom.session import stored
 from edgeloom.sources import views as V
 from edgeloom.sources.views import sql
 
@@ -53,7 +54,7 @@ def _(spark, sf):
 
 @query("jaccard", sql(f"WITH {NBR} SELECT u, v, c AS common, round(c / (du + dv - c), 6) AS jaccard FROM nb", "ug"))
 def _(spark, sf):
-    return S.neighbourhood(V.user_graph(spark, sf)).select("u", "v", "common", R("jaccard", 6).alias("jaccard"))
+    return S.neighbourhood(stored(V.user_graph(spark, sf).select("u", "v"))).select("u", "v", "common", R("jaccard", 6).alias("jaccard"))
 
 
 @query("scan", sql(f"WITH {NBR} SELECT u, v, round((c + 2) / sqrt((du + 1.0) * (dv + 1.0)), 6) AS scan FROM nb", "ug"))
@@ -130,7 +131,7 @@ def _(spark, sf):
 
 @query("gcn_norm", sql(f"WITH {ADJ.format(g='ug')}, n AS (SELECT DISTINCT src AS node FROM adj), f AS (SELECT src, dst, w FROM adj UNION ALL SELECT node, node, 1 FROM n), d AS (SELECT dst AS node, greatest(sum(w), 1) AS d FROM f GROUP BY 1) SELECT src, dst, round(w / sqrt(a.d * b.d), 6) AS w FROM f JOIN d a ON a.node = src JOIN d b ON b.node = dst", "ug"))
 def _(spark, sf):
-    e = V.user_graph(spark, sf)
+    e = stored(V.user_graph(spark, sf))
     return S.gcn_norm(E.adjacency(e), E.nodes(e)).withColumn("w", R("w", 6))
 
 
@@ -219,8 +220,8 @@ def _(spark, sf):
 
 @query("gspar_topk", sql(f"WITH {NBR} SELECT u, v FROM (SELECT u, v, row_number() OVER (ORDER BY round(c / (du + dv - c), 9) DESC, u, v) AS r, count(*) OVER () AS m FROM nb) WHERE r <= round_even(0.3 * m, 0)", "ug"))
 def _(spark, sf):
-    e = S.neighbourhood(V.user_graph(spark, sf))
-    return C.top_k(e, R("jaccard", 9), E.budget(e.count(), 0.3, "round")).select("u", "v")
+    e = stored(V.user_graph(spark, sf).select("u", "v"))
+    return C.top_k(S.neighbourhood(e), R("jaccard", 9), E.budget(e.count(), 0.3, "round")).select("u", "v")
 
 
 @query("lspar_per_node", sql(f"WITH {NBR}, a AS (SELECT u AS src, v AS dst, round(c / (du + dv - c), 9) AS s, du AS d FROM nb UNION ALL SELECT v, u, round(c / (du + dv - c), 9), dv FROM nb) SELECT DISTINCT least(src, dst) AS u, greatest(src, dst) AS v FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY s DESC, dst) AS r FROM a) WHERE r <= greatest(1, floor(power(d, 0.6)))", "ug"))
@@ -233,20 +234,20 @@ def _(spark, sf):
 
 @query("lsim_topk", sql(f"WITH {LSIM}, l AS ({LSIM_Q}) SELECT u, v FROM (SELECT u, v, row_number() OVER (ORDER BY lsim DESC, u, v) AS r, count(*) OVER () AS m FROM l) WHERE r <= round_even(0.3 * m, 0)", "ug"))
 def _(spark, sf):
-    e = S.local_similarity(V.user_graph(spark, sf))
-    return C.top_k(e, R("lsim", 6), E.budget(e.count(), 0.3, "round")).select("u", "v")
+    e = stored(V.user_graph(spark, sf).select("u", "v"))
+    return C.top_k(S.local_similarity(e), R("lsim", 6), E.budget(e.count(), 0.3, "round")).select("u", "v")
 
 
 @query("scan_topk", sql(f"WITH {NBR} SELECT u, v FROM (SELECT u, v, row_number() OVER (ORDER BY round((c + 2) / sqrt((du + 1.0) * (dv + 1.0)), 9) DESC, u, v) AS r, count(*) OVER () AS m FROM nb) WHERE r <= round_even(0.3 * m, 0)", "ug"))
 def _(spark, sf):
-    e = S.neighbourhood(V.user_graph(spark, sf))
-    return C.top_k(e, R("scan", 9), E.budget(e.count(), 0.3, "round")).select("u", "v")
+    e = stored(V.user_graph(spark, sf).select("u", "v"))
+    return C.top_k(S.neighbourhood(e), R("scan", 9), E.budget(e.count(), 0.3, "round")).select("u", "v")
 
 
 @query("local_degree_topk", sql(f"WITH {DEG.format(g='ps')}, {ADJ.format(g='ps')}, l AS ({LDEG_Q}) SELECT u, v FROM (SELECT u, v, row_number() OVER (ORDER BY local_degree DESC, u, v) AS r, count(*) OVER () AS m FROM l) WHERE r <= round_even(0.3 * m, 0)", "ps"))
 def _(spark, sf):
-    e = S.local_degree(V.part_supplier(spark, sf))
-    return C.top_k(e, R("local_degree", 6), E.budget(e.count(), 0.3, "round")).select("u", "v")
+    e = stored(V.part_supplier(spark, sf).select("u", "v"))
+    return C.top_k(S.local_degree(e), R("local_degree", 6), E.budget(e.count(), 0.3, "round")).select("u", "v")
 
 
 @query("random_topk", sql(f"SELECT u, v FROM (SELECT u, v, row_number() OVER (ORDER BY {md5(3, 'u', 'v')}, u, v) AS r, count(*) OVER () AS m FROM ps) WHERE r <= round_even(0.3 * m, 0)", "ps"))
@@ -298,7 +299,7 @@ RACE = f"{DSPAR}, a AS (SELECT u, v, w, p, round(-ln(1 - {u01(6, 'u', 'v')}) / p
 
 @query("dspar_race", sql(f"WITH {RACE} SELECT u, v FROM k WHERE r <= 2000", "ps"))
 def _(spark, sf):
-    return C.race(S.degree_probability(V.part_supplier(spark, sf)), F.col("p"), 2000, 6).select("u", "v")
+    return C.race(S.degree_probability(stored(V.part_supplier(spark, sf).select("u", "v"))), F.col("p"), 2000, 6).select("u", "v")
 
 
 @query("dspar_reweighted", sql(f"WITH {RACE} SELECT u, v, round(1 / least(1, 2000 * p), 6) AS weight FROM k WHERE r <= 2000", "ps"))
@@ -322,7 +323,7 @@ def _(spark, sf):
 
 @query("systematic_draw", sql(f"WITH {PIPS}, c AS (SELECT u, v, p, sum(p) OVER (ORDER BY u, v ROWS UNBOUNDED PRECEDING) AS c FROM p), h AS (SELECT u, v, p, greatest(-1, least(floor(round(c - 0.37, 9)), 1499)) > greatest(-1, least(floor(round(c - p - 0.37, 9)), 1499)) AS hit FROM c), o AS (SELECT u, v, hit, row_number() OVER (PARTITION BY hit ORDER BY p DESC, u, v) AS r FROM h) SELECT u, v FROM o WHERE hit OR r <= 1500 - (SELECT count(*) FROM h WHERE hit)", "ug"))
 def _(spark, sf):
-    p = C.inclusion(V.user_graph(spark, sf), "w", 1500)
+    p = C.inclusion(stored(V.user_graph(spark, sf)), "w", 1500)
     return C.systematic(p, "p", 1500, 0.37, [F.col("u"), F.col("v")]).select("u", "v")
 
 
