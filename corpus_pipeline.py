@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from edgeloom.llm import language, mixing, pieces, quality, shingle_join
 from edgeloom.llm.common import table
-from edgeloom.session import stored
+from edgeloom.session import dropped, stored
 
 STAGES = [
     ("quality", quality.stage),
@@ -25,7 +25,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the whole documents; a stage's table is deleted once the next one is written.
+
+    An empty table passes all stages; what each does with nulls, empty texts, ties, repeats and other columns is said there.
+    """
+    docs, ours = table(spark, sf_dir, "documents"), False
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        out = stored(stage(spark, docs, sf_dir), name)
+        if ours:
+            dropped(docs)
+        docs, ours = out, True
     return docs
