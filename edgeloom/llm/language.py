@@ -19,8 +19,8 @@ from edgeloom.session import join_counted, stored
 
 #: Hashed coordinates.
 DIMS = 1 << 16
-#: The bound of the sample that the model is fitted on: documents of each language, in expectation.
-SAMPLE = 1000
+#: The bounds of the sample that the model is fitted on: documents of each language and of all, in expectation.
+SAMPLE, TOTAL = 1000, 20_000
 #: The prediction for a text without a letter.
 NONE = "und"
 #: The pipeline rejects a document whose calibrated score is below this, or whose language is ``und``.
@@ -80,7 +80,8 @@ def fitted(docs: DataFrame, sample: int = SAMPLE, passes: int = 4, held: bool =
         return pa.StructArray.from_arrays([ids, pa.array([r[1].astype(np.float32) for r in rows], pa.list_(pa.float32()))], ["i", "v"])
 
     u = uniform(F.col("doc_id"), F.col("text"), seed=11)
-    pick = join_counted(taught, each, ["lang"], each.count()).where(u * F.col("many") < sample)
+    n_langs = each.count()
+    pick = join_counted(taught, each, ["lang"], n_langs).where(u * F.col("many") < min(float(sample), TOTAL / max(1, n_langs)))
     rows = pick.select("lang", u.alias("u"), F.arrow_udf(vectors, "struct<i: array<int>, v: array<float>>")("text").alias("x")).toArrow().sort_by([("u", "ascending"), ("lang", "ascending")])
     langs = sorted(set(rows.column("lang").to_pylist()))
     if not langs:

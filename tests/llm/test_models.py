@@ -139,3 +139,91 @@ def test_quality(spark, docs):
     assert quality.judged(spark.createDataFrame([], SCHEMA), model, F.col("source"), F.col("lang")).count() == 0
     blank = quality.fitted(docs, docs.select("doc_id", "quality").limit(0))
     assert quality.judged(docs, blank, F.col("source"), F.col("lang")).count() == 420
+
+
+def test_language_equals_a_plain_scorer(docs):
+    model = language.fitted(docs)
+    weights = {int(i): row for i, row in zip(model["found"], model["w"])}
+
+    def plain(text):
+        codes = [ord(c) for c in text.lower()]
+        grams = {}
+        for k in range(len(codes)):
+            one = codes[k] * 0x9E3779B1 & 0xFFFFFFFF
+            two = (one ^ codes[k + 1]) * 0x85EBCA77 & 0xFFFFFFFF if k + 1 < len(codes) else None
+            three = (two ^ codes[k + 2]) * 0xC2B2AE3D & 0xFFFFFFFF if k + 2 < len(codes) else None
+            for x in (one, two, three):
+                if x is not None:
+                    grams[x >> 16] = grams.get(x >> 16, 0) + 1
+        v = {i: (1 + np.log(n)) * model["idf"][i] for i, n in grams.items()}
+        size = np.sqrt(sum(x * x for x in v.values()))
+        z = np.array(model["bias"], float)
+        for i, x in v.items():
+            if i in weights:
+                z = z + weights[i] * (x / size)
+        p = np.exp(z / model["t"] - max(z / model["t"]))
+        return model["langs"][int(p.argmax())], float(p.max() / p.sum())
+
+    for r in language.identified(docs, model).collect()[:60]:
+        lang, score = plain(r["text"])
+        assert lang == r["lang_pred"] and abs(score - r["score"]) < 1e-4
+
+
+def test_toxicity_equals_a_plain_scorer(docs):
+    found, w, bias = model = toxicity.fitted(docs, docs.select("doc_id", "toxic"))
+    weights = dict(zip(found.tolist(), w[:, 0].tolist()))
+    mask = (1 << 64) - 1
+
+    def plain(text):
+        import re
+
+        words = re.findall(r"[^\W_]+", text.lower())
+        h = [zlib.crc32(x.encode()) for x in words]
+        raw = set(h)
+        for x in words:
+            raw |= {zlib.crc32(x[:k].encode(), k) for k in toxicity.STEMS if len(x) > k}
+        for gap, by in ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F), (3, 0x165667B19E3779F9)):
+            raw |= {((a * by & mask) ^ b) + gap & mask for a, b in zip(h, h[gap:])}
+        z = bias + sum(weights.get(i, 0.0) for i in {(x * 0x9FB21C651E98DF25 & mask) >> 44 for x in raw})
+        return 1 / (1 + np.exp(-z))
+
+    for r in toxicity.scored(docs, model).collect()[:80]:
+        assert abs(plain(r["text"]) - r["score"]) < 1e-4
+
+
+def test_a_text_of_more_words_than_are_kept(monkeypatch):
+    text = " ".join(f"w{i}" for i in range(900))
+    want = np.unique(toxicity.grams(text))
+    small = toxicity._Words()
+    small.most = 100
+    monkeypatch.setattr(toxicity, "_known", small)
+    assert (np.unique(toxicity.grams(text)) == want).all()
+
+
+CLASH = ["n", "s", "hn", "hr", "site", "z", "found", "judged", "host", "path", "p", "whole", "c0", "c1", "h", "h2", "size_", "mix_source", "words", "run", "copy", "coded", "y", "x", "many", "u"]
+
+
+def test_any_column_may_be_there(spark, docs):
+    more = docs.drop("toxic", "quality").limit(60)
+    for i, c in enumerate(CLASH):
+        more = more.withColumn(c, F.lit(i))
+    model = quality.fitted(docs, docs.select("doc_id", "quality"))
+    out = quality.judged(more, model, F.col("source"), F.col("lang"))
+    assert out.columns == more.columns + ["evidence", "host_rate", "path_rate", "score", "kept"] and out.count() == 60
+    assert out.select(*CLASH).distinct().count() == 1 and out.first()["h2"] == CLASH.index("h2")
+    assert language.identified(more, language.fitted(docs)).select(*CLASH).distinct().collect()[0]["judged"] == CLASH.index("judged")
+    assert toxicity.scored(more, toxicity.fitted(docs, docs.select("doc_id", "toxic"))).columns == more.columns + ["score", "predicted"]
+    from edgeloom.llm import mixing
+
+    mixed = mixing.mixed(more)
+    assert mixed.columns == more.columns + ["size", "source_size", "target", "times"] and mixed.select(*CLASH).distinct().count() == 1
+
+
+def test_stages_of_empty_tables(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    empty = spark.createDataFrame([], SCHEMA)
+    empty.write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, f"file://{tmp_path}").count() == 0
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
