@@ -182,6 +182,21 @@ def expanded(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
 SCHEMA = "part int, block int, doc_ids array<long>, lengths binary, ends binary, rules binary, expansions binary, symbols binary, base int, n_ids long"
 
 
+def _together(batches, most: int = 4 << 20):
+    """Keys and texts of batches, about ``most`` bytes at a time: what texts share is looked up once for all of them."""
+    keys, many, size = [], [], 0
+    for whole in batches:
+        for batch in slices(whole, 1):
+            keys += batch.column(0).to_pylist()
+            many += texts(batch.column(1))
+            size += batch.column(1).nbytes
+            if size >= most:
+                yield keys, many
+                keys, many, size = [], [], 0
+    if keys:
+        yield keys, many
+
+
 def _blocks(path: str):
     def run(batches):
         coder = word_coder(path)
@@ -198,15 +213,14 @@ def _blocks(path: str):
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([docs], pa.list_(pa.int64())), *[pa.array([x.tobytes()], pa.binary()) for x in parts], pa.array([base], pa.int32()), pa.array([held], pa.int64())], [f.split()[0] for f in SCHEMA.split(", ")])
 
         end = np.array([END], np.int32)
-        for whole in batches:
-            for batch in slices(whole, 1):
-                for d, ids in zip(batch.column(0).to_pylist(), coder.encode(texts(batch.column(1)))):
-                    docs.append(d)
-                    rows.append(np.append(ids, end))
-                    held += len(ids) + 1
-                    if held >= BLOCK:
-                        yield out()
-                        docs, rows, held, block = [], [], 0, block + 1
+        for keys, many in _together(batches):
+            for d, ids in zip(keys, coder.encode(many)):
+                docs.append(d)
+                rows.append(np.append(ids, end))
+                held += len(ids) + 1
+                if held >= BLOCK:
+                    yield out()
+                    docs, rows, held, block = [], [], 0, block + 1
         if docs:
             yield out()
 
