@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from edgeloom.llm import embed_dups, hamming_topk, html_text, language, mixing, pieces, quality, shingle_join, token_files, toxicity
+from edgeloom.llm import align, chats, embed_dups, hamming_topk, html_text, language, mixing, periodic, pieces, quality, shingle_join, token_files, toxicity
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_html_text": html_text.op8_html_text,
         "op9_hamming_topk": hamming_topk.op9_hamming_topk,
         "op10_quality": quality.op10_quality,
+        "op11_periodic_runs": periodic.op11_periodic_runs,
+        "op12_chat_format": chats.op12_chat_format,
+        "op13_token_alignment": align.op13_token_alignment,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_hamming_topk": hamming_topk.SQL}
+    return {"op9_hamming_topk": hamming_topk.SQL, "op12_chat_format": chats.SQL}
