@@ -29,8 +29,8 @@ from edgeloom.llm import pieces
 from edgeloom.llm.common import give_back, slices, table
 from edgeloom.session import dropped, join_counted, stored
 
-#: Bytes of text in a block, and segment occurrences of a block that are composed together.
-BLOCK, TOGETHER = 12 << 20, 300_000
+#: Bytes of text in a block, segment occurrences of a block that are composed together, and segments that are aligned together.
+BLOCK, TOGETHER, SEGMENTS = 6 << 20, 200_000, 50_000
 #: Marks in an alignment; ids are smaller.
 MIDDLE, END = 0xFFFF, 0xFFFE
 
@@ -225,16 +225,28 @@ def aligned(segments: list[str], a: ByteTokens, b: PieceTokens) -> list[bytes |
     return out
 
 
-def _align(path_a: str, path_b: str):
-    def run(column: pa.Array) -> pa.Array:
+def _aligner(path_a: str, path_b: str):
+    def run(batches):
         a, b = byte_tokens(path_a), piece_tokens(path_b)
-        out: list[bytes | None] = []
-        for part in slices(pa.RecordBatch.from_arrays([column], ["s"]), 0):
-            out += aligned([segment_of(k) for k in part.column(0).to_pylist()], a, b)
+        keys: list[str] = []
+        size = 0
+
+        def out():
+            found = aligned([segment_of(k) for k in keys], a, b)
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(found, pa.binary())], ["segment", "alignment"])
+
+        for batch in batches:
+            for part in slices(batch, 0):
+                keys += part.column(0).to_pylist()
+                size += part.nbytes
+                if len(keys) >= SEGMENTS or size >= 4 << 20:
+                    yield out()
+                    keys, size = [], 0
+        if keys:
+            yield out()
         give_back()
-        return pa.array(out, pa.binary())
 
-    return F.arrow_udf(run, "binary")
+    return run
 
 
 class Alignments:
@@ -301,6 +313,8 @@ def _compose(width: int):
             upto = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + TOGETHER, side="right")))
             out.append(_documents(al, row["of"], first, row["doc_ids"][first:upto], sizes[first:upto], codes[ends[first] - sizes[first] : ends[upto - 1]], fields))
             first = upto
+        del al, codes, segments
+        give_back()
         return pa.Table.from_batches(out)
 
     return run
@@ -347,7 +361,7 @@ def alignments(docs: DataFrame, path_a: str, path_b: str, groups: Column | None
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     blocks = stored(rows.mapInArrow(_blocks(b.cuts), BLOCKS), "align-blocks")
     used = blocks.select("block", F.posexplode("segments").alias("place", "segment"))
-    once = used.select("segment").distinct().select("segment", _align(path_a, path_b)(F.col("segment")).alias("alignment"))
+    once = used.select("segment").distinct().mapInArrow(_aligner(path_a, path_b), "segment string, alignment binary")
     joined = used.join(once, "segment").select("block", "place", "alignment")
     whole = blocks.select(F.col("block").alias("of"), "doc_ids", "sizes", "codes", "n_codes")
     composed = joined.groupBy("block").cogroup(whole.groupBy("of")).applyInArrow(_compose(width), COMPOSED)
