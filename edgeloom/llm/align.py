@@ -5,19 +5,20 @@ space (or a line feed, where no piece of B holds one) to what is before it unles
 pre-tokenizer and B's vocabulary. So a text is cut before runs of white space, and its tokens are those of its segments.
 
 1. Documents are packed into blocks of about BLOCK bytes. A block has its distinct segments, most frequent first, and the documents as numbers of these.
-2. The distinct segments of all blocks are encoded and aligned once. Where a token of A and one of B end at the same byte,
-   a group ends. An alignment is a row of small integers: the group's A ids, MIDDLE, its B ids, END.
-3. Alignments are joined back to the segments of each block, and a block composes its documents.
+2. The segments of all blocks are dealt to buckets by hash and sorted, so equal ones stand together and are encoded and aligned once.
+   Where a token of A and one of B end at the same byte, a group ends. An alignment is a row of small integers: the group's A ids, MIDDLE, its B ids, END.
+3. The alignment of a run of equal segments goes back to every block that has it, and a block composes its documents.
 4. How many documents hold a pair of ids is counted from the documents' distinct pairs; the counts are joined to them.
 
-A segment is sent at most once a block through the shuffle, so a frequent one has as many rows as there are blocks; what a
-task holds is a block. In a group, equal ids are counted before they are paired.
+A segment is sent at most once a block through the shuffle, packed with others of its block and bucket, so a frequent one has as many
+rows as there are blocks; what a task holds is a block, or SEGMENTS sorted rows. In a group, equal ids are counted before they are paired.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from edgeloom.llm.common import give_back, slices, table
 from edgeloom.session import dropped, join_counted, stored
 
 #: Bytes of text in a block, segment occurrences of a block that are composed together, and segments that are aligned together.
-BLOCK, TOGETHER, SEGMENTS = 6 << 20, 200_000, 50_000
+BLOCK, TOGETHER, SEGMENTS = 8 << 20, 200_000, 50_000
 #: Marks in an alignment; ids are smaller.
 MIDDLE, END = 0xFFFF, 0xFFFE
 
@@ -134,19 +135,45 @@ def segment_of(key: str) -> str:
     return key if key[:1] in (" ", "\n") and key else " " + key
 
 
-def _packed(planes: np.ndarray) -> bytes:
-    """Numbers as planes of bytes, compressed: the upper ones are mostly zero."""
-    return pa.compress(planes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+def _planes(numbers: np.ndarray) -> bytes:
+    """32-bit numbers as planes of bytes: the upper ones are mostly zero and compress well."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-def _unpacked(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(raw, 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n).T.copy().view("<u4").ravel()
+def _numbers(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8, 4 * n).reshape(4, n).T.copy().view("<i4").ravel().astype(np.int64)
 
 
-BLOCKS = "block long, doc_ids array<long>, sizes binary, codes binary, n_codes long, segments array<string>"
+def _squeezed(*parts: bytes) -> tuple[bytes, int]:
+    whole = b"".join(parts)
+    return pa.compress(whole, codec="zstd", asbytes=True), len(whole)
 
 
-def _blocks(cuts: str):
+def _restored(raw: bytes, size: int) -> bytes:
+    return pa.decompress(raw, size, codec="zstd", asbytes=True)
+
+
+BLOCKS = "block long, doc_ids array<long>, sizes binary, codes binary, n_codes long, dealt array<struct<bucket: int, n: int, size: long, packed: binary>>"
+DEALT = pa.list_(pa.struct({"bucket": pa.int32(), "n": pa.int32(), "size": pa.int64(), "packed": pa.binary()}))
+
+
+def _dealt(names: list[str], buckets: int) -> list[dict]:
+    """The segments of a block, by place, packed by the bucket of their hash."""
+    raw = [x.encode("utf-8", "surrogatepass") for x in names]
+    bucket = np.fromiter((zlib.crc32(x) for x in raw), np.int64, len(raw)) % buckets
+    order = sorted(range(len(raw)), key=raw.__getitem__)  # neighbours share beginnings
+    order = np.array(order, np.int64)[np.argsort(bucket[order], kind="stable")] if raw else np.empty(0, np.int64)
+    edges = np.flatnonzero(np.diff(bucket[order], prepend=-1) != 0).tolist() + [len(order)]
+    out = []
+    for x, y in zip(edges, edges[1:]):
+        some = order[x:y]
+        parts = [raw[i] for i in some.tolist()]
+        packed, size = _squeezed(_planes(some), _planes(np.array([len(r) for r in parts])), b"".join(parts))
+        out.append({"bucket": int(bucket[some[0]]), "n": len(parts), "size": size, "packed": packed})
+    return out
+
+
+def _blocks(cuts: str, buckets: int):
     def run(batches):
         cutter = Cutter(cuts)
         part, block = TaskContext.get().partitionId(), 0
@@ -162,8 +189,8 @@ def _blocks(cuts: str):
             rank[by] = np.arange(len(seen))
             names = list(seen)
             row = [pa.array([part << 32 | block], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([np.array(sizes, np.int32).tobytes()], pa.binary())]
-            row += [pa.array([_packed(rank[flat])], pa.binary()), pa.array([len(flat)], pa.int64()), pa.array([[names[i] for i in by.tolist()]], pa.list_(pa.string()))]
-            return pa.RecordBatch.from_arrays(row, [f.split()[0] for f in BLOCKS.split(", ")])
+            row += [pa.array([_squeezed(_planes(rank[flat]))[0]], pa.binary()), pa.array([len(flat)], pa.int64()), pa.array([_dealt([names[i] for i in by.tolist()], buckets)], DEALT)]
+            return pa.RecordBatch.from_arrays(row, ["block", "doc_ids", "sizes", "codes", "n_codes", "dealt"])
 
         held = 0
         for whole in batches:
@@ -184,6 +211,17 @@ def _blocks(cuts: str):
     return run
 
 
+def _undealt(batches):
+    """Rows (block, place, segment) of packed segments."""
+    for batch in batches:
+        for i in range(len(batch)):
+            block, n, size, packed = (batch.column(c)[i].as_py() for c in range(4))
+            raw = _restored(packed, size)
+            offsets = np.concatenate([[0], np.cumsum(_numbers(raw[4 * n :], n))]).astype(np.int32)
+            texts = pa.StringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(raw[8 * n :]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(_numbers(raw, n).astype(np.int32)), texts], ["block", "place", "segment"])
+
+
 def aligned(segments: list[str], a: ByteTokens, b: PieceTokens) -> list[bytes | None]:
     """The alignments of segments; none where the tokens' bytes are not the segment's."""
     plain = [i for i, s in enumerate(segments) if not (s[-1].isspace() or s[-1] == "\u180e")]
@@ -225,40 +263,60 @@ def aligned(segments: list[str], a: ByteTokens, b: PieceTokens) -> list[bytes |
     return out
 
 
+ALIGNED = "block long, n int, size long, packed binary"
+
+
 def _aligner(path_a: str, path_b: str):
+    """From sorted rows (block, place, segment) to packed rows, one for each block among some rows; equal segments are aligned once."""
+
     def run(batches):
         a, b = byte_tokens(path_a), piece_tokens(path_b)
-        keys: list[str] = []
-        size = 0
+        held: list[pa.RecordBatch] = []
+        rows = size = 0
+        known: tuple = (None, None)  # the last segment and its alignment: its run may go on
+
+        def out(known):
+            t = pa.Table.from_batches(held).combine_chunks()
+            keys = t.column("segment").chunk(0).dictionary_encode()
+            names = keys.dictionary.to_pylist()
+            old = [known[1]] if names[0] == known[0] else []
+            found = old + aligned([segment_of(k) for k in names[len(old) :]], a, b)
+            which = keys.indices.to_numpy().astype(np.int64)
+            block, place = t.column("block").to_numpy(), t.column("place").to_numpy().astype(np.int64)
+            order = np.lexsort((place, block))
+            edges = np.flatnonzero(np.diff(block[order], prepend=-1) != 0).tolist() + [len(order)]
+            sizes = np.array([-1 if f is None else len(f) for f in found], np.int64)
+            packed = []
+            for x, y in zip(edges, edges[1:]):
+                some = order[x:y]
+                data = b"".join([found[i] or b"" for i in which[some].tolist()])
+                packed.append((int(block[some[0]]), len(some), *reversed(_squeezed(_planes(place[some]), _planes(sizes[which[some]]), data))))
+            columns = list(zip(*packed))
+            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["block", "n", "size", "packed"])
+            return batch, (names[-1], found[-1])
 
-        def out():
-            found = aligned([segment_of(k) for k in keys], a, b)
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(found, pa.binary())], ["segment", "alignment"])
-
-        for batch in batches:
-            for part in slices(batch, 0):
-                keys += part.column(0).to_pylist()
-                size += part.nbytes
-                if len(keys) >= SEGMENTS or size >= 4 << 20:
-                    yield out()
-                    keys, size = [], 0
-        if keys:
-            yield out()
+        for whole in batches:
+            for batch in slices(whole, 2):
+                held.append(batch)
+                rows, size = rows + len(batch), size + batch.nbytes
+                if rows >= SEGMENTS or size >= 8 << 20:
+                    made, known = out(known)
+                    yield made
+                    held, rows, size = [], 0, 0
+        if rows:
+            yield out(known)[0]
         give_back()
 
     return run
 
 
 class Alignments:
-    """The alignments of a block's segments: counts, texts and links of each."""
-
-    def __init__(self, column: pa.Array, width: int):
-        n = len(column)
-        self.ok = np.ones(n, bool) if not column.null_count else column.is_valid().to_numpy(zero_copy_only=False)
-        column = column.fill_null(b"")
-        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + n + 1].astype(np.int64) // 2
-        v = np.frombuffer(column.buffers()[2], np.uint16)[offsets[0] : offsets[-1]].astype(np.int64) if n and column.buffers()[2] else np.empty(0, np.int64)
-        offsets = offsets - offsets[0] if n else np.zeros(1, np.int64)
+    """Alignments one after the other (bytes of each, -1 for none): counts, texts and links of each."""
+
+    def __init__(self, sizes: np.ndarray, v: np.ndarray, width: int):
+        n = len(sizes)
+        self.ok = sizes >= 0
+        offsets = np.concatenate([[0], np.cumsum(np.maximum(sizes, 0) // 2)])
         row = np.repeat(np.arange(n), np.diff(offsets))
         end, mid = v == END, v == MIDDLE
         group = np.cumsum(end) - end
@@ -303,9 +361,18 @@ def _compose(width: int):
         block = blocks.slice(0, 1)
         row = {c: block.column(c).combine_chunks()[0].as_py() for c in ("of", "doc_ids", "sizes", "codes", "n_codes")}
         sizes = np.frombuffer(row["sizes"], np.int32).astype(np.int64)
-        codes = _unpacked(row["codes"], row["n_codes"]).astype(np.int64)
-        segments = segments.sort_by("place")
-        al = Alignments(segments.column("alignment").combine_chunks(), width)
+        codes = _numbers(_restored(row["codes"], 4 * row["n_codes"]), row["n_codes"])
+        places, lengths, data = [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
+        for n, size, packed in zip(*(segments.column(c).to_pylist() for c in ("n", "size", "packed"))):
+            raw = _restored(packed, size)
+            places.append(_numbers(raw, n))
+            lengths.append(_numbers(raw[4 * n :], n))
+            data.append(raw[8 * n :])
+        at = np.empty(sum(map(len, places)), np.int64)
+        at[np.concatenate(places)] = np.arange(len(at))
+        codes = at[codes]
+        al = Alignments(np.concatenate(lengths), np.frombuffer(b"".join(data), np.uint16).astype(np.int64), width)
+        del places, lengths, data, at
         ends = np.cumsum(sizes)
         out = []
         first = 0
@@ -359,10 +426,11 @@ def alignments(docs: DataFrame, path_a: str, path_b: str, groups: Column | None
     if width > END:
         raise ValueError("ids must be below 65534")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blocks = stored(rows.mapInArrow(_blocks(b.cuts), BLOCKS), "align-blocks")
-    used = blocks.select("block", F.posexplode("segments").alias("place", "segment"))
-    once = used.select("segment").distinct().mapInArrow(_aligner(path_a, path_b), "segment string, alignment binary")
-    joined = used.join(once, "segment").select("block", "place", "alignment")
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = stored(rows.mapInArrow(_blocks(b.cuts, buckets), BLOCKS), "align-blocks")
+    dealt = blocks.select("block", F.explode("dealt").alias("d")).select("block", "d.n", "d.size", "d.packed", "d.bucket")
+    each = dealt.repartition(buckets, "bucket").drop("bucket").mapInArrow(_undealt, "block long, place int, segment string")
+    joined = each.sortWithinPartitions("segment").mapInArrow(_aligner(path_a, path_b), ALIGNED)
     whole = blocks.select(F.col("block").alias("of"), "doc_ids", "sizes", "codes", "n_codes")
     composed = joined.groupBy("block").cogroup(whole.groupBy("of")).applyInArrow(_compose(width), COMPOSED)
     kept = F.col("groups") if groups is None else groups
