@@ -19,6 +19,8 @@ from edgeloom.operators import forest as T
 from edgeloom.operators import growth as G
 from edgeloom.operators import select as C
 from edgeloom.operators import sequential as Q
+from edgeloom.operators import spectral as Z
+from edgeloom.operators import tickets as H
 from edgeloom.operators.order import top
 
 REGISTRY: dict[str, Callable[..., DataFrame]] = {}
@@ -172,10 +174,10 @@ def _(edges, ratio=None, seed=0, epsilon=10.0, d=1, connectivity=10, **_):
 
 
 def _leverage(edges, exact, most_nodes=5000):
-    """``p`` of each edge: its share of the leverages. ``exact=None`` takes the exact resistances up to ``most_nodes`` nodes, the sketch beyond."""
+    """``p`` of each edge: its share of the leverages. ``exact=None`` takes the exact resistances up to ``most_nodes`` nodes, the sketch over edge tables beyond."""
     if exact is None:
         exact = E.nodes(edges).count() <= most_nodes
-    r = (Q.resistance if exact else Q.sketched_resistance)(edges).join(edges, ["u", "v"])
+    r = (Q.resistance if exact else Z.sketched_resistances)(edges).join(edges, ["u", "v"])
     r = r.withColumn("leverage", S.sanitised(F.col("resistance") * F.col("w")))
     return r.crossJoin(F.broadcast(r.agg(F.sum("leverage").alias("__t")))).withColumn("p", F.col("leverage") / F.col("__t")).select("u", "v", "w", "p")
 
@@ -312,12 +314,10 @@ def _(edges, ratio=0.3, seed=0, **_):
 
 
 @register("unified_lth")
-def _(edges, ratio=0.3, seed=0, score="w", rate=0.05, **_):
-    """Given scores: rounds that drop ``rate`` of what is left, smallest first, until the ratio is reached; rounds of one order are one cut."""
-    m = q = edges.count()
-    while q > ratio * m:
-        q = max(E.budget(m, ratio), q - max(1, int(rate * q)))
-    return C.top_k(edges, F.col(score), q).select("u", "v")
+def _(edges, ratio=0.3, seed=0, score="w", rate=0.05, scoring=H.by_degree, duals=0, **_):
+    """Rounds that drop ``rate`` of what is left by scores of what is left, down to the ratio; with ``duals`` above 0, that many rounds of alternating directions instead."""
+    q = E.budget(edges.count(), ratio)
+    return H.admm(edges, q, rounds=duals, weight=score) if duals else H.lottery(edges, q, rate, scoring, score)
 
 
 @register("adaglt")

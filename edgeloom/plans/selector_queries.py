@@ -86,11 +86,6 @@ def _(spark, sf):
     return r.agg(F.count("*").alias("edges"), R(F.sum(F.col("resistance") * F.col("w")), 4).alias("total"))
 
 
-@query("sketched_resistance")
-def _(spark, sf):
-    return Q.sketched_resistance(V.user_graph(spark, sf), 24)
-
-
 @query("spectral_sample")
 def _(spark, sf):
     return selector("effective_resistance")(V.user_graph(spark, sf), 0.3, 1)

@@ -1,4 +1,4 @@
-"""Queries of modularity clusters, balanced partitions and supports kept in state."""
+"""Queries of modularity clusters, balanced partitions, supports kept in state, Laplacians and tickets."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from edgeloom.operators import cluster as U
 from edgeloom.operators import modularity as Y
 from edgeloom.operators import partition as B
+from edgeloom.operators import spectral as Z
+from edgeloom.operators.selectors import selector
 from edgeloom.plans.edge_queries import md5, u01
 from edgeloom.plans.registry import query
 from edgeloom.session import shared_dir, stored
@@ -135,3 +137,79 @@ def _(spark, sf):
     inner.repartition(4, F.xxhash64("u", "v")).write.parquet(source)
     A.asked(spark, CLUSTERS, KEPT, KEPT + 1).coalesce(1).write.mode("append").parquet(source)
     return A.versions(spark, A.run_supports(spark, source, KEPT, name=name)).select("cluster", "version", "seed", "u", "v")
+
+
+LAPLACE = "adj AS (SELECT u AS src, v AS dst, w FROM ug UNION ALL SELECT v, u, w FROM ug), dg AS (SELECT src AS node, sum(w) AS d FROM adj GROUP BY 1)"
+#: Steps of the plain iteration in SQL: dense graphs settle soon, small sparse ones don't.
+STEPS = "(SELECT CASE WHEN count(*) < 40 THEN 3000 ELSE 150 END FROM dg)"
+
+
+def jacobi(b: str) -> str:
+    """SQL that solves Laplacian systems by damped steps, one row a node and column, for sides ``b`` (node, j, b)."""
+    return f"""it(i, node, j, x) AS (SELECT 0, node, j, 0.0::DOUBLE FROM {b} UNION ALL
+  SELECT s.i + 1, s.node, s.j, s.x / 3 + (b.b + coalesce(n.y, 0)) / d.d * 2 / 3 FROM it s JOIN {b} b USING (node, j) JOIN dg d USING (node)
+  LEFT JOIN (SELECT a.src AS node, t.j, sum(a.w * t.x) AS y FROM adj a JOIN it t ON t.node = a.dst GROUP BY 1, 2) n USING (node, j) WHERE s.i < {STEPS}),
+x AS (SELECT node, j, x FROM it WHERE i = {STEPS})"""
+
+
+@query(
+    "edge_resistances",
+    sql(
+        f"WITH RECURSIVE {LAPLACE}, pr AS (SELECT row_number() OVER (ORDER BY w DESC, u, v) AS j, u, v FROM ug ORDER BY j LIMIT 8), bb AS (SELECT node, j, CASE WHEN node = u THEN 1.0 WHEN node = v THEN -1.0 ELSE 0.0 END AS b FROM dg, pr), "
+        f"{jacobi('bb')} SELECT pr.u, pr.v, round(a.x - b.x, 6) AS resistance FROM pr JOIN x a ON a.node = pr.u AND a.j = pr.j JOIN x b ON b.node = pr.v AND b.j = pr.j",
+        "ug",
+    ),
+)
+def _(spark, sf):
+    """Exact resistances of the eight heaviest edges."""
+    e = stored(V.user_graph(spark, sf), "ug")
+    pairs = [(r["u"], r["v"]) for r in e.orderBy(F.col("w").desc(), "u", "v").limit(8).collect()]
+    return Z.pair_resistances(e, pairs).withColumn("resistance", F.round("resistance", 6))
+
+
+SIGN = f"CASE WHEN substr({md5(0, 'u', 'v')}, j + 1, 1) < '8' THEN 1.0 ELSE -1.0 END"
+
+
+@query(
+    "sketched_resistance",
+    sql(
+        f"WITH RECURSIVE {LAPLACE}, ej AS (SELECT u, v, j, sqrt(w) / sqrt(24.0) * {SIGN} AS s FROM ug, range(24) AS r(j)), bb AS (SELECT node, j, sum(s) AS b FROM (SELECT u AS node, j, s FROM ej UNION ALL SELECT v, j, -s FROM ej) GROUP BY 1, 2), "
+        f"{jacobi('bb')} SELECT u, v, round(sum((a.x - b.x) ** 2), 6) AS resistance FROM ug JOIN x a ON a.node = u JOIN x b ON b.node = v AND b.j = a.j GROUP BY 1, 2",
+        "ug",
+    ),
+)
+def _(spark, sf):
+    """Resistances of all edges from 24 hashed projections, solved by conjugate gradients over the edge table."""
+    return Z.sketched_resistances(V.user_graph(spark, sf), 24).withColumn("resistance", F.round("resistance", 6))
+
+
+@query("laplacian_eigenvalues")
+def _(spark, sf):
+    """The two lowest and two highest distinct eigenvalues of the normalised Laplacian."""
+    return Z.extreme_eigenvalues(V.user_graph(spark, sf), steps=60)
+
+
+LOTTERY = """WITH RECURSIVE n AS (SELECT count(*) AS m, ceil(0.3 * count(*) - 1e-12)::BIGINT AS q FROM ug),
+it(i, k, u, v, w) AS (SELECT 0, m, u, v, w FROM ug, n UNION ALL
+  SELECT i + 1, k2, u, v, w FROM (SELECT i, k2, u, v, w, row_number() OVER (ORDER BY s DESC, u, v) AS r FROM (
+    SELECT x.i, x.u, x.v, x.w, greatest(q, k - greatest(1, floor(0.25 * k)::BIGINT)) AS k2, x.w / sqrt((a.d * b.d)::DOUBLE) AS s
+    FROM it x JOIN (SELECT node, count(*) AS d FROM (SELECT u AS node FROM it UNION ALL SELECT v FROM it) GROUP BY 1) a ON a.node = x.u
+    JOIN (SELECT node, count(*) AS d FROM (SELECT u AS node FROM it UNION ALL SELECT v FROM it) GROUP BY 1) b ON b.node = x.v, n WHERE k > q)) WHERE r <= k2)
+SELECT u, v FROM it WHERE i = (SELECT max(i) FROM it)"""
+
+
+@query("lottery_ticket", sql(LOTTERY, "ug"))
+def _(spark, sf):
+    return selector("unified_lth")(V.user_graph(spark, sf), 0.3, rate=0.25)
+
+
+ADMM = """WITH RECURSIVE n AS (SELECT ceil(0.3 * count(*) - 1e-12)::BIGINT AS q FROM ug),
+it(i, u, v, s, w, d) AS (SELECT 0, u, v, w, w, 0.0::DOUBLE FROM ug UNION ALL
+  SELECT i + 1, u, v, s, (s + 1.0 * (z - (d + w - z))) / 2.0, d + w - z FROM (
+    SELECT it.*, CASE WHEN row_number() OVER (ORDER BY abs(w + d) DESC, u, v) <= q THEN w + d ELSE 0.0 END AS z FROM it, n WHERE i < 6))
+SELECT u, v FROM (SELECT u, v, row_number() OVER (ORDER BY abs(w) DESC, u, v) AS r FROM it WHERE i = 6), n WHERE r <= q"""
+
+
+@query("admm_mask", sql(ADMM, "ug"))
+def _(spark, sf):
+    return selector("unified_lth")(V.user_graph(spark, sf), 0.3, duals=6)
