@@ -14,6 +14,7 @@ from edgeloom.operators.selectors import selector
 from edgeloom.plans.edge_queries import md5, u01
 from edgeloom.plans.registry import query
 from edgeloom.session import shared_dir, stored
+from edgeloom.sources import archive as R
 from edgeloom.sources import views as V
 from edgeloom.sources.views import sql
 from edgeloom.streaming import state as A
@@ -213,3 +214,19 @@ SELECT u, v FROM (SELECT u, v, row_number() OVER (ORDER BY abs(w) DESC, u, v) AS
 @query("admm_mask", sql(ADMM, "ug"))
 def _(spark, sf):
     return selector("unified_lth")(V.user_graph(spark, sf), 0.3, duals=6)
+
+
+@query(
+    "cached_split",
+    "SELECT node, CASE WHEN i <= floor(n * 0.6) THEN 'train' WHEN i <= floor(n * 0.6) + floor(n * 0.2) THEN 'valid' ELSE 'test' END AS part FROM "
+    f"(SELECT vec_id AS node, row_number() OVER (ORDER BY {md5(5, 'vec_id')}, vec_id) AS i, count(*) OVER () AS n FROM embeddings WHERE label >= 0)",
+)
+def _(spark, sf):
+    """A split of the labelled vectors, written on the first call and read on the second."""
+    root = f"{shared_dir(spark)}/splits-{uuid.uuid4().hex}"
+    labelled = V.vectors(spark, sf).select("node", "y")
+    first = R.cached_split(labelled, "vectors", 5, 0.6, 0.2, root)
+    again = R.cached_split(labelled, "vectors", 5, 0.6, 0.2, root)
+    if first.inputFiles() != again.inputFiles():
+        raise ValueError("the split was made twice")
+    return again
