@@ -17,6 +17,7 @@ from edgeloom.operators import combine as K
 from edgeloom.operators import edges as E
 from edgeloom.operators import forest as T
 from edgeloom.operators import growth as G
+from edgeloom.operators import masks as M
 from edgeloom.operators import select as C
 from edgeloom.operators import sequential as Q
 from edgeloom.operators import spectral as Z
@@ -321,14 +322,18 @@ def _(edges, ratio=0.3, seed=0, score="w", rate=0.05, scoring=H.by_degree, duals
 
 
 @register("adaglt")
-def _(edges, ratio=0.3, seed=0, scores=None, **_):
-    """Given scores of layers, a table of (layer, u, v, s): masks that only shrink from layer to layer, down to the ratio; the last layer's is returned."""
+def _(edges, ratio=0.3, seed=0, scores=None, thresholds=None, **_):
+    """Given scores of layers, a table of (layer, u, v, s): masks that only shrink from layer to layer, down to the ratio; the last layer's is returned.
+
+    With ``thresholds`` (layer, node, t) scores are held against those of their first nodes. Without scores the weights are those of one layer.
+    """
     m = edges.count()
     if scores is None:
-        return C.top_k(edges, F.col("w"), E.budget(m, ratio)).select("u", "v")
+        scores = edges.select(F.lit(0).alias("layer"), "u", "v", F.col("w").alias("s"))
     layers = scores.agg(F.max("layer")).first()[0] + 1
     budgets = [E.budget(m, 1 - (1 - ratio) * (i + 1) / layers) for i in range(layers)]
-    return C.shrinking_masks(scores, budgets).where(F.col("layer") == layers - 1).select("u", "v")
+    masks = C.shrinking_masks(scores, budgets) if thresholds is None else M.layered_masks(scores, thresholds, budgets)
+    return masks.where(F.col("layer") == layers - 1).select("u", "v")
 
 
 @register("prune_adj")
@@ -337,8 +342,10 @@ def _(edges, ratio=0.3, seed=0, **_):
 
 
 @register("mog")
-def _(edges, ratio=0.3, seed=0, score="w", **_):
-    """Given scores: one edge a node, then the best of the rest."""
+def _(edges, ratio=0.3, seed=0, score="w", scores=None, gates=None, ratios=(0.5,), **_):
+    """Given experts' scores (src, dst, experts) and gates (node, gates): their mixture; else one edge a node, then the best of the rest."""
+    if scores is not None:
+        return M.expert_mixture(scores, gates, list(ratios), E.budget(edges.count(), ratio), seed=seed).select("u", "v")
     a = E.adjacency(edges.withColumn("w", F.col(score)))
     kept = C.one_each(a, F.col("w"), 2 * E.budget(edges.count(), ratio))
     return kept.select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct()

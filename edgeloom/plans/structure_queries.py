@@ -1,4 +1,4 @@
-"""Queries of modularity clusters, balanced partitions, supports kept in state, Laplacians and tickets."""
+"""Queries of modularity clusters, balanced partitions, supports kept in state, Laplacians, tickets, masks and attention."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from edgeloom.functions import attention as N
 from edgeloom.operators import cluster as U
+from edgeloom.operators import edges as E
+from edgeloom.operators import masks as H
 from edgeloom.operators import modularity as Y
 from edgeloom.operators import partition as B
 from edgeloom.operators import spectral as Z
+from edgeloom.operators.edges import uniform
 from edgeloom.operators.selectors import selector
 from edgeloom.plans.edge_queries import md5, u01
 from edgeloom.plans.registry import query
@@ -230,3 +234,89 @@ def _(spark, sf):
     if first.inputFiles() != again.inputFiles():
         raise ValueError("the split was made twice")
     return again
+
+
+#: Features of the registered attention; its directions stand in the SQL as numbers.
+FEATURES, WIDTH = 24, 64
+
+
+def attention_sql() -> str:
+    w = ", ".join(f"({r}, [{', '.join(repr(float(x)) for x in row)}])" for r, row in enumerate(N.projections(FEATURES, WIDTH, 1)))
+    return f"""WITH w(r, d) AS (VALUES {w}), x AS (SELECT vec_id AS node, list_transform(embedding::DOUBLE[], lambda e: e / sqrt(sqrt({WIDTH}.0))) AS x, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL),
+f AS (SELECT node, r, exp(list_dot_product(x, d::DOUBLE[]) - list_dot_product(x, x) / 2) AS f, v[1] AS v0, v[2] AS v1 FROM x, w),
+s AS (SELECT r, sum(f) AS z, sum(f * v0) AS s0, sum(f * v1) AS s1 FROM f GROUP BY 1)
+SELECT node, round(sum(f * s0) / sum(f * z), 8) AS out0, round(sum(f * s1) / sum(f * z), 8) AS out1 FROM f JOIN s USING (r) GROUP BY 1"""
+
+
+@query("kernel_attention", attention_sql())
+def _(spark, sf):
+    """Attention of the embeddings to each other; two places of the result."""
+    t = V.table(spark, sf, "embeddings").select(F.col("vec_id").alias("node"), *[F.col("embedding").alias(c) for c in "qkv"])
+    return N.kernel_attention(t, FEATURES, 1).select("node", F.round(F.col("out")[0], 8).alias("out0"), F.round(F.col("out")[1], 8).alias("out1"))
+
+
+SHARES = [0.8, 0.6, 0.4]
+
+
+def masks_sql() -> str:
+    ctes, before = [], "sc"
+    for i, share in enumerate(SHARES):
+        ctes.append(
+            f"m{i} AS (SELECT u, v, margin FROM (SELECT b.u, b.v, b.margin, row_number() OVER (ORDER BY b.margin DESC, b.u, b.v) AS r FROM "
+            f"(SELECT u, v, 1.0 + (s - avg(s) OVER ()) * (0.01 / greatest(stddev_pop(s) OVER (), 0.001)) - 0.001 * (t * t * t + 20.0 * t) AS margin FROM (SELECT u, v, w + {u01(20 + i, 'u', 'v')} AS s, {u01(30 + i, 'u')} - 0.5 AS t FROM ug)) b "
+            + (f"JOIN m{i - 1} USING (u, v)" if i else "")
+            + f") WHERE r <= (SELECT floor({share} * count(*)) FROM ug))"
+        )
+    rows = " UNION ALL ".join(f"SELECT {i}::BIGINT AS layer, u, v, round(1 / (1 + exp(-margin / 0.1)), 9) AS soft FROM m{i}" for i in range(len(SHARES)))
+    return f"WITH {', '.join(ctes)} {rows}"
+
+
+@query("layered_masks", sql(masks_sql(), "ug"))
+def _(spark, sf):
+    """Three layers of scores of the user graph, a threshold a node, and budgets that shrink."""
+    e = stored(V.user_graph(spark, sf), "ug")
+    m = e.count()
+    scores = thresholds = None
+    for i in range(len(SHARES)):
+        s = e.select(F.lit(i).alias("layer"), "u", "v", (F.col("w") + uniform("u", "v", seed=20 + i)).alias("s"))
+        t = e.select(F.col("u").alias("node")).distinct().select(F.lit(i).alias("layer"), "node", (uniform("node", seed=30 + i) - 0.5).alias("t"))
+        scores, thresholds = (s, t) if scores is None else (scores.unionAll(s), thresholds.unionAll(t))
+    return H.layered_masks(scores, thresholds, [int(x * m) for x in SHARES]).withColumn("soft", F.round("soft", 9))
+
+
+RATIOS = [0.5, 0.3, 0.2]
+
+
+def gumbel_sql(seed: int, *cols: str) -> str:
+    return f"(-ln(-ln(greatest({u01(seed, *cols)}, pow(2.0, -52)))))"
+
+
+def normal_sql(seed: int, *cols: str) -> str:
+    u = lambda k: f"greatest({u01(seed + k, *cols)}, pow(2.0, -52))"
+    return f"(sqrt(-2.0 * ln({u(0)})) * cos({2 * 3.141592653589793!r} * {u(1)}))"
+
+
+MIXTURE = f"""WITH x AS (SELECT vec_id AS node, embedding::DOUBLE[] AS x FROM embeddings),
+gl AS (SELECT node, e, x[e + 1] + (ln(1 + exp(x[e + 4])) + 0.01) * CASE e WHEN 0 THEN {normal_sql(40, 'node')} WHEN 1 THEN {normal_sql(42, 'node')} ELSE {normal_sql(44, 'node')} END AS l FROM x, range(3) AS r(e)),
+gk AS (SELECT node, e, l, row_number() OVER (PARTITION BY node ORDER BY l DESC, e) AS r, max(l) OVER (PARTITION BY node) AS t FROM gl),
+g AS (SELECT node, e, exp(l - t) / sum(exp(l - t)) OVER (PARTITION BY node) AS g FROM gk WHERE r <= 2),
+adj AS (SELECT u AS src, v AS dst FROM kg UNION ALL SELECT v, u FROM kg),
+sx AS (SELECT src, dst, e, a.x[e + 1] * b.x[e + 1] + {gumbel_sql(50, 'src', 'dst', 'e')} AS y FROM adj JOIN x a ON a.node = src JOIN x b ON b.node = dst, range(3) AS r(e)),
+p AS (SELECT src, dst, e, exp(y - max(y) OVER w) AS z, row_number() OVER (PARTITION BY src, e ORDER BY y DESC, dst) AS r, count(*) OVER w AS deg, max(y) OVER w AS t, y FROM sx WINDOW w AS (PARTITION BY src, e)),
+k AS (SELECT src, dst, e, z / sum(z) OVER (PARTITION BY src, e) AS p, r, deg FROM p),
+f AS (SELECT src, dst, g * p AS y FROM k JOIN g ON g.node = k.src AND g.e = k.e WHERE r <= ceil(({RATIOS}::DOUBLE[])[k.e + 1] * deg)),
+s AS (SELECT least(src, dst) AS u, greatest(src, dst) AS v, sum(y) / 2 AS soft FROM (SELECT src, dst, 0.0 AS y FROM adj UNION ALL SELECT * FROM f) GROUP BY 1, 2)
+SELECT u, v, round(soft, 9) AS soft FROM s ORDER BY s.soft DESC, u, v LIMIT (SELECT floor(0.4 * count(*))::BIGINT FROM kg)"""
+
+
+@query("expert_mixture", sql(MIXTURE, "kg"))
+def _(spark, sf):
+    """Three experts on places of the embeddings, two gates a node with noise, 40 % of the neighbour graph."""
+    e = stored(V.knn_graph(spark, sf), "kg")
+    x = V.vectors(spark, sf)
+    part = lambda a, n: F.slice("x", a + 1, n)
+    gates = H.noisy_gates(x.select("node", part(0, 3).alias("logits"), part(3, 3).alias("spread")), 3, 2, 40)
+    adj = E.adjacency(e.select("u", "v"))
+    ends = adj.join(x.select(F.col("node").alias("src"), part(0, 3).alias("a")), "src").join(x.select(F.col("node").alias("dst"), part(0, 3).alias("b")), "dst")
+    scores = ends.select("src", "dst", F.zip_with("a", "b", lambda p, q: p * q).alias("experts"))
+    return H.expert_mixture(scores, gates, RATIOS, int(0.4 * e.count()), seed=50).withColumn("soft", F.round("soft", 9))
