@@ -11,7 +11,7 @@ from edgeloom.operators.edges import degree, nodes
 from edgeloom.operators.forest import random_forest, spanning_forest
 from edgeloom.operators.order import average_percentile, top
 from edgeloom.operators.select import inclusion, systematic
-from edgeloom.operators.tree_score import forest_arrays, path_terms, tree_score
+from edgeloom.operators.tree_score import forest_arrays, terms_of, tree_score
 from edgeloom.session import stored
 
 #: Rows that the sequential completion may hold.
@@ -185,7 +185,7 @@ def fast_support(edges: DataFrame, q: int, order, alpha: float = 1.0, beta_e: fl
 
 def objective(edges: DataFrame, forest: DataFrame, alpha: float = 1.0, beta_e: float = 1.0, beta_v: float = 1.0, p: float = 2.0, q: float = 2.0) -> DataFrame:
     """One row: mean product of dilation and congestions of the omitted edges, and the mean of each; total stretch."""
-    t, *_ = path_terms(edges, forest, p, q)
+    t = terms_of(edges, forest, p, q)
     x = F.pow("dil", F.lit(alpha)) * F.pow("ep", F.lit(beta_e)) * F.pow("vp", F.lit(beta_v))
     return t.where("NOT mandatory").agg(F.avg(x).alias("objective"), F.avg("dil").alias("dil"), F.avg("ep").alias("ep"), F.avg("vp").alias("vp"), F.sum("dil").alias("total_stretch"))
 

@@ -3,7 +3,8 @@
 Congestion is counted in closed form: an omitted edge adds 1 at both its ends and takes 2 at their lowest common
 ancestor, and a subtree sum gives how many paths cross each forest edge. Path sums of powers come from sums
 towards the root. The forest, which has one row a node, is held in arrays and broadcast, up to
-TREE_NODES nodes; edges, which are many, stay distributed, and all of them are scored in two passes.
+TREE_NODES nodes; edges, which are many, stay distributed, and all of them are scored in two passes. Beyond
+TREE_NODES the same terms come from Euler tours in tables (``euler``).
 """
 
 from __future__ import annotations
@@ -148,9 +149,18 @@ def path_terms(edges: DataFrame, forest: DataFrame, p: float = 2.0, q: float = 2
     return stored(terms, "score-terms"), f, e_con, v_con
 
 
+def terms_of(edges: DataFrame, forest: DataFrame, p: float = 2.0, q: float = 2.0, weight: str | None = None) -> DataFrame:
+    """The terms of ``path_terms``: from arrays up to TREE_NODES forest edges, from tables beyond."""
+    from edgeloom.operators import euler
+
+    if forest.limit(TREE_NODES + 1).count() > TREE_NODES:
+        return euler.path_terms(edges, forest, p, q, weight)
+    return path_terms(edges, forest, p, q, weight)[0]
+
+
 def tree_score(edges: DataFrame, forest: DataFrame, alpha: float = 1.0, beta_e: float = 1.0, beta_v: float = 1.0, p: float = 2.0, q: float = 2.0, weight: str | None = None) -> DataFrame:
     """``(u, v, hops, dil, ep, vp, mandatory, score)`` of every edge outside the forest; mandatory edges have no score."""
-    terms, *_ = path_terms(edges, forest, p, q, weight)
+    terms = terms_of(edges, forest, p, q, weight)
     tops = terms.agg(F.coalesce(F.max("dil"), F.lit(0.0)).alias("__d"), F.coalesce(F.max("ep"), F.lit(0.0)).alias("__e"), F.coalesce(F.max("vp"), F.lit(0.0)).alias("__v"))
     score = support_score(F.col("dil"), F.col("ep"), F.col("vp"), F.col("__d"), F.col("__e"), F.col("__v"), alpha, beta_e, beta_v)
     return terms.crossJoin(F.broadcast(tops)).withColumn("score", score).drop("__d", "__e", "__v")
