@@ -11,7 +11,8 @@ from edgeloom.operators.edges import degree, nodes
 from edgeloom.operators.forest import random_forest, spanning_forest
 from edgeloom.operators.order import average_percentile, top
 from edgeloom.operators.select import inclusion, systematic
-from edgeloom.operators.tree_score import forest_arrays, terms_of, tree_score
+from edgeloom.operators.euler import Tour
+from edgeloom.operators.tree_score import TREE_NODES, forest_arrays, terms_of, tree_score
 from edgeloom.session import stored
 
 #: Rows that the sequential completion may hold.
@@ -95,19 +96,14 @@ def mixture(pool: DataFrame, a: float = 0.5) -> DataFrame:
     return pool.crossJoin(F.broadcast(t)).withColumn("pi", F.greatest(mix, F.lit(1e-8) / F.col("__n"))).drop("__f", "__s", "__n")
 
 
-def sample_support(edges: DataFrame, weights: DataFrame, q: int, offset: float = 0.5, backbone_seed: int = 0, a: float | None = 0.5) -> DataFrame:
-    """Exactly q edges: a backbone forest and the mandatory edges, the rest drawn systematically in tree-locality order."""
-    forest = stored(random_forest(edges, backbone_seed).select("u", "v"), "draw-forest")
-    forced = stored(forest.unionByName(weights.where("mandatory").select("u", "v")).distinct(), "draw-forced")
-    n = forced.count()
-    if n > q:  # over budget: a hashed part of what is forced
-        from edgeloom.operators.select import uniform_sample
-
-        return uniform_sample(forced, q, backbone_seed)
-    pool = weights.join(forced, ["u", "v"], "left_anti")
-    pool = mixture(pool, a) if a is not None else pool
+def _near(pool: DataFrame, forest: DataFrame) -> DataFrame:
+    """Adds ``near``, where the lowest common ancestor of an edge's ends stands in its forest; -1 between trees."""
+    if forest.limit(TREE_NODES + 1).count() > TREE_NODES:
+        tour = Tour(forest)
+        at = tour.nodes.select(F.col("node").alias("lca"), F.col("tin").alias("near"))
+        return tour.ancestors(pool).join(at, "lca", "left").select("u", "v", "pi", F.coalesce("near", F.lit(-1)).alias("near"))
     f = forest_arrays(forest)
-    held = edges.sparkSession.sparkContext.broadcast((f.ids, f.parent, f.depth, f.root, f.tin))
+    held = pool.sparkSession.sparkContext.broadcast((f.ids, f.parent, f.depth, f.root, f.tin))
 
     def place(batches):
         from edgeloom.operators.tree_score import _Light
@@ -118,7 +114,21 @@ def sample_support(edges: DataFrame, weights: DataFrame, q: int, offset: float =
             l = g.lca(g.at(b.column("u").to_numpy()), g.at(b.column("v").to_numpy()))
             yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), b.column("pi"), pa.array(np.where(l >= 0, tin[l], -1))], ["u", "v", "pi", "near"])
 
-    pool = stored(pool.select("u", "v", "pi").mapInArrow(place, "u long, v long, pi double, near long"), "draw-pool")
+    return pool.mapInArrow(place, "u long, v long, pi double, near long")
+
+
+def sample_support(edges: DataFrame, weights: DataFrame, q: int, offset: float = 0.5, backbone_seed: int = 0, a: float | None = 0.5) -> DataFrame:
+    """Exactly q edges: a backbone forest and the mandatory edges, the rest drawn systematically in tree-locality order."""
+    forest = stored(random_forest(edges, backbone_seed).select("u", "v"), "draw-forest")
+    forced = stored(forest.unionByName(weights.where("mandatory").select("u", "v")).distinct(), "draw-forced")
+    n = forced.count()
+    if n > q:  # over budget: a hashed part of what is forced
+        from edgeloom.operators.select import uniform_sample
+
+        return uniform_sample(forced, q, backbone_seed)
+    pool = weights.join(forced, ["u", "v"], "left_anti")
+    pool = mixture(pool, a) if a is not None else pool
+    pool = stored(_near(pool.select("u", "v", "pi"), forest), "draw-pool")
     p = inclusion(pool, "pi", q - n)
     drawn = systematic(p, "p", q - n, offset, [F.col("near"), F.col("u"), F.col("v")]) if q > n else pool.limit(0)
     return forced.unionByName(drawn.select("u", "v"))

@@ -159,6 +159,16 @@ def _least(depth: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return out
 
 
+def congestion(tour: Tour, found: DataFrame) -> DataFrame:
+    """``(node, root, depth, e, v)``: tree paths of pairs (u, v, lca) over the edge to a node's parent, and paths that pass through the node."""
+    ends = found.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("ends"))
+    tops = found.groupBy(F.col("lca").alias("node")).agg(F.count("*").alias("tops"))
+    have = tour.nodes.select("node", "root", "depth").join(ends, "node", "left").join(tops, "node", "left").na.fill(0, ["ends", "tops"])
+    have = stored(have.withColumn("x", F.col("ends") - 2 * F.col("tops")), "score-have")
+    con = have.join(tour.subtree(have, "x").withColumnRenamed("total", "e"), "node")
+    return con.select("node", "root", "depth", "e", (F.col("e") + F.col("tops") - F.col("ends")).alias("v"))
+
+
 def path_terms(edges: DataFrame, forest: DataFrame, p: float = 2.0, q: float = 2.0, weight: str | None = None) -> DataFrame:
     """``(u, v, hops, dil, ep, vp, mandatory)`` of the edges outside a forest, as ``tree_score.path_terms`` has them, from tables only."""
     tour = Tour(forest)
@@ -166,12 +176,8 @@ def path_terms(edges: DataFrame, forest: DataFrame, p: float = 2.0, q: float = 2
     rest = rest.select("u", "v", (F.greatest(F.col(weight), F.lit(EPS)) if weight else F.lit(1.0)).alias("w"))
     rest = tour.ancestors(stored(rest, "score-rest"))
     ok = rest.where("lca IS NOT NULL")
-    ends = ok.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("ends"))
-    tops = ok.groupBy(F.col("lca").alias("node")).agg(F.count("*").alias("tops"))
-    have = tour.nodes.select("node", "root", "depth").join(ends, "node", "left").join(tops, "node", "left").na.fill(0, ["ends", "tops"])
-    have = stored(have.withColumn("x", F.col("ends") - 2 * F.col("tops")), "score-have")
-    con = have.join(tour.subtree(have, "x").withColumnRenamed("total", "e"), "node").withColumn("v", F.col("e") + F.col("tops") - F.col("ends"))
-    con = stored(con.select("node", "root", "depth", F.pow(F.col("e") + EPS, F.lit(p)).alias("ey"), F.pow(F.col("v") + EPS, F.lit(q)).alias("vy")), "score-con")
+    con = congestion(tour, ok).select("node", "root", "depth", F.pow(F.col("e") + EPS, F.lit(p)).alias("ey"), F.pow(F.col("v") + EPS, F.lit(q)).alias("vy"))
+    con = stored(con, "score-con")
     crown = con.where("node = root").select("root", F.col("vy").alias("top"))
     sums = con.join(tour.path(con, "ey").withColumnRenamed("total", "sp"), "node").join(tour.path(con, "vy").withColumnRenamed("total", "nq"), "node").join(crown, "root")
     sums = stored(sums.select("node", "depth", "sp", (F.col("nq") + F.col("top")).alias("nq"), "vy"), "score-sums")
@@ -186,5 +192,5 @@ def path_terms(edges: DataFrame, forest: DataFrame, p: float = 2.0, q: float = 2
     nothing = F.lit(None).cast("double")
     cut = rest.where("lca IS NULL").select("u", "v", F.lit(0).cast("long").alias("hops"), nothing.alias("dil"), nothing.alias("ep"), nothing.alias("vp"), F.lit(True).alias("mandatory"))
     out = stored(t.unionByName(cut), "score-terms")
-    dropped(have, con, sums)
+    dropped(con, sums)
     return out

@@ -160,7 +160,11 @@ def terms_of(edges: DataFrame, forest: DataFrame, p: float = 2.0, q: float = 2.0
 
 def tree_score(edges: DataFrame, forest: DataFrame, alpha: float = 1.0, beta_e: float = 1.0, beta_v: float = 1.0, p: float = 2.0, q: float = 2.0, weight: str | None = None) -> DataFrame:
     """``(u, v, hops, dil, ep, vp, mandatory, score)`` of every edge outside the forest; mandatory edges have no score."""
-    terms = terms_of(edges, forest, p, q, weight)
+    return scored(terms_of(edges, forest, p, q, weight), alpha, beta_e, beta_v)
+
+
+def scored(terms: DataFrame, alpha: float = 1.0, beta_e: float = 1.0, beta_v: float = 1.0) -> DataFrame:
+    """Adds ``score`` to terms of edges, each term as a part of the largest."""
     tops = terms.agg(F.coalesce(F.max("dil"), F.lit(0.0)).alias("__d"), F.coalesce(F.max("ep"), F.lit(0.0)).alias("__e"), F.coalesce(F.max("vp"), F.lit(0.0)).alias("__v"))
     score = support_score(F.col("dil"), F.col("ep"), F.col("vp"), F.col("__d"), F.col("__e"), F.col("__v"), alpha, beta_e, beta_v)
     return terms.crossJoin(F.broadcast(tops)).withColumn("score", score).drop("__d", "__e", "__v")

@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 from edgeloom.functions import attention as N
 from edgeloom.operators import cluster as U
 from edgeloom.operators import edges as E
+from edgeloom.operators import euler as L
 from edgeloom.operators import masks as H
 from edgeloom.operators import modularity as Y
 from edgeloom.operators import partition as B
 from edgeloom.operators import spectral as Z
+from edgeloom.operators import tree_score as X
 from edgeloom.operators.edges import uniform
 from edgeloom.operators.selectors import selector
 from edgeloom.plans.edge_queries import md5, u01
-from edgeloom.plans.registry import query
+from edgeloom.plans.graph_queries import low_forest
+from edgeloom.plans.registry import ORACLES, query
 from edgeloom.session import shared_dir, stored
 from edgeloom.sources import archive as R
 from edgeloom.sources import views as V
@@ -320,3 +323,49 @@ def _(spark, sf):
     ends = adj.join(x.select(F.col("node").alias("src"), part(0, 3).alias("a")), "src").join(x.select(F.col("node").alias("dst"), part(0, 3).alias("b")), "dst")
     scores = ends.select("src", "dst", F.zip_with("a", "b", lambda p, q: p * q).alias("experts"))
     return H.expert_mixture(scores, gates, RATIOS, int(0.4 * e.count()), seed=50).withColumn("soft", F.round("soft", 9))
+
+
+def _toured(spark, sf):
+    """The user graph's edges, its low forest, and the tour of that."""
+    e = stored(V.user_graph(spark, sf).select("u", "v"), "ug")
+    low = stored(low_forest(e), "low")
+    return e, low, L.Tour(low)
+
+
+@query("tour_index", ORACLES["tree_index"])
+def _(spark, sf):
+    """The rooted index from tables; nodes outside the forest are roots."""
+    e, _, tour = _toured(spark, sf)
+    rest = E.nodes(e).join(tour.nodes, "node", "left_anti").select("node", F.lit(-1).cast("long").alias("parent"), F.lit(0).cast("long").alias("depth"), F.col("node").alias("root"))
+    return tour.nodes.select("node", F.coalesce("parent", F.lit(-1)).alias("parent"), "depth", "root").unionByName(rest)
+
+
+@query("tour_ancestors", ORACLES["lowest_ancestor"])
+def _(spark, sf):
+    e, low, tour = _toured(spark, sf)
+    found = tour.ancestors(E.missing(e, low)).where("lca IS NOT NULL")
+    deep = lambda s: tour.nodes.select(F.col("node").alias(s), F.col("depth").alias(f"d{s}"))
+    return found.join(deep("u"), "u").join(deep("v"), "v").join(deep("lca"), "lca").select("u", "v", "lca", (F.col("du") + F.col("dv") - 2 * F.col("dlca")).alias("hops"))
+
+
+def _toured_congestion(spark, sf, which):
+    e, low, tour = _toured(spark, sf)
+    con = L.congestion(tour, tour.ancestors(E.missing(e, low)).where("lca IS NOT NULL"))
+    return con.select("node", F.col(which).alias("congestion")).where("congestion > 0")
+
+
+@query("tour_edge_congestion", ORACLES["edge_congestion"])
+def _(spark, sf):
+    return _toured_congestion(spark, sf, "e")
+
+
+@query("tour_node_congestion", ORACLES["node_congestion"])
+def _(spark, sf):
+    return _toured_congestion(spark, sf, "v")
+
+
+@query("tour_score", ORACLES["tree_score"])
+def _(spark, sf):
+    e, low, _ = _toured(spark, sf)
+    s = X.scored(L.path_terms(e, low)).where("NOT mandatory")
+    return s.select("u", "v", "hops", F.round("ep", 5).alias("ep"), F.round("vp", 5).alias("vp"), F.round("score", 6).alias("score"))
