@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from edgeloom.functions import attention as N
+from edgeloom.operators import balance as Q
 from edgeloom.operators import cluster as U
 from edgeloom.operators import edges as E
 from edgeloom.operators import euler as L
@@ -16,6 +17,7 @@ from edgeloom.operators import partition as B
 from edgeloom.operators import spectral as Z
 from edgeloom.operators import tree_score as X
 from edgeloom.operators.edges import uniform
+from edgeloom.operators.forest import random_forest
 from edgeloom.operators.selectors import selector
 from edgeloom.plans.edge_queries import md5, u01
 from edgeloom.plans.graph_queries import low_forest
@@ -369,3 +371,17 @@ def _(spark, sf):
     e, low, _ = _toured(spark, sf)
     s = X.scored(L.path_terms(e, low)).where("NOT mandatory")
     return s.select("u", "v", "hops", F.round("ep", 5).alias("ep"), F.round("vp", 5).alias("vp"), F.round("score", 6).alias("score"))
+
+
+@query(
+    "balanced_moments",
+    sql("SELECT ceil(0.6 * count(*) - 1e-12)::BIGINT AS edges, ceil(0.6 * count(*) - 1e-12)::BIGINT AS of_graph, (SELECT count(*) FROM (SELECT u FROM kg UNION SELECT v FROM kg)) AS nodes, true AS falls FROM kg", "kg"),
+)
+def _(spark, sf):
+    """60 % of the neighbour graph around a hashed forest, by degrees and moments of the embeddings: its size, edges of the graph, nodes touched, and that the objective falls in every round."""
+    e = stored(V.knn_graph(spark, sf).select("u", "v"), "kg")
+    moments = Q.feature_moments(V.vectors(spark, sf), 64, 8)
+    log: list[float] = []
+    kept = Q.completed(e, random_forest(e, 2), E.budget(e.count(), 0.6), moments, log=log)
+    n, of = kept.count(), kept.join(e, ["u", "v"], "left_semi").distinct().count()
+    return spark.createDataFrame([(n, of, E.nodes(kept).count(), all(b < a for a, b in zip(log, log[1:])))], "edges long, of_graph long, nodes long, falls boolean")
