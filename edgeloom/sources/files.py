@@ -35,8 +35,11 @@ def read_npz(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def read_mat(spark: SparkSession, path: str, adjacency: str = "A") -> DataFrame:
-    """Directed pairs of a sparse matrix in a MATLAB file; needs SciPy."""
-    from scipy.io import loadmat
+    """Directed pairs of a sparse matrix in a MATLAB file; needs SciPy, and says so."""
+    try:
+        from scipy.io import loadmat
+    except ModuleNotFoundError as missing:
+        raise ModuleNotFoundError("MATLAB files need the package scipy", name=missing.name) from missing
 
     raw = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
     m = loadmat(io.BytesIO(raw))[adjacency].tocoo()

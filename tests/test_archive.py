@@ -99,3 +99,11 @@ def test_cached_split_is_made_once(spark, tmp_path):
     b = R.cached_split(n, "s", 1, root=str(tmp_path))
     c = R.cached_split(n, "s", 2, root=str(tmp_path))
     assert a.inputFiles() == b.inputFiles() != c.inputFiles() and a.count() == 20
+
+
+def test_what_is_missing_is_said(spark, tmp_path):
+    from edgeloom.sources.files import read_mat
+
+    if __import__("importlib.util").util.find_spec("scipy") is None:
+        with pytest.raises(ModuleNotFoundError, match="scipy"):
+            read_mat(spark, f"{tmp_path}/m.mat")

@@ -1,8 +1,12 @@
 """The driver's entry without packages that only the text operators need."""
 
+import importlib.util
 import subprocess
 import sys
 
+#: Warnings: one where the text operators are there but cannot be imported.
+ONE = int(importlib.util.find_spec("edgeloom.llm") is not None)
+
 PROGRAM = """
 import sys, warnings
 class Without:
@@ -26,8 +30,8 @@ def run(*names):
 
 
 def test_a_missing_package_leaves_the_engine():
-    assert run("xxhash") == 1
-    assert run("ahocorasick", "sentencepiece") == 1
+    assert run("xxhash") == ONE
+    assert run("ahocorasick", "sentencepiece") == ONE
 
 
 def test_a_missing_folder_is_no_fault():
