@@ -12,10 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a counted table is broadcast; beyond it the salted join below is used.
+#: Rows up to which a counted table is broadcast; beyond it both sides are shuffled by the key.
 BROADCAST_ROWS = 300_000
-#: Pieces into which the salted join cuts each key of its large side.
-SALTS = 16
 #: Bytes that a writer of a stored table holds in memory before it writes them out.
 ROW_GROUP = 32 << 20
 
@@ -55,13 +53,10 @@ def dropped(*tables: DataFrame) -> None:
 def join_counted(left: DataFrame, small: DataFrame, on: list[str], rows: int, how: str = "inner") -> DataFrame:
     """Join ``small``, whose row count is known to be ``rows``, to a large side whose keys may be skewed.
 
-    Up to BROADCAST_ROWS the small side is broadcast. Beyond that each of its rows is repeated
-    for SALTS salts and the large side gets one of them per row, so that a hot key is spread.
-    Null keys match nothing under ``how='inner'``.
+    Up to BROADCAST_ROWS the small side is broadcast. Beyond that each row of either side is shuffled once, and a merge
+    join streams a hot key past its one row of ``small``; partitions that a hot key makes large are cut by adaptive
+    execution, which copies only the piece of ``small`` they meet. Null keys match nothing under ``how='inner'``.
     """
     if rows <= BROADCAST_ROWS:
         return left.join(F.broadcast(small), on, how)
-    salt = "__salt"
-    salted = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    spread = left.withColumn(salt, F.pmod(F.xxhash64(*[F.col(c) for c in left.columns if c not in on] or [F.col(on[0])]), F.lit(SALTS)).cast("int"))
-    return spread.join(salted, [*on, salt], how).drop(salt)
+    return left.join(small.hint("merge"), on, how)
