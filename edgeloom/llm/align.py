@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,9 @@ from edgeloom.llm.common import give_back, slices, table
 from edgeloom.session import dropped, join_counted, stored
 
 #: Bytes of text in a block, segment occurrences of a block that are composed together, and segments that are aligned together.
-BLOCK, TOGETHER, SEGMENTS = 8 << 20, 200_000, 50_000
+BLOCK, TOGETHER, SEGMENTS = 8 << 20, 60_000, 50_000
+#: Alignments that are taken apart together; what a block keeps of them is a tenth of what that takes.
+APART = 20_000
 #: Marks in an alignment; ids are smaller.
 MIDDLE, END = 0xFFFF, 0xFFFE
 
@@ -310,11 +313,18 @@ def _aligner(path_a: str, path_b: str):
     return run
 
 
+@lru_cache(maxsize=1)
+def _token_texts(width: int) -> list[str]:
+    """Each id with what may follow it in a text of groups."""
+    return [x + s for s in ",|;" for x in map(str, range(width))]
+
+
 class Alignments:
     """Alignments one after the other (bytes of each, -1 for none): counts, texts and links of each."""
 
     def __init__(self, sizes: np.ndarray, v: np.ndarray, width: int):
         n = len(sizes)
+        v = v.astype(np.int64)
         self.ok = sizes >= 0
         offsets = np.concatenate([[0], np.cumsum(np.maximum(sizes, 0) // 2)])
         row = np.repeat(np.arange(n), np.diff(offsets))
@@ -327,8 +337,7 @@ class Alignments:
         # texts: each token with what follows it
         after = np.append(v[1:], END)
         tokens = np.flatnonzero(is_a | is_b)
-        names = [str(i) for i in range(width)]
-        table_ = [x + s for s in ",|;" for x in names]
+        table_ = _token_texts(width)
         kind = np.where(after == MIDDLE, 1, np.where(after == END, 2, 0))[tokens]
         words = list(map(table_.__getitem__, (kind * width + v[tokens]).tolist()))
         at = np.concatenate([[0], np.cumsum(self.n_a + self.n_b)]).tolist()
@@ -342,12 +351,32 @@ class Alignments:
         times = many[ka >> 32]
         left = np.repeat(np.arange(len(ka)), times)
         right = first[ka[left] >> 32] + np.arange(len(left)) - np.repeat(np.cumsum(times) - times, times)
-        self.pair = (ka[left] & 0xFFFFFFFF) << 16 | kb[right] & 0xFFFFFFFF
+        self.pair = ((ka[left] & 0xFFFFFFFF) << 16 | kb[right] & 0xFFFFFFFF).astype(np.uint32)
         self.times = ca[left] * cb[right]
         owner = of_group[ka[left] >> 32]
         self.links = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))])
         self.n_links = np.bincount(owner, weights=self.times, minlength=n).astype(np.int64)
 
+    @classmethod
+    def of(cls, parts: list[tuple[np.ndarray, bytes]], width: int) -> Alignments:
+        """Of many runs of (bytes of each, the bytes), APART or more at a time."""
+        made, lengths, data, some = [], [], [], 0
+        for i, (sizes, raw) in enumerate(parts):
+            lengths.append(sizes)
+            data.append(raw)
+            some += len(sizes)
+            if some >= APART or i + 1 == len(parts):
+                made.append(cls(np.concatenate(lengths), np.frombuffer(b"".join(data), np.uint16), width))
+                lengths, data, some = [], [], 0
+        whole = cls(np.empty(0, np.int64), np.empty(0, np.uint16), width)
+        made.append(whole)
+        starts = np.cumsum([0, *(len(m.pair) for m in made)])
+        whole.links = np.concatenate([*(m.links[:-1] + x for m, x in zip(made, starts.tolist())), starts[-1:]])
+        whole.text = [t for m in made for t in m.text]
+        for c in ("ok", "n_a", "n_b", "n_groups", "n_links", "pair", "times"):
+            setattr(whole, c, np.concatenate([getattr(m, c) for m in made]))
+        return whole
+
 
 COMPOSED = "block long, place int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, times array<long>"
 
@@ -362,17 +391,16 @@ def _compose(width: int):
         row = {c: block.column(c).combine_chunks()[0].as_py() for c in ("of", "doc_ids", "sizes", "codes", "n_codes")}
         sizes = np.frombuffer(row["sizes"], np.int32).astype(np.int64)
         codes = _numbers(_restored(row["codes"], 4 * row["n_codes"]), row["n_codes"])
-        places, lengths, data = [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
+        places, parts = [np.empty(0, np.int64)], []
         for n, size, packed in zip(*(segments.column(c).to_pylist() for c in ("n", "size", "packed"))):
             raw = _restored(packed, size)
             places.append(_numbers(raw, n))
-            lengths.append(_numbers(raw[4 * n :], n))
-            data.append(raw[8 * n :])
+            parts.append((_numbers(raw[4 * n :], n), raw[8 * n :]))
         at = np.empty(sum(map(len, places)), np.int64)
         at[np.concatenate(places)] = np.arange(len(at))
         codes = at[codes]
-        al = Alignments(np.concatenate(lengths), np.frombuffer(b"".join(data), np.uint16).astype(np.int64), width)
-        del places, lengths, data, at
+        al = Alignments.of(parts, width)
+        del places, parts, at
         ends = np.cumsum(sizes)
         out = []
         first = 0
@@ -409,7 +437,7 @@ def _documents(al: Alignments, block: int, first: int, docs: list, sizes: np.nda
     offsets = pa.array(np.searchsorted(of[new], np.arange(n + 1)).astype(np.int32))
     columns = [pa.array(np.full(n, block)), pa.array(np.arange(first, first + n, dtype=np.int32)), pa.array(docs, pa.int64())]
     columns += [pa.array(total(x)) for x in (al.n_a, al.n_b, al.n_groups, al.n_links)]
-    columns += [pa.array(groups, pa.string()), pa.ListArray.from_arrays(offsets, pa.array(pair[new])), pa.ListArray.from_arrays(offsets, pa.array(times))]
+    columns += [pa.array(groups, pa.string()), pa.ListArray.from_arrays(offsets, pa.array(pair[new].astype(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(times))]
     return pa.RecordBatch.from_arrays(columns, fields)
 
 

@@ -86,6 +86,7 @@ def test_no_cut_after_any_kind_of_white_space(tools):
 def test_query_equals_whole_texts(spark, tools, tmp_path, monkeypatch, block):
     monkeypatch.setattr(align, "BLOCK", block)
     monkeypatch.setattr(align, "TOGETHER", max(50, block // 1000))
+    monkeypatch.setattr(align, "APART", max(3, block // 2000))
     rng = random.Random(9)
     rows = [(i, " ".join(some_text(rng, 3) for _ in range(rng.randint(0, 30))).replace("▁", rng.choice(["▁", "_", "_", "_"]))) for i in range(150)]
     rows += [(200, None), (201, ""), (202, " "), (203, "\n"), (204, "the " * 3000), (205, "é" * 4000), (206, "the cat"), (206, "the cat"), (None, "a b c"), (207, "\\u0301" * 50)]
