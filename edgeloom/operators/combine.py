@@ -15,6 +15,8 @@ from edgeloom.operators.euler import Tour
 from edgeloom.operators.tree_score import TREE_NODES, forest_arrays, terms_of, tree_score
 from edgeloom.session import stored
 
+#: Labels of a frozen model, and views of a bank that it judges.
+ROWS = 10_000
 #: Rows that the sequential completion may hold.
 SEQUENTIAL_EDGES = 2_000_000
 
@@ -37,6 +39,33 @@ def bank(records: DataFrame, k: int, distinct: bool = True) -> DataFrame:
     return records.orderBy(F.col("score").desc(), F.col("epoch").desc(), "view_id").limit(k)
 
 
+def _one_row(small: DataFrame) -> DataFrame:
+    """All rows of a small table in one, ``rows``; refused above ROWS."""
+    if small.limit(ROWS + 1).count() > ROWS:
+        raise ValueError(f"more than {ROWS} rows")
+    return F.broadcast(small.agg(F.collect_list(F.struct(*small.columns)).alias("rows")))
+
+
+def reranked(views: DataFrame, nodes: DataFrame, model: DataFrame) -> DataFrame:
+    """``(view_id, accuracy, rank)``: views of a bank judged again by one frozen model.
+
+    The model is linear, ``(label, c)`` with a row of weights for each label, over the mean of a node and its neighbours in the view.
+    Nodes ``(node, x, y)`` are multiplied with the weights once, before they are joined to the edges, so a view costs as many numbers an edge as
+    there are labels. The highest mean wins, of equal ones the smallest label; ranks go by accuracy, then view. Nodes without a label don't count.
+    Labels and views are refused above ROWS of either.
+    """
+    dot = F.aggregate(F.zip_with("x", "c", lambda a, b: a * b), F.lit(0.0), lambda s, e: s + e)
+    logits = nodes.crossJoin(_one_row(model.select("label", "c"))).select("node", "x", F.inline("rows"))
+    logits = stored(logits.select(F.col("node").alias("dst"), "label", dot.alias("s")), "frozen")
+    both = views.select("view_id", F.col("u").alias("src"), F.col("v").alias("dst")).unionAll(views.select("view_id", "v", "u"))
+    own = nodes.select("node").crossJoin(_one_row(views.select("view_id").distinct())).select("node", F.inline("rows"))
+    own = own.select("view_id", F.col("node").alias("src"), F.col("node").alias("dst"))
+    mean = both.unionAll(own).join(logits, "dst").groupBy("view_id", F.col("src").alias("node"), "label").agg(F.round(F.avg("s"), 9).alias("s"))
+    best = mean.groupBy("view_id", "node").agg(F.max_by("label", F.struct(F.col("s"), -F.col("label"))).alias("pred"))
+    right = best.join(nodes.where("y >= 0").select("node", "y"), "node").groupBy("view_id").agg(F.round(F.avg((F.col("pred") == F.col("y")).cast("double")), 9).alias("accuracy"))
+    return right.withColumn("rank", F.row_number().over(Window.orderBy(F.col("accuracy").desc(), "view_id")).cast("long"))  # one row a view
+
+
 def occurrences(views: DataFrame) -> DataFrame:
     return views.groupBy("u", "v").agg(F.count("*").alias("times"))
 

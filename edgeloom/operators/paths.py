@@ -117,6 +117,26 @@ def global_sign_task(edges: DataFrame, sources: int = 16, seed: int = 0, scale:
     return out.select("node", F.coalesce(F.col("b") * F.lit(scale), F.lit(0.0)).alias("x0"), F.when(held, F.lit(scale)).otherwise(F.lit(0.0)).alias("x1"), F.when(held, F.lit(-1).cast("long")).otherwise(F.col("sign")).alias("y"))
 
 
+def keyed_retrieval_task(edges: DataFrame, sources: int = 15, seed: int = 0, scale: float = 10.0) -> DataFrame:
+    """``(node, x, y, asked)``: each of k hashed sources holds a hashed bit, every other node is asked for the bit of one source that its key names.
+
+    ``x`` has 2 k + 1 places: the source's own number, its bit as a sign, and the number that is asked for. Sources have y = -1 and ask for none.
+    At most half of the nodes become sources.
+    """
+    from edgeloom.operators.edges import key, nodes
+
+    n = stored(nodes(edges), "keyed-nodes")
+    k = int(min(sources, max(n.count() // 2, 1)))
+    first = n.orderBy(key("node", seed=seed), "node").limit(k)
+    j = F.row_number().over(Window.orderBy(key("node", seed=seed), "node")) - 1  # k rows
+    s = stored(first.select("node", j.alias("j"), (key("node", seed=seed + 1) < "8").cast("long").alias("bit")), "keyed-sources")
+    own = n.join(F.broadcast(s), "node", "left")
+    asks = F.when(F.col("j").isNull(), (F.conv(F.substring(key("node", seed=seed + 2), 1, 8), 16, 10).cast("long") % k).cast("int"))
+    out = own.withColumn("asks", asks).join(F.broadcast(s.select(F.col("node").alias("asked"), F.col("j").alias("asks"), F.col("bit").alias("answer"))), "asks", "left")
+    place = lambda i: F.when((i == F.col("j")) | (i == F.col("asks") + k + 1), F.lit(float(scale))).when((i == k) & F.col("j").isNotNull(), (2 * F.col("bit") - 1) * F.lit(float(scale))).otherwise(F.lit(0.0))
+    return out.select("node", F.transform(F.sequence(F.lit(0), F.lit(2 * k)), place).alias("x"), F.coalesce("answer", F.lit(-1).cast("long")).alias("y"), "asked")
+
+
 class Forest:
     """A rooted forest in arrays: node ids ascending, parent, depth, root, tin and size; roots are the smallest ids."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgeloom.operators.edges import key, uniform
+from edgeloom.operators.edges import degree, key, uniform
 from edgeloom.operators.order import running, top
 from edgeloom.session import stored
 
@@ -63,6 +63,23 @@ def race(edges: DataFrame, p: Column, k: int, seed: int = 0) -> DataFrame:
     return top(edges.where(p > 0).withColumn("arrival", F.round(arrival, 9)), [F.col("arrival"), F.col("u"), F.col("v")], k)
 
 
+def candidate_sample(kept: DataFrame, candidates: DataFrame, k: int, mode: str = "random", seed: int = 0) -> DataFrame:
+    """``(u, v)``: which candidates a growth step looks at: all (``full``), at least one and at most k at ``random``, or ``weighted`` by one over
+    the degree that each end has in what is kept, so that thin places are looked at sooner."""
+    c = candidates.select("u", "v")
+    if mode == "full":
+        return c
+    if mode == "random":
+        return uniform_sample(c, max(1, k), seed)
+    if mode != "weighted":
+        raise ValueError(f"mode {mode}: full, random or weighted")
+    deg = degree(kept)
+    for end in ("u", "v"):
+        c = c.join(deg.select(F.col("node").alias(end), F.col("deg").alias(f"d{end}")), end, "left")
+    p = 1 / F.greatest(F.coalesce("du", F.lit(1)), F.lit(1)) + 1 / F.greatest(F.coalesce("dv", F.lit(1)), F.lit(1))
+    return race(c.select("u", "v", p.alias("p")), F.col("p"), max(1, k), seed).select("u", "v")
+
+
 def random_neighbours(adj: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """Canonical union of k hashed neighbours of every node."""
     w = Window.partitionBy("src").orderBy(key("src", "dst", seed=seed), "dst")

@@ -110,6 +110,25 @@ def load_artifact(spark: SparkSession, path: str, **expected) -> DataFrame:
     return spark.read.parquet(f"{path}/{mark['data']}")
 
 
+def save_consensus(edges: DataFrame, path: str, num_nodes: int = 0, **meta) -> None:
+    """A fixed support with its node count (one more than the largest id, unless given) and what else is to be known of it."""
+    n = num_nodes or (edges.agg(F.max(F.greatest("u", "v"))).first()[0] or 0) + 1
+    save_artifact(edges.select("u", "v"), path, {**meta, "num_nodes": int(n), "kind": "consensus"})
+
+
+def load_consensus(spark: SparkSession, path: str) -> DataFrame:
+    """``(u, v)`` of a support; refused unless all edges are canonical, unique and within its nodes."""
+    t = load_artifact(spark, path, kind="consensus")
+    mark = json.loads(spark.read.schema("mark string").json(f"{path}/marks/{_next_mark(spark, path) - 1:09d}").first()[0])
+    n = mark["meta"]["num_nodes"]
+    fit = (F.col("u") < F.col("v")) & (F.col("u") >= 0) & (F.col("v") < n)
+    if t.where(~F.coalesce(fit, F.lit(False))).limit(1).count():
+        raise ValueError(f"{path}: edges that are not canonical or lie outside of {n} nodes")
+    if t.groupBy("u", "v").count().where("count > 1").limit(1).count():
+        raise ValueError(f"{path}: edges that stand twice")
+    return t
+
+
 def _next_mark(spark: SparkSession, path: str) -> int:
     """One more than the last mark that was written whole."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/marks/*/_SUCCESS")
