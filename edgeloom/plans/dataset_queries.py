@@ -109,3 +109,24 @@ def _(spark, sf):
     m = n.where("y >= 0").select("y", F.posexplode("x").alias("pos", "e")).groupBy("y", "pos").agg(F.avg("e").alias("m"))
     m = m.groupBy(F.col("y").alias("label")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("c"))
     return K.reranked(views, n, m)
+
+
+D2 = """SELECT a.vec_id AS src, b.vec_id AS dst, round(greatest(0, list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) + list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])
+- 2 * list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 9) AS d2 FROM embeddings a JOIN embeddings b"""
+
+
+@query("squared_neighbours", f"SELECT src, rank, dst, round(d2, 6) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d2, dst) AS rank FROM ({D2} ON a.label IS NOT DISTINCT FROM b.label)) WHERE rank <= 8")
+def _(spark, sf):
+    """Eight nearest by squared distance among the vectors of the same label, each with itself."""
+    return V.nearest_squared(V.vectors(spark, sf), 8, batch="y").withColumn("d2", F.round("d2", 6))
+
+
+@query(
+    "random_dilated",
+    f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d2, dst) AS rank FROM ({D2} ON TRUE)),
+k AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY {md5(4, 'src', 'dst')}, dst) AS r FROM r WHERE rank <= 12)
+SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY d2, dst) AS rank FROM k WHERE r <= 4""",
+)
+def _(spark, sf):
+    """Four of each vector's twelve nearest, in hash order."""
+    return V.nearest_squared(V.vectors(spark, sf), 4, 3, seed=4).select("src", "dst", "rank")

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from edgeloom.session import join_counted
+
 #: Added to the ids of the second kind of node of a bipartite view.
 OFFSET = 1_000_000_000
 #: Vectors of a block in the exact neighbour search.
@@ -86,6 +88,42 @@ def nearest(nodes: DataFrame, k: int = 8, dilation: int = 1) -> DataFrame:
     return out.where((F.col("rank") - 1) % dilation == 0).select("src", "rank", "dst", "cos")
 
 
+def nearest_squared(nodes: DataFrame, k: int = 8, dilation: int = 1, batch: str | None = None, seed: int | None = None) -> DataFrame:
+    """``(src, rank, dst, d2)``: nearest by squared distance, the node itself among them, ties by id.
+
+    With ``batch`` a node has neighbours of its own batch only, null being one. With a dilation the nearest k * d are
+    found first; then every d-th is kept or, with a seed, k of them in hash order, which are ranked anew by distance.
+    A batch is cut into blocks of BLOCK nodes whose pairs are tasks, and k * d rows a node leave each.
+    """
+    from edgeloom.operators.edges import key
+
+    most = k * dilation
+    b = nodes.select("node", "x", (F.col(batch) if batch else F.lit(None)).cast("string").alias("batch")).withColumn("__b", F.xxhash64(F.col("batch").isNull(), "batch"))
+    sizes = b.groupBy("__b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    b = join_counted(b, sizes, ["__b"], sizes.count()).withColumn("b", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    both = b.withColumn("asks", F.lit(True)).withColumn("i", F.col("b")).withColumn("j", every).unionByName(b.withColumn("asks", F.lit(False)).withColumn("j", F.col("b")).withColumn("i", every))
+
+    def run(t: pa.Table) -> pa.Table:
+        x = np.array(t.column("x").to_pylist())
+        asks, ids = t.column("asks").to_numpy(zero_copy_only=False), t.column("node").to_numpy()
+        q, r = np.flatnonzero(asks), np.flatnonzero(~asks)
+        r = r[np.argsort(ids[r])]
+        length = (x * x).sum(1)
+        d = np.maximum(0.0, np.round(length[q][:, None] + length[r][None] - 2 * x[q] @ x[r].T, 9))
+        best = np.argsort(d, axis=1, kind="stable")[:, :most]
+        return pa.table([np.repeat(ids[q], best.shape[1]), ids[r][best].ravel(), np.take_along_axis(d, best, 1).ravel()], ["src", "dst", "d2"])
+
+    w = Window.partitionBy("src").orderBy("d2", "dst")
+    out = both.groupBy("__b", "i", "j").applyInArrow(run, "src long, dst long, d2 double").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+    if dilation > 1 and seed is not None:
+        drawn = Window.partitionBy("src").orderBy(key("src", "dst", seed=seed), "dst")
+        out = out.withColumn("__r", F.row_number().over(drawn)).where(F.col("__r") <= k).withColumn("rank", F.row_number().over(w))
+    else:
+        out = out.where((F.col("rank") - 1) % dilation == 0)
+    return out.select("src", F.col("rank").cast("long").alias("rank"), "dst", "d2")
+
+
 def knn_graph(spark, sf_dir, k: int = 8) -> DataFrame:
     """Cosine neighbours of the embeddings, either way, weighted 1."""
     t = nearest(vectors(spark, sf_dir), k)

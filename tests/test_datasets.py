@@ -146,3 +146,40 @@ def test_frozen_model(spark, monkeypatch):
     monkeypatch.setattr(combine, "ROWS", 2)
     with pytest.raises(ValueError):
         combine.reranked(views, nodes, model)
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_squared_neighbours(spark, monkeypatch, block):
+    from edgeloom.sources import views
+
+    monkeypatch.setattr(views, "BLOCK", block)
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(70, 3)), 1)
+    x[10:14] = x[9]  # equal vectors
+    y = [None if i % 7 == 0 else i % 2 for i in range(70)]
+    nodes = spark.createDataFrame([(i, list(map(float, x[i])), y[i]) for i in range(70)], "node long, x array<double>, y int")
+    d = np.round(((x[:, None] - x[None]) ** 2).sum(2), 9)
+    order = lambda i, among: sorted(among, key=lambda j: (d[i, j], j))
+    got = {}
+    for r in views.nearest_squared(nodes, 5, 2, batch="y").collect():
+        got.setdefault(r["src"], {})[r["rank"]] = r["dst"]
+    assert all([v for _, v in sorted(got[i].items())] == order(i, [j for j in range(70) if y[j] == y[i]])[:10:2] for i in range(70))
+    near = {}
+    for r in views.nearest_squared(nodes, 4, 3, seed=1).orderBy("src", "rank").collect():
+        near.setdefault(r["src"], []).append(r["dst"])
+    for i, some in near.items():
+        assert len(some) == 4 and set(some) <= set(order(i, range(70))[:12]) and some == order(i, some)
+    assert len(near) == 70 and views.nearest_squared(nodes.limit(0)).count() == 0
+
+
+def test_a_kept_stretch(spark, tmp_path, monkeypatch):
+    from edgeloom.operators import cluster
+
+    e, _ = graph(spark)
+    one, first = cluster.tuned_spanner(e, 70, seed=2, name="g", root=str(tmp_path))
+    assert (one, sorted(map(tuple, first.collect()))) == (lambda t, s: (t, sorted(map(tuple, s.collect()))))(*cluster.adaptive_spanner(e, 70, seed=2))
+    monkeypatch.setattr(cluster, "adaptive_spanner", None)  # what was chosen is not chosen again
+    two, again = cluster.tuned_spanner(e, 70, seed=2, name="g", root=str(tmp_path))
+    assert two == one and sorted(map(tuple, again.collect())) == sorted(map(tuple, first.collect()))
+    with pytest.raises(TypeError):  # another graph is tuned anew
+        cluster.tuned_spanner(e.limit(50), 70, seed=2, name="g", root=str(tmp_path))
