@@ -1,8 +1,12 @@
 """What keeps a job's cost in proportion to its input: steps that are not repeated, and bounds that are gone."""
 
+import time
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from edgeloom.operators import sequential
 from edgeloom.sources import views
 
 
@@ -28,3 +32,23 @@ def test_nearest_with_ties(spark, monkeypatch, large, small):
 def test_the_neighbour_graph_is_searched_once(spark):
     plan = views.knn_graph(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "InArrow" not in plan
+
+
+def wheel(spark, n):
+    """A ring of n nodes and a hub that is next to all of them: 2 n edges."""
+    ring = spark.range(1, n + 1).select(F.col("id").alias("u"), F.when(F.col("id") < n, F.col("id") + 1).otherwise(1).alias("v"))
+    return ring.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).unionByName(spark.range(1, n + 1).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v")))
+
+
+@pytest.mark.parametrize("name,args,size", [("rank_degree", (0.3,), 60_360), ("forest_fire", (0.3,), 60_360), ("uniform_tree", (), 100_600)])
+def test_groups_above_the_bound_of_slow_loops(spark, name, args, size):
+    assert getattr(sequential, name)(wheel(spark, 100_600), *args).distinct().count() == size
+
+
+def test_low_stretch_trees_and_spanners_take_time_in_proportion(spark):
+    start = time.time()
+    e = wheel(spark, 6000).cache()
+    assert sequential.low_stretch_tree(e).count() == 6000
+    s = sequential.greedy_spanner(e, 3)
+    assert 6000 <= s.count() < 12_000
+    assert time.time() - start < 60
