@@ -52,3 +52,25 @@ def test_low_stretch_trees_and_spanners_take_time_in_proportion(spark):
     s = sequential.greedy_spanner(e, 3)
     assert 6000 <= s.count() < 12_000
     assert time.time() - start < 60
+
+
+def test_support_topk_leaves_edges_between_trees_out(spark, monkeypatch):
+    """Nodes hang from their smallest neighbours: 1 and 2 are roots, so (1, 4) alone joins their trees and has no score."""
+    from edgeloom.plans import catalogue
+
+    pairs = [(1, 3), (1, 4), (1, 5), (2, 6), (2, 7), (3, 5), (4, 6), (6, 7)]
+    rows = [(u, v, 1.0) for u, v in pairs]
+    monkeypatch.setattr(views, "user_graph", lambda spark, sf: spark.createDataFrame(rows, "u long, v long, w double"))
+    low = {(1, 3), (1, 4), (1, 5), (2, 6), (2, 7)}
+    assert {tuple(r) for r in catalogue.QUERIES["support_topk"](spark, "").collect()} == low  # the budget of 3 is below the forest
+    rows += [(2, 8, 1.0), (3, 8, 1.0), (4, 8, 1.0)] + [(1, x, 1.0) for x in range(10, 20)] + [(2, x, 1.0) for x in range(10, 20)] + [(x, x + 1, 1.0) for x in range(10, 19)]
+    rows += [(a, b, 1.0) for a in range(10, 20) for b in range(a + 2, 20)]
+    parent: dict = {}
+    for u, v, _ in rows:
+        parent[v] = min(u, parent.get(v, u))
+
+    def root(x):
+        return root(parent[x]) if x in parent else x
+
+    got = [tuple(r) for r in catalogue.QUERIES["support_topk"](spark, "").collect()]
+    assert len(got) == len(set(got)) == -(-3 * len(rows) // 10) and all(root(u) == root(v) for u, v in got)
