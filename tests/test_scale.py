@@ -74,3 +74,12 @@ def test_support_topk_leaves_edges_between_trees_out(spark, monkeypatch):
 
     got = [tuple(r) for r in catalogue.QUERIES["support_topk"](spark, "").collect()]
     assert len(got) == len(set(got)) == -(-3 * len(rows) // 10) and all(root(u) == root(v) for u, v in got)
+
+
+def test_resistance_of_a_graph_above_the_dense_bound(spark):
+    rng = np.random.default_rng(4)
+    pairs = sorted({(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, 40, (90, 2)) if a != b} | {(100, 101), (101, 102)})
+    e = spark.createDataFrame([(u, v, float(rng.integers(1, 5))) for u, v in pairs], "u long, v long, w double")
+    dense = {(r["u"], r["v"]): r["resistance"] for r in sequential.resistance(e).collect()}
+    sparse = {(r["u"], r["v"]): r["resistance"] for r in sequential.resistance(e, most_nodes=10).collect()}
+    assert dense.keys() == sparse.keys() and all(abs(dense[k] - sparse[k]) < 1e-10 for k in dense)
