@@ -19,13 +19,16 @@ so a document is read by expanding its own symbols.
 
 from __future__ import annotations
 
+import gc
 import re
 import unicodedata
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,13 +92,35 @@ class WordCoder:
             self.known.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(some, [0, *ends], ends))
 
     def encode(self, many: list[str]) -> list[np.ndarray]:
-        """Ids of whole texts, without an end id."""
-        cut = [None if PLAIN.search(t) or self._adds(low := t.lower()) else self.parts(low) for t in many]
+        """Ids of whole texts, without an end id.
+
+        Texts are split at white space, which no part crosses, so each different word of ``many`` is cut into parts once.
+        """
+        plain = [None if PLAIN.search(t) or self._adds(low := t.lower()) else low for t in many]
+        split = pc.ascii_split_whitespace(pa.array([t or "" for t in plain], pa.string()))
+        words = split.flatten().dictionary_encode()
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        self.learn(list(set().union(*filter(None, cut)) - self.known.keys()))
-        known = self.known.__getitem__
-        return [np.array(self._ids(t), np.int32) if ps is None else np.frombuffer(b"".join(map(known, ps)), np.int32) for t, ps in zip(many, cut)]
+        collects = gc.isenabled()
+        gc.disable()  # the many small lists hold no circles
+        try:
+            cut = list(map(self.parts, words.dictionary.to_numpy(zero_copy_only=False).tolist()))
+            parts = list(chain.from_iterable(cut))
+            raw = list(map(self.known.get, parts))
+            if None in raw:
+                self.learn(list({p for p, r in zip(parts, raw) if r is None}))
+                raw = list(map(self.known.__getitem__, parts))
+        finally:
+            if collects:
+                gc.enable()
+        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) // 4)])  # of parts, then of words, then of texts
+        ends = ends[np.concatenate([[0], np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))])]
+        ids, at = np.frombuffer(b"".join(raw), np.int32), words.indices.to_numpy()
+        first, size = ends[at], ends[at + 1] - ends[at]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = ids[np.repeat(first - ends[:-1], size) + np.arange(ends[-1])]
+        ends = ends[split.offsets.to_numpy()].tolist()
+        return [np.array(self._ids(t), np.int32) if p is None else ids[a:b] for t, p, a, b in zip(many, plain, ends, ends[1:])]
 
 
 _coders: dict[str, WordCoder] = {}

@@ -73,3 +73,13 @@ def test_files(spark, path, tmp_path):
     empty = f"file://{tmp_path}/none"
     write_token_files(docs.limit(0), empty, path)
     assert digests(spark, empty).count() == 0 and read_token_files(spark, empty).count() == 0
+
+
+def test_a_word_is_cut_once_however_often_it_stands(path):
+    coder = WordCoder(path)
+    cut, seen = coder.parts, []
+    coder.parts = lambda word: seen.append(word) or cut(word)
+    many = ["They're  in\tBox\xa012, isn't it? " * 500, "", "\n", "it? <|endoftext|> in", "box\xa012, naïve"]
+    got = [ids.tolist() for ids in coder.encode(many)]
+    assert got == [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in many]
+    assert sum(map(len, seen)) < 100
