@@ -83,3 +83,30 @@ def test_resistance_of_a_graph_above_the_dense_bound(spark):
     dense = {(r["u"], r["v"]): r["resistance"] for r in sequential.resistance(e).collect()}
     sparse = {(r["u"], r["v"]): r["resistance"] for r in sequential.resistance(e, most_nodes=10).collect()}
     assert dense.keys() == sparse.keys() and all(abs(dense[k] - sparse[k]) < 1e-10 for k in dense)
+
+
+def test_a_product_of_blocks_serves_both_directions():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(700, 16))
+    x[350:] = x[rng.integers(0, 350, 350)]  # copies
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    ids = rng.permutation(700)
+    c = np.round(x @ x.T, 9)
+
+    def best(rows, among, k):
+        return {(int(ids[r]), int(ids[j])) for r in rows for j in sorted((j for j in among if j != r), key=lambda j: (-c[r, j], ids[j]))[:k]}
+
+    for k in (1, 8, 40):
+        for one, two in ((range(300), range(300, 700)), (range(4), range(4, 700))):
+            got = {}
+            for s, d, cos in zip(*views._best(x[one], ids[one], x[two], ids[two], k)):
+                got.setdefault(int(s), []).append((-round(float(cos), 9), int(d)))
+            assert {(s, d) for s, n in got.items() for _, d in sorted(n)[:k]} == best(one, two, k) | best(two, one, k)
+
+
+def test_every_pair_of_blocks_is_a_task_of_its_own(spark, monkeypatch):
+    monkeypatch.setattr(views, "LARGE", 24)
+    monkeypatch.setattr(views, "SMALL", 8)
+    nodes = spark.range(200).select(F.col("id").alias("node"), F.array(*[F.rand(i) - 0.5 for i in range(4)]).alias("x"))
+    assert "rangepartitioning(pair" in views.nearest(nodes, 4)._jdf.queryExecution().executedPlan().toString()
+    assert views.nearest(nodes, 4).count() == 800
