@@ -21,7 +21,7 @@ def signs(width: int, dims: int, seed: int) -> list[list[float]]:
 
 def _unit(x):
     n = F.greatest(norm(x), F.lit(1e-12))
-    return F.transform(x, lambda e: e / n)
+    return F.flatten(F.transform(F.array(n), lambda length: F.transform(x, lambda e: e / length)))  # the length is computed once, not for each element
 
 
 def feature_moments(features: DataFrame, width: int, dims: int = 16, seed: int = 42) -> DataFrame:

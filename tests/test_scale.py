@@ -110,3 +110,31 @@ def test_every_pair_of_blocks_is_a_task_of_its_own(spark, monkeypatch):
     nodes = spark.range(200).select(F.col("id").alias("node"), F.array(*[F.rand(i) - 0.5 for i in range(4)]).alias("x"))
     assert "rangepartitioning(pair" in views.nearest(nodes, 4)._jdf.queryExecution().executedPlan().toString()
     assert views.nearest(nodes, 4).count() == 800
+
+
+@pytest.mark.parametrize("how", ["sum", "mean"])
+def test_messages_are_shuffled_whole_and_added_over_batches(spark, how):
+    """A hub whose messages fill many batches, and the nodes around it; no message becomes a row for each of its places."""
+    from edgeloom.functions.scoring import spread
+
+    rng = np.random.default_rng(7)
+    x, n = rng.normal(size=(60, 5)), 60
+    pairs = [(i, 0) for i in range(1, n)] + [(0, i) for i in range(1, n)] + [(i, i % 7 + 1) for i in range(8, n)]
+    w = rng.uniform(0.5, 2, len(pairs))
+    adj = spark.createDataFrame([(a, b, float(c)) for (a, b), c in zip(pairs, w)], "src long, dst long, w double")
+    features = spark.createDataFrame([(i, [float(e) for e in x[i]]) for i in range(n)], "node long, x array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = spread(adj, features, how)
+        assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+        got = {r["node"]: r["x"] for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, total = np.zeros((n, 5)), np.zeros(n)
+    for (a, b), c in zip(pairs, w):
+        want[b] += c * x[a]
+        total[b] += c
+    assert sorted(got) == list(range(n))
+    for i, row in got.items():
+        assert np.allclose(row, want[i] if how == "sum" else want[i] / total[i])
+    assert spread(adj.limit(0), features, how).count() == 0
