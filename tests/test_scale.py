@@ -138,3 +138,15 @@ def test_messages_are_shuffled_whole_and_added_over_batches(spark, how):
     for i, row in got.items():
         assert np.allclose(row, want[i] if how == "sum" else want[i] / total[i])
     assert spread(adj.limit(0), features, how).count() == 0
+
+
+def test_fires_go_on_until_enough_has_burnt(spark):
+    """In a dense graph ten fires a node burn few edges: those of the first nodes would fill the rest."""
+    rows = [(u, v) for u in range(50) for v in range(u + 1, 50)]
+    e = spark.createDataFrame(rows, "u long, v long")
+    kept = lambda **o: sorted(map(tuple, sequential.forest_fire(e, 0.3, **o).collect()))
+    whole = kept()
+    assert len(whole) == 368 and whole == kept(fires=10**9) != kept(fires=500)
+    assert kept(burn=0.0) == rows[:368]  # nothing burns, and it ends
+    loops = spark.createDataFrame([(1, 1), (2, 2), (3, 3)], "u long, v long")
+    assert sequential.forest_fire(loops, 0.4).count() == 1
