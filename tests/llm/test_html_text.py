@@ -154,3 +154,31 @@ def test_every_page_of_a_host_is_learned_from(spark, monkeypatch):
     assert [i for i in range(300) if out[i] != own(i)] == []
     assert {out[1000 + i] for i in range(30)} == {article(neutral(1, 20))}  # what only copies share is no template
     assert {r["page_id"]: r["text"] for r in extracted(table.repartition(7)).collect()} == out
+
+
+def test_long_pages_are_learned_from(monkeypatch):
+    from edgeloom.llm import html_text
+
+    def long(i, n=800):
+        return neutral(i, 0).replace("</div><div class=\"k9\">", "".join(f"<p class='c{k}'>own {i} {k}</p>" for k in range(n)) + "</div><div class=\"k9\">")
+
+    pages = [long(i) for i in range(4)]
+    assert len(folded(stream(tokens(pages[0])))) > 2000
+    w = inferred(pages)
+    assert article(long(9), Wrapper(w)) == "\n".join(["title 9", *[f"own 9 {k}" for k in range(800)]])
+    parts = [html_text.learned([stream(tokens(long(i, n)))]) for i, n in ((0, 800), (1, 900))]
+    assert len(html_text.joined(parts)) > len(parts[0]) > 2000
+    monkeypatch.setattr(html_text, "CELLS", 60)  # rows of the table are made again, level by level
+    assert inferred([neutral(i, 2 + i % 4, i % 2 == 0) for i in range(12)]) and inferred(pages[:2] + [neutral(7, 3)])
+    short = [neutral(i, 2 + i % 4, i % 2 == 0) for i in range(12)]
+    few = inferred(short)
+    monkeypatch.undo()
+    assert few == inferred(short)
+
+
+def test_a_wrapper_may_have_more_texts_than_there_are_letters():
+    items = ["<a", *[f"#{k:016x}" for k in range(70_000)], ["?", ["<b"]], "#", ">a"]
+    page = ["<a", *items[1:70_001], "#other", ">a"]
+    w = Wrapper(items)
+    assert w.constants(page) == list(range(1, 70_001))
+    assert not w.fits([*page[:-2], ">a"]) and not w.fits(["<a", "<c", *page[1:]])
