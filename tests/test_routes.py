@@ -49,3 +49,44 @@ def test_routes_stay_right(seed):
 def test_ends_in_two_parts_have_no_route():
     u, v = np.array([1, 2, 4]), np.array([2, 3, 5])
     assert Routes(u, v, [0, 2]).route(1) is None and searched(u, v, [0, 2], 1) is None
+
+
+@pytest.mark.parametrize("powers", [(1.0, 1.0, 0.0), (0.5, 1.0, 2.0)])
+def test_exchanges_cost_what_a_search_from_scratch_says(powers):
+    """Each step of the exchanges against all routes searched anew, with edges that alone join their ends and supports in two parts."""
+    from edgeloom.operators.sequential import _scores, _Swaps
+
+    rng = np.random.default_rng(5)
+    for part in range(6):
+        pairs = np.unique(np.sort(rng.integers(0, 9, (30, 2)), axis=1), axis=0)
+        u, v = np.concatenate([pairs[pairs[:, 0] < pairs[:, 1]], [[9, 10], [10, 11], [9, 11]], np.array([[8, 9]])[: part % 2]]).T
+        m = len(u)
+
+        def cost(kept):
+            s, lost = _scores(u, v, np.ones(m), kept, *powers, 2.0, 2.0)
+            return sum(s.values()) / max(1, len(s)) + len(lost)
+
+        kept = set(rng.permutation(m)[: (m * 2) // 3].tolist())
+        s = _Swaps(u, v, kept, *powers)
+        now = s.cost()
+        for _ in range(40):
+            assert abs(now - cost(s.kept)) < 1e-9
+            worst, least = s.order()
+            want = next(((x, y) for x in worst for y in least if cost(s.kept - {y} | {x}) < now - 1e-12), None)
+            was, without = s.kept, s.without()
+            new = next((r for x in worst if (r := s.exchanged(x, least, without, now)) is not None), None)
+            if want is None:
+                assert new is None and s.kept == was
+                break
+            assert s.kept == was - {want[1]} | {want[0]}
+            now = new
+
+
+def test_swap_refinement_has_no_bound(spark, monkeypatch):
+    from edgeloom.operators import sequential
+    from edgeloom.plans import catalogue
+
+    given, whole = [], sequential.swapped
+    monkeypatch.setattr(sequential, "swapped", lambda *a, **o: given.append((a, o)) or whole(*a, **o))
+    catalogue.QUERIES["swap_refinement"](spark, "/root/testdata/sf0.001").collect()
+    assert len(given[0][0]) == 2 and set(given[0][1]) == {"group"}
